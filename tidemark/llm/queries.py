@@ -2,23 +2,46 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import line_dedup, quality_rules, simhash
+from tidemark.llm import line_dedup, quality_rules, sentencepieces, simhash, token_files, warc
+from tidemark.llm.workspace import fresh_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode_documents(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
+        outputs=("n_tokens", "ids_sha256", "decoded_sha256"),
+    )
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_report(_table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-files")
+    token_files.write_token_files(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path, end_id=0
+    )
+    return token_files.read_token_files(spark, path)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_table(spark, sf_dir, "documents"), min_docs=10, min_key_chars=1, keep="none")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path, min_bytes=1000)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     rules = quality_rules.fit_quality_rules(docs, _table(spark, sf_dir, "labels"), max_rows=4000)
@@ -29,8 +52,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
         "op2_simhash": op2_simhash,
+        "op3_token_files": op3_token_files,
         "op4_line_dedup": op4_line_dedup,
+        "op5_warc": op5_warc,
         "op10_quality_rules": op10_quality_rules,
     }
 
@@ -57,5 +83,20 @@ FROM (SELECT row_number() OVER () AS rowid_, doc_id FROM documents) d JOIN kept
 """
 
 
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body,
+         octet_length(encode(coalesce(html, ''))) AS size,
+         sha1(coalesce(html, '')) AS digest
+  FROM pages
+),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS latest FROM p)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN size >= 1000 AND page_id <> latest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN size >= 1000 AND page_id <> latest THEN latest END AS refers_to
+FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op5_warc": OP5_SQL}
