@@ -159,6 +159,23 @@ class MergeVocabulary:
             return None
 
 
+class _Words(dict):
+    """Packed ids by word; a missing word is encoded, kept and noted for the check of its batch."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec = codec
+        self.new: list[tuple[str, list[int]]] = []
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        ids = self.codec.encode_chunk(SPACE + word)
+        self.new.append((word, ids))
+        packed = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
+
+
 class Codec:
     """Encoder and decoder of one worker: vocabulary, library and caches."""
 
@@ -168,7 +185,7 @@ class Codec:
         self.begin, self.end = (struct.pack("<I", i) for i in (self.library.bos_id(), self.library.eos_id()))
         self.verify_every = verify_every
         self.seen = 0
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self)
         self.parts: dict[str, tuple[int, ...]] = {}
 
     def _part(self, part: str) -> tuple[int, ...]:
@@ -180,48 +197,28 @@ class Codec:
 
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of a chunk that starts with the escaped space."""
-        if chunk[-2:].isalpha() and len(chunk) < 40:  # mostly a plain word, merged as one
-            return list(self._part(chunk))
+        if chunk[-2:].isalpha():  # mostly a plain word, merged as one
+            return self.vocabulary.piece_ids(self.vocabulary.merge(chunk))
         return [i for part in self.vocabulary.cuts(chunk) for i in self._part(part)]
 
-    def learn(self, words: set[str]) -> None:
-        """Encode the words that the cache lacks and check them against the library."""
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
-        missing = [w for w in words if w not in self.words]
-        for word, theirs in zip(missing, self.library.encode(missing, num_threads=1)):
-            ours = self.encode_chunk(SPACE + word)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers, begin and end included."""
+        out = [self.begin + self._body(t) + self.end for t in texts]
+        words = [w for w, _ in self.words.new]
+        for (word, ours), theirs in zip(self.words.new, self.library.encode(words, num_threads=1)):
             if ours != theirs:
                 raise MismatchError(f"{word!r}: {ours} and {theirs}")
-            self.words[word] = struct.pack(f"<{len(ours)}I", *ours)
+        self.words.new.clear()
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers, begin and end included."""
-        split = [None if "  " in t or t[:1] == " " or t[-1:] == " " or SPACE in t else t.split(" ") for t in texts]
-        words: set[str] = set()
-        for s in split:
-            if s is not None:
-                words.update(s)
-            if len(words) > CACHE_WORDS // 2:
-                break
-        words.discard("")
-        self.learn(words)
-        return [self._encoded(t, s) for t, s in zip(texts, split)]
-
-    def _encoded(self, text: str, words: list[str] | None) -> bytes:
+    def _body(self, text: str) -> bytes:
         if not text:
-            body = b""
-        elif words is None:
+            return b""
+        if "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
             chunks = re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))
             ids = [i for c in chunks for i in self.encode_chunk(c)]
-            body = struct.pack(f"<{len(ids)}I", *ids)
-        else:
-            try:
-                body = b"".join(map(self.words.__getitem__, words))
-            except KeyError:  # a batch with more words than a cache holds
-                self.learn(set(words))
-                body = b"".join(map(self.words.__getitem__, words))
-        return self.begin + body + self.end
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self.words.__getitem__, text.split(" ")))
 
     def decode(self, ids: list[int]) -> str:
         found = self.vocabulary.decode(ids)
@@ -236,6 +233,18 @@ class Codec:
                 raise MismatchError(f"a text of {len(text)} characters, from {text[:60]!r}")
 
 
+#: One codec a worker process, whatever the number of tasks it runs.
+_CODECS: dict[tuple[str, int], Codec] = {}
+
+
+def _codec(model: bytes, verify_every: int) -> Codec:
+    key = (hashlib.sha256(model).hexdigest(), verify_every)
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(model, verify_every)
+    return _CODECS[key]
+
+
 #: Columns that ``encode_documents`` can return, with their Spark types.
 OUTPUTS = {
     "n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string",
@@ -258,7 +267,7 @@ def encode_documents(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model, verify_every)
+        codec = _codec(model, verify_every)
         for whole in batches:
             for at in range(0, whole.num_rows, group):
                 batch = whole.slice(at, group)

@@ -43,12 +43,27 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: others follow in order from U+0100.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 VISIBLE = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-CACHE_WORDS = 700_000
+CACHE_WORDS = 900_000
+MARKS = frozenset(".,;:!?")
 _UNSAFE = re.compile(r"\s ")
 
 
+class _Words(dict):
+    """Packed ids by word, for one thing that may stand before it; a missing word is encoded and kept."""
+
+    def __init__(self, encoder: ByteEncoder, before: str):
+        super().__init__()
+        self.encoder, self.before = encoder, before
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        packed = self[word] = self.encoder.encode_word(self.before, word)
+        return packed
+
+
 class ByteEncoder:
-    """Ids of texts by the tokenizers library, with bounded caches of words and of their parts."""
+    """Ids of texts by the tokenizers library, with bounded caches of words."""
 
     def __init__(self, tokenizer_json: str, verify_every: int = 200):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -58,9 +73,8 @@ class ByteEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.dtype = np.dtype(f"<u{self.width}")
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.first, self.later = _Words(self, ""), _Words(self, " ")
+        self.marks: dict[str, bytes] = {}
         self.verify_every = verify_every
         self.seen = 0
 
@@ -70,50 +84,48 @@ class ByteEncoder:
 
     def _part(self, part: str) -> bytes:
         """Ids of one pre-token, by the library's merge model over its visible byte alphabet."""
-        return array(self.code, [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(VISIBLE))]).tobytes()
+        visible = part.encode().decode("latin-1").translate(VISIBLE)
+        return array(self.code, [t.id for t in self.model.tokenize(visible)]).tobytes()
 
-    def _split(self, text: str) -> list[str]:
-        """Pre-tokens of a word with what stands before it; plain words need no pattern."""
-        word = text.removeprefix(" ")
+    def encode_word(self, before: str, word: str) -> bytes:
+        """Ids of a word with what stands before it; plain words need no pattern."""
         if word.isalpha():
-            return [text]
-        if word[:-1].isalpha() and word[-1] in ".,;:!?":
-            return [text[:-1], text[-1]]
-        return self.split(text)
-
-    def _learn(self, cache: dict[str, bytes], words: set[str], prefix: str) -> None:
-        if len(cache) + len(words) > CACHE_WORDS:
-            cache.clear()
-        split = {w: self._split(prefix + w) for w in words if w not in cache}
-        missing = list({p for parts in split.values() for p in parts} - self.parts.keys())
-        if len(self.parts) + len(missing) > CACHE_WORDS:
-            self.parts.clear()
-            missing = list({p for parts in split.values() for p in parts})
-        self.parts.update((p, self._part(p)) for p in missing)
-        for w, parts in split.items():
-            cache[w] = b"".join([self.parts[p] for p in parts])
+            return self._part(before + word)
+        mark = word[-1:]
+        if mark in MARKS and word[:-1].isalpha():
+            if mark not in self.marks:
+                self.marks[mark] = self._part(mark)
+            return self._part(before + word[:-1]) + self.marks[mark]
+        return b"".join(map(self._part, self.split(before + word)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text in file form, without an end id."""
-        out: list[bytes | None] = [None] * len(texts)
-        split = {i: t.split(" ") for i, t in enumerate(texts) if not _UNSAFE.search(t)}
-        odd = [i for i in range(len(texts)) if i not in split]
-        for i, ids in zip(odd, self._library([texts[i] for i in odd])):
-            out[i] = ids
-        later: set[str] = set()
-        for words in split.values():
-            later.update(words[1:])
-        self._learn(self.first, {words[0] for words in split.values()}, "")
-        self._learn(self.later, later, " ")
-        for i, words in split.items():
-            out[i] = self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:]))
-        for i, text in enumerate(texts):
+        out = []
+        for text in texts:
+            if _UNSAFE.search(text):
+                out += self._library([text])
+                continue
+            first, *later = text.split(" ")
+            out.append(self.first[first] + b"".join(map(self.later.__getitem__, later)))
+        for text, ids in zip(texts, out):
             self.seen += 1
-            if self.verify_every and self.seen % self.verify_every == 0 and self._library([text])[0] != out[i]:
+            if self.verify_every and self.seen % self.verify_every == 0 and self._library([text])[0] != ids:
                 raise RuntimeError(f"the tokenizers library gives other ids for a text of {len(text)} characters")
         return out
 
 
+#: One encoder a worker process, whatever the number of tasks it runs.
+_ENCODERS: dict[str, ByteEncoder] = {}
+
+
+def _encoder(tokenizer_json: str) -> ByteEncoder:
+    key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = ByteEncoder(tokenizer_json)
+    return _ENCODERS[key]
+
+
 def train_dictionary(samples: list[bytes], size: int) -> bytes:
     """A zstandard dictionary of ``size`` bytes at most; empty where the samples are too few to train on."""
     try:
@@ -144,7 +156,7 @@ def write_token_files(
     share = spark.sparkContext.broadcast(tokenizer_json)
 
     def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteEncoder(share.value)
+        encoder = _encoder(share.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(encoder.encode(batch.column(0).to_pylist()), pa.binary())], names=["ids"])
 
@@ -155,7 +167,7 @@ def write_token_files(
     spark.createDataFrame([(digest, bytearray(dictionary))], "dict_sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteEncoder(share.value)
+        encoder = _encoder(share.value)
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         packer = zstandard.ZstdCompressor(level=level, **_loaded(dictionary))
         part, block, first = TaskContext.get().partitionId(), 0, 0
