@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, quality_rules, sentencepieces, simhash, token_files, warc
+from tidemark.llm import line_dedup, passage_quality, quality_rules, sentencepieces, simhash, token_files, toxicity, warc
 from tidemark.llm.workspace import fresh_path
 
 
@@ -42,6 +43,22 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels"), max_rows=6000)
+    return toxicity.score_toxicity(docs, model)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = passage_quality.fit_quality(docs, _table(spark, sf_dir, "labels"), max_rows=3000, held_out=(4, 2))
+    scored = passage_quality.score_quality(docs.select("doc_id", "text"), model, cut=0.7)
+    return scored.select(
+        "doc_id", (passage_quality.remainder("doc_id", 4) == 2).alias("held_out"), F.col("quality_score").alias("score"),
+        F.col("quality_ok").cast("int").alias("predicted"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     rules = quality_rules.fit_quality_rules(docs, _table(spark, sf_dir, "labels"), max_rows=4000)
@@ -57,6 +74,8 @@ def queries() -> dict:
         "op3_token_files": op3_token_files,
         "op4_line_dedup": op4_line_dedup,
         "op5_warc": op5_warc,
+        "op8_toxicity": op8_toxicity,
+        "op9_quality_classifier": op9_quality_classifier,
         "op10_quality_rules": op10_quality_rules,
     }
 
