@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, passage_quality, quality_rules, sentencepieces, simhash, token_files, toxicity, warc
+from tidemark.llm import decontaminate, language_model, line_dedup, passage_quality, quality_rules, sentencepieces, simhash, token_files, toxicity, warc
 from tidemark.llm.workspace import fresh_path
 
 
@@ -43,6 +43,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(_table(spark, sf_dir, "documents"), held_out=(10, 0))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), shingle=5, threshold=0.8)
     return found.select("doc_id", "item_id", "start_word", "n_words", "distance", "similarity")
@@ -79,6 +83,7 @@ def queries() -> dict:
         "op3_token_files": op3_token_files,
         "op4_line_dedup": op4_line_dedup,
         "op5_warc": op5_warc,
+        "op6_language_model": op6_language_model,
         "op7_decontaminate": op7_decontaminate,
         "op8_toxicity": op8_toxicity,
         "op9_quality_classifier": op9_quality_classifier,
