@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tidemark.plans import exploration, lifecycle, scoring, traffic
+
+_PLANS = (traffic, scoring, lifecycle, exploration)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for plan in _PLANS for name, f in plan.R.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plan in _PLANS for name, sql in plan.R.sql.items()}
