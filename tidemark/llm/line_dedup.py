@@ -6,8 +6,9 @@ document counts are streamed from that order, and each document gets back a run-
 bitmap. Texts never travel with the hashes.
 
 Skew: a line that a third of all documents hold is spread over ``salts`` sort groups by the hash of
-its document; the groups are summed with map-side partial aggregation, and the join that takes the
-decisions back to the occurrences is an ordinary equi-join that adaptive execution splits.
+its document; the groups are summed with map-side partial aggregation. Only lines common enough to
+be dropped are joined back to their occurrences, once per salt group in use, so that no join key
+holds more than its share of a hot line.
 
 Edge cases: a null or empty text is one empty line; keys shorter than ``min_key_chars`` are never
 dropped; repeated rows count as documents of their own and get the same bitmap; an empty table
@@ -48,7 +49,7 @@ def _occurrences(rows: DataFrame, min_key_chars: int, salts: int) -> DataFrame:
     numbered = rows.select("_id", "_th", F.monotonically_increasing_id().alias("_row"), kept.alias("_kept"))
     return (
         numbered.select("_id", "_th", "_row", F.inline("_kept"))
-        .select("h1", "h2", F.pmod("_th", F.lit(salts)).cast("int").alias("salt"), "_id", "_th", "_row", "pos")
+        .select("h1", "h2", F.pmod(F.xxhash64("_id", "_th"), F.lit(salts)).cast("int").alias("salt"), "_id", "_th", "_row", "pos")
     )
 
 
@@ -76,17 +77,21 @@ def keep_bitmaps(
     """
     if keep not in ("none", "first"):
         raise ValueError(f"keep is 'none' or 'first', not {keep!r}")
+    if not 1 <= salts <= 64:
+        raise ValueError(f"salts is from 1 to 64, not {salts}")
     rows = _documents(docs, id_col, text_col)
     occ = _occurrences(rows, min_key_chars, salts)
     ranged = occ.repartitionByRange(partitions(docs.sparkSession), "h1", "h2", "salt")
     order = Window.partitionBy("h1", "h2", "salt").orderBy("_id", "_th", "_row", "pos")
     streamed = ranged.withColumn("_new", F.when(F.lag("_row").over(order) == F.col("_row"), 0).otherwise(1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("salt"))
     heads = (
         streamed.groupBy("h1", "h2")
-        .agg(F.sum("_new").alias("n_docs"), F.min(F.struct("_id", "_th", "pos")).alias("first"))
+        .agg(F.sum("_new").alias("n_docs"), F.min(F.struct("_id", "_th", "pos")).alias("first"), F.bit_or(bit).alias("_used"))
         .filter(F.col("n_docs") >= min_docs)
     )
-    dropped = ranged.join(heads, ["h1", "h2"])
+    used = F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda s: F.call_function("getbit", F.col("_used"), s) == 1)
+    dropped = occ.join(heads.select("h1", "h2", "first", F.explode(used).alias("salt")), ["h1", "h2", "salt"])
     if keep == "first":
         dropped = dropped.filter(~F.struct("_id", "_th", "pos").eqNullSafe(F.col("first")))
     gathered = dropped.groupBy("_id", "_th").agg(F.sort_array(F.collect_set("pos")).alias("_pos"))
