@@ -188,9 +188,10 @@ def write_archives(
     """
     few = (
         pages.select(F.coalesce("html", F.lit("")).alias("html"), F.xxhash64("page_id", "html").alias("_o"))
-        .orderBy("_o").limit(dict_pages).select("html").collect()
+        .orderBy("_o").limit(dict_pages).agg(F.collect_list("html")).first()[0]
     )
-    samples = sorted(r[0].encode() for r in few)
+    # Aggregated by a task: a bare ordered limit sends the candidates of every partition to the driver.
+    samples = sorted(h.encode() for h in few)
     try:
         dictionary = zstandard.train_dictionary(dict_bytes, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
