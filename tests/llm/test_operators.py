@@ -209,3 +209,46 @@ def test_quality_rules(spark, docs, none):
     assert rules.rules and "IF " in rules.text()
     dropped = {r["doc_id"] for r in quality_rules.apply_rules(d, rules, repeat_percent=100).filter("not kept and n_words > 9").collect()}
     assert dropped == {i for i in range(200) if i % 3 == 0}
+
+
+def test_language_model_keeps_every_history(spark):
+    """Scores against brute force in which each word is a history of its own, far past the former 96 contexts."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    follow = {i: [rng.randrange(900) for _ in range(3)] for i in range(900)}
+    rows = []
+    for i in range(260):
+        walk = [rng.randrange(700)]
+        while len(walk) < 60:
+            walk.append(rng.choice(follow[walk[-1]]) if rng.random() < 0.8 else rng.randrange(900))
+        rows.append((i, " ".join(f"w{x}" for x in walk)))
+    tokens = lambda t: [*t.encode().split(), None]
+    split = lambda i: zlib.crc32(str(i).encode()) % 10
+    one, two = {"main": Counter(), "fold": Counter()}, {"main": Counter(), "fold": Counter()}
+    for i, t in rows:
+        if split(i):
+            part = "fold" if split(i) == 1 else "main"
+            words = tokens(t)
+            one[part].update(words)
+            two[part].update(zip([None, *words], words))
+    c, pair = one["main"] + one["fold"], two["main"] + two["fold"]
+    n, v = sum(c.values()), len(c)
+    cells = [(int(math.log2(c[h])), two["main"][h, w] / max(1, one["main"][h]), (one["main"][w] + 0.1) / (sum(one["main"].values()) + 0.1 * (v + 1)), k) for (h, w), k in two["fold"].items()]
+    b, high, low, k = (np.array(x) for x in zip(*cells))
+    weight = np.full(64, 0.5)
+    for _ in range(40):
+        share = weight[b] * high
+        weight = np.clip(np.bincount(b, k * share / (share + (1 - weight[b]) * low), 64) / np.maximum(np.bincount(b, k, 64), 1e-12), 1e-4, 1 - 1e-4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = language_model.score_documents(docs.repartition(5)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        words = tokens(dict(rows)[r["doc_id"]])
+        want = 0.0
+        for h, w in zip([None, *words], words):
+            lam = weight[int(math.log2(c[h]))] if c[h] else 0.0
+            want += math.log10(lam * pair[h, w] / max(1, c[h]) + (1 - lam) * (c[w] + 0.1) / (n + 0.1 * (v + 1)))
+        assert r["score"] == pytest.approx(want, rel=1e-4)

@@ -1,14 +1,18 @@
 """Language-model scores by deleted interpolation of bigrams and unigrams.
 
 P(w | h) = lambda(b) * c(h, w) / c(h) + (1 - lambda(b)) * (c(w) + a) / (N + a (V + 1)), where b is the
-frequency bucket of the context h. The weights are learned by expectation-maximisation on counts of
-a fold that the maximum-likelihood estimates leave out; final estimates use all training documents.
+power of two below c(h). The weights are learned by expectation-maximisation on counts of a fold
+that the maximum-likelihood estimates leave out; final estimates use all training documents.
 
-Words are open: every word's count and every (context, word) count is exact. Contexts are the end
-mark and the ``contexts`` most frequent words, each its own, and bands of equal log2 frequency for
-all further words, so that a context table has a fixed size. Counts of the ``lexicon`` most
-frequent words (a fixed bound) are broadcast; all other words, none of them hot, are partitioned by
-hash with the places that need them, counted there, and their scores returned to documents.
+Every word is a history of its own and every (history, word) count is exact. Blocks of documents
+send each of their distinct words and pairs once, with its counts in the block, to the partition of
+its hash; the totals come back to the block. So a hot pair costs one entry per block, and nothing
+that grows with the vocabulary is broadcast or collected. As a history is followed by exactly one
+token, c(h) is the count of the word h. The weights need the ratio of the two estimates at each
+token of the fold only: a histogram of ratios per b, in steps of 1 / ``STEPS`` of an octave and with
+the mean ratio of each step, goes to the driver (a fixed size).
+
+Words and pairs are told apart by 63-bit hashes.
 
 Edge cases: a null or empty text has the end token only; a null id has the remainder of the empty
 text; repeated rows are separate documents; with no training documents N and V are 0 and only the
@@ -18,12 +22,11 @@ add-``a`` estimate is left; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,7 +34,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.workspace import partitions, written
 
-FLUSH = 300_000
+BLOCK_DOCS, BLOCK_BYTES = 8192, 16 << 20
+STEPS = 64
+MAIN, FOLD, HELD = 0, 1, 2
+#: The step of a ratio of zero.
+NEVER = -(1 << 30)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -43,265 +50,223 @@ def remainder(doc_id, modulus: int = 10) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus
 
 
-@dataclass
-class Lexicon:
-    """The most frequent words by rank, their counts, and the training totals."""
-
-    words: list[bytes]
-    counts: np.ndarray
-    n_tokens: int
-    n_types: int
-    n_docs: int
-    contexts: int
-
-    def __post_init__(self):
-        self.end, self.tail = len(self.words), len(self.words) + 1
-        self.ids = {w: i for i, w in enumerate(self.words)}
-        band = np.log2(np.maximum(self.counts, 1)).astype(int)
-        # Contexts: own ones, then the end mark, then frequency bands, then words outside the lexicon.
-        self.context_of = np.empty(self.tail + 1, np.uint16)
-        own = min(self.contexts, len(self.words))
-        self.context_of[:own] = np.arange(own)
-        self.context_of[own : self.end] = own + 1 + band[own:]
-        self.context_of[self.end] = own
-        self.context_of[self.tail] = own + 1 + 63
-        self.n_contexts = own + 1 + 64
-
-    def ids_of(self, words: list[bytes]) -> np.ndarray:
-        """Ids of the words and of the end mark."""
-        get, tail = self.ids.get, self.tail
-        return np.array([*[get(w, tail) for w in words], self.end], dtype=np.int64)
-
-    def history(self, ids: np.ndarray) -> np.ndarray:
-        """Context of each token: what stands before it, the end mark before the first."""
-        return self.context_of[np.concatenate([[self.end], ids[:-1]])]
-
-
-def _word_counts(docs: DataFrame, held_out: tuple[int, int]) -> DataFrame:
-    modulus, rest = held_out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if remainder(doc_id, modulus) != rest:
-                    seen.update(tokens(text.as_py()))
-                    seen[None] += 1
-                if len(seen) > FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-                    seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-    return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _pair_counts(docs: DataFrame, lexicon, held_out: tuple[int, int], fold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of (context, lexicon word) outside and inside the fold; the table has a fixed size."""
-    width = lexicon.value.tail + 1
-    shape = (lexicon.value.n_contexts, width)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = lexicon.value
-        seen = np.zeros((2, shape[0] * width), np.int32)
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                r = remainder(doc_id, held_out[0])
-                if r != held_out[1]:
-                    ids = lex.ids_of(tokens(text.as_py()))
-                    np.add.at(seen[int(r == fold)], lex.history(ids).astype(np.int64) * width + ids, 1)
-        out: dict[str, list] = {"context": [], "cells": []}
-        for c in range(shape[0]):
-            part = seen[:, c * width : (c + 1) * width]
-            if (at := np.flatnonzero(part.any(axis=0))).size:
-                out["context"].append(c)
-                out["cells"].append(np.concatenate([at, part[0, at], part[1, at]]).astype("<i8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(out["context"], pa.int32()), pa.array(out["cells"], pa.binary())], names=["context", "cells"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for c, cells in zip(batch.column(0).to_pylist(), batch.column(1)):
-                at, main, fold_ = np.frombuffer(cells.as_buffer(), "<i8").reshape(3, -1)
-                t = total.setdefault(c, np.zeros((2, width), np.int64))
-                t[0, at] += main
-                t[1, at] += fold_
-        rows = [{"context": c, "cells": t.astype("<i8").tobytes()} for c, t in total.items()]
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("context", pa.int32()), ("cells", pa.binary())]))
-
-    schema = "context int, cells binary"
-    summed = docs.mapInArrow(count, schema).repartition(partitions(docs.sparkSession), "context").mapInArrow(add, schema)
-    main, held = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
-    for r in summed.toLocalIterator():
-        main[r["context"]], held[r["context"]] = np.frombuffer(r["cells"], "<i8").reshape(2, width)
-    return main, held
+def bucket_weights(bucket: np.ndarray, ratio: np.ndarray, n: np.ndarray, size: int, rounds: int = 40) -> np.ndarray:
+    """Bigram weight of each bucket, by EM on ``n`` tokens whose bigram estimate is ``ratio`` times the unigram estimate."""
+    weight = np.full(size, 0.5)
+    total = np.maximum(np.bincount(bucket, n, size), 1e-12)
+    for _ in range(rounds):
+        share = weight[bucket] * ratio
+        weight = np.clip(np.bincount(bucket, n * share / (share + 1 - weight[bucket]), size) / total, 1e-4, 1 - 1e-4)
+    return weight
 
 
 def mixture_weights(main: np.ndarray, held: np.ndarray, buckets: np.ndarray, rounds: int = 40) -> np.ndarray:
     """Bigram weight of each bucket, by EM on the held counts under estimates from the main counts."""
     c, w = np.nonzero(held)
-    n, b = held[c, w].astype(float), buckets[c]
     high = main[c, w] / np.maximum(main.sum(axis=1), 1)[c]
     unigram = main.sum(axis=0) + 0.1
-    low = (unigram / unigram.sum())[w]
-    weight = np.full(int(buckets.max()) + 1, 0.5)
-    total = np.maximum(np.bincount(b, n, len(weight)), 1e-12)
-    for _ in range(rounds):
-        share = weight[b] * high
-        weight = np.clip(np.bincount(b, n * share / (share + (1 - weight[b]) * low), len(weight)) / total, 1e-4, 1 - 1e-4)
-    return weight
+    return bucket_weights(buckets[c], high / (unigram / unigram.sum())[w], held[c, w].astype(float), int(buckets.max()) + 1, rounds)
+
+
+def _octave(count: np.ndarray) -> np.ndarray:
+    return np.frexp(np.maximum(count, 1).astype(float))[1] - 1
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers at or above zero, by byte planes."""
+    return pa.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
 
+_HEAD = np.dtype([("id", "<i8"), ("none", "?"), ("split", "u1"), ("n", "<i8")])
+_ROWS = "bucket int, block long, head boolean, n long, a binary, b binary, c binary"
+_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("head", pa.bool_()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+_TALLIED = "block long, heads binary, words binary, pairs binary, octave int, step int, n long, total double"
+_TALLIED_ARROW = pa.schema([
+    ("block", pa.int64()), ("heads", pa.binary()), ("words", pa.binary()), ("pairs", pa.binary()),
+    ("octave", pa.int32()), ("step", pa.int32()), ("n", pa.int64()), ("total", pa.float64()),
+])
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: Rows beside the blocks: the histogram of ratios, and types, main tokens and fold tokens.
+_RATIOS, _TOTALS = -1, -2
 
-@dataclass
-class Model:
-    lexicon: Lexicon
-    context_counts: np.ndarray
-    weight: np.ndarray
-    table: np.ndarray
-    smooth: float
-
-    def low(self, count: np.ndarray) -> np.ndarray:
-        return (count + self.smooth) / (self.lexicon.n_tokens + self.smooth * (self.lexicon.n_types + 1))
-
-
-def fit(docs: DataFrame, held_out: tuple[int, int] = (10, 0), fold: int = 1, lexicon: int = 16_384, contexts: int = 96, smooth: float = 0.1) -> Model:
-    """Counts over all training rows of ``docs`` (doc_id, text), weights by EM on the fold."""
-    spark = docs.sparkSession
-    counts = written(_word_counts(docs, held_out), "words")
-    n, types, n_docs = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word").isNull(), F.col("n")))).first()
-    top = counts.filter("word is not null").orderBy(F.desc("n"), "word").limit(lexicon).collect()
-    words = Lexicon([bytes(r["word"]) for r in top], np.array([r["n"] for r in top], dtype=np.int64), n or 0, types or 0, n_docs or 0, contexts)
-    shared = spark.sparkContext.broadcast(words)
-    main, held = _pair_counts(docs, shared, held_out, fold)
-    both = main + held
-    size = both.sum(axis=1)
-    buckets = np.log2(np.maximum(size, 1)).astype(int)
-    weight = mixture_weights(main, held, buckets)[buckets]
-    weight[size == 0] = 0
-    model = Model(words, size, weight, np.zeros(0), smooth)
-    low = model.low(np.concatenate([words.counts, [words.n_docs, 0]]))
-    model.table = np.log10(weight[:, None] * both / np.maximum(size, 1)[:, None] + (1 - weight[:, None]) * low)
-    return model
-
-
-_ENTRY = np.dtype([("word", "<u8"), ("context", "<u2"), ("doc", "<u2")])
-_HEAD = np.dtype([("id", "<i8"), ("none", "?"), ("held", "?"), ("n", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
-_SUM = np.dtype([("doc", "<u2"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
-_TRAIN = 1 << 15
-_ROWS = "bucket int, block long, head boolean, data binary"
-_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("head", pa.bool_()), ("data", pa.binary())])
-
-
-def score(docs: DataFrame, model: Model, held_out: tuple[int, int] = (10, 0), block_docs: int = 2048) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    n_buckets = partitions(spark)
-    shared = spark.sparkContext.broadcast(model)
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    start = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+        if i > start and (i - start == BLOCK_DOCS or size + n > BLOCK_BYTES):
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if batch.num_rows:
+        yield batch.slice(start)
+
+
+def _keys(hashes: np.ndarray, ids: np.ndarray, n_buckets: int):
+    """Keys of a block's words (odd) and pairs (even), the pair of each token, and the keys' order by partition with its edges."""
+    code = np.concatenate([ids[-1:], ids[:-1]]) * np.int64(len(hashes)) + ids
+    pairs, pair = np.unique(code, return_inverse=True)
+    h, w = hashes[pairs // len(hashes)], hashes[pairs % len(hashes)]
+    mixed = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (w + (h >> np.uint64(29)))
+    for by, shift in ((0xBF58476D1CE4E5B9, 30), (0x94D049BB133111EB, 27)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(by)
+    mixed ^= mixed >> np.uint64(31)
+    keys = np.concatenate([hashes | np.uint64(1), mixed & ~np.uint64(1)])
+    # Partitions are ranges of keys, so that sorted keys can be sent by their differences.
+    order = np.argsort(keys)
+    starts = np.array([(b << 64) // n_buckets for b in range(n_buckets)], dtype=np.uint64)
+    return keys, pair, order, np.append(np.searchsorted(keys[order], starts), len(keys))
+
+
+def _tallied(docs: DataFrame, held_out: tuple[int, int], fold: int, smooth: float) -> DataFrame:
+    """One row per block with the counts c(w) and c(h, w) of its tokens, and the rows of ``_RATIOS`` and ``_TOTALS``."""
+    n_buckets = partitions(docs.sparkSession)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        lex = m.lexicon
-        counts = np.concatenate([lex.counts, [lex.n_docs, 0]])
-        base, known = np.log10(m.low(counts)), counts > 0
         part, block = TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, block_docs):
-                batch = whole.slice(at, block_docs)
-                head = np.zeros(batch.num_rows, _HEAD)
-                words: list[int] = []
-                context, doc = [], []
-                for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
-                    found = tokens(text.as_py())
-                    ids = lex.ids_of(found)
-                    before = lex.history(ids)
-                    held = remainder(doc_id, held_out[0]) == held_out[1]
-                    inside = ids != lex.tail
-                    head[i] = (
-                        doc_id or 0, doc_id is None, held, len(ids), known[ids[inside]].sum(), base[ids[inside]].sum(),
-                        m.table[before[inside], ids[inside]].sum(),
-                    )
-                    out = np.flatnonzero(~inside)
-                    words += [xxhash.xxh64_intdigest(found[j], 42) for j in out.tolist()]
-                    context.append(before[out] | (0 if held else _TRAIN))
-                    doc.append(np.full(len(out), i, np.uint16))
-                entry = np.empty(len(words), _ENTRY)
-                entry["word"] = np.array(words, dtype=np.uint64)
-                entry["context"], entry["doc"] = np.concatenate(context), np.concatenate(doc)
-                bucket = (entry["word"] % np.uint64(n_buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-                key = part << 32 | block
-                rows = {"bucket": [key % n_buckets], "block": [key], "head": [True], "data": [head.tobytes()]}
-                for b in np.flatnonzero(np.diff(edges)).tolist():
-                    for k, v in zip(rows, (b, key, False, entry[order[edges[b] : edges[b + 1]]].tobytes())):
-                        rows[k].append(v)
-                block += 1
-                yield pa.RecordBatch.from_pydict(rows, schema=_ARROW)
+        for batch in (s for whole in batches for s in _slices(whole)):
+            head = np.zeros(batch.num_rows, _HEAD)
+            index: dict[bytes | None, int] = {None: 0}
+            flat: list[int] = []
+            for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+                found = tokens(text.as_py())
+                flat += [index.setdefault(w, len(index)) for w in found]
+                flat.append(0)
+                r = remainder(doc_id, held_out[0])
+                head[i] = (doc_id or 0, doc_id is None, HELD if r == held_out[1] else FOLD if r == fold else MAIN, len(found) + 1)
+            ids = np.array(flat, dtype=np.int64)
+            # No word holds a space, so the end mark has a hash of its own.
+            hashes = np.array([xxhash.xxh64_intdigest(b" " if w is None else w, 42) for w in index], dtype=np.uint64)
+            keys, pair, order, edges = _keys(hashes, ids, n_buckets)
+            split = np.repeat(head["split"], head["n"])
+            main, held = (
+                np.concatenate([np.bincount(ids[split == s], minlength=len(hashes)), np.bincount(pair[split == s], minlength=len(keys) - len(hashes))])
+                for s in (MAIN, FOLD)
+            )
+            key = part << 32 | block
+            rows = {"bucket": [(part + block) % n_buckets], "block": [key], "head": [True], "n": [len(ids)], "a": [head.tobytes()], "b": [hashes.tobytes()], "c": [_packed(ids)]}
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                at = order[edges[b] : edges[b + 1]]
+                for k, v in zip(rows, (b, key, False, len(at), _packed(np.diff(keys[at], prepend=np.uint64(0))), _packed(main[at]), _packed(held[at]))):
+                    rows[k].append(v)
+            block += 1
+            yield pa.RecordBatch.from_pydict(rows, schema=_ARROW)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        held: list[tuple[int, np.ndarray]] = []
+        entries: list[tuple] = []
         for batch in batches:
-            ready: dict[str, list] = {k: [] for k in _ARROW.names}
             for row in batch.to_pylist():
                 if row["head"]:
-                    for k in ready:
-                        ready[k].append(row[k])
+                    yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
                 else:
-                    held.append((row["block"], np.frombuffer(row["data"], _ENTRY)))
-            if ready["block"]:
-                yield pa.RecordBatch.from_pydict(ready, schema=_ARROW)
-        if not held:
+                    own = np.cumsum(_unpacked(row["a"], row["n"]).view(np.uint64), dtype=np.uint64)
+                    entries.append((row["bucket"], row["block"], own, row["b"], row["c"]))
+        if not entries:
             return
-        entry = np.concatenate([e for _, e in held])
-        train, context = entry["context"] >= _TRAIN, (entry["context"] & (_TRAIN - 1)).astype(np.int64)
-        _, word = np.unique(entry["word"], return_inverse=True)
-        single = np.bincount(word, train)[word]
-        _, pair = np.unique(word * np.int64(len(m.weight)) + context, return_inverse=True)
-        double = np.bincount(pair, train)[pair]
-        low, w = m.low(single), m.weight[context]
-        value = np.log10(w * double / np.maximum(m.context_counts, 1)[context] + (1 - w) * low)
-        base = np.log10(low)
+        keys, inverse = np.unique(np.concatenate([e[2] for e in entries]), return_inverse=True)
+        totals = []
+        for i in (3, 4):
+            counts = np.concatenate([_unpacked(e[i], len(e[2])) for e in entries])
+            totals.append(np.bincount(inverse, counts, len(keys)).astype(np.int64))
+        main, held = totals
+        word = (keys & np.uint64(1)).astype(bool)
+        sums = [int((word & (main + held > 0)).sum()), int(main[word].sum()), int(held[word].sum())]
+        yield pa.RecordBatch.from_pylist([{"bucket": 0, "block": -1 - entries[0][0], "head": False, "n": 3, "a": np.array(sums, "<i8").tobytes()}], schema=_ARROW)
         at = 0
-        for start in range(0, len(held), 64):
-            rows: dict[str, list] = {k: [] for k in _ARROW.names}
-            for block, e in held[start : start + 64]:
-                here = slice(at, at + len(e))
-                at += len(e)
-                docs_, back = np.unique(e["doc"], return_inverse=True)
-                sums = np.zeros(len(docs_), _SUM)
-                sums["doc"], sums["known"] = docs_, np.bincount(back, single[here] > 0)
-                sums["base"], sums["score"] = np.bincount(back, base[here]), np.bincount(back, value[here])
-                for k, v in zip(rows, (0, block, False, sums.tobytes())):
-                    rows[k].append(v)
-            yield pa.RecordBatch.from_pydict(rows, schema=_ARROW)
+        for bucket, block, own, _, _ in entries:
+            here = inverse[at : at + len(own)]
+            at += len(own)
+            row = {"bucket": bucket, "block": block, "head": False, "n": len(own), "b": _packed(main[here]), "c": _packed(held[here])}
+            yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads: dict[int, np.ndarray] = {}
-        sums: dict[int, list[np.ndarray]] = {}
+        heads: dict[int, dict] = {}
+        back: dict[int, dict[int, dict]] = {}
+        sums = np.zeros(3, np.int64)
+        ratios: dict[int, list] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                if row["head"]:
-                    heads[row["block"]] = np.frombuffer(row["data"], _HEAD).copy()
+                if row["block"] < 0:
+                    sums += np.frombuffer(row["a"], "<i8")
+                elif row["head"]:
+                    heads[row["block"]] = row
                 else:
-                    sums.setdefault(row["block"], []).append(np.frombuffer(row["data"], _SUM))
+                    back.setdefault(row["block"], {})[row["bucket"]] = row
         for block in sorted(heads):
-            head = heads[block]
-            # In a fixed order, so that a repeated task adds up the same way.
-            for s in sorted(sums.pop(block, []), key=lambda s: s.tobytes()):
-                for k in ("known", "base", "score"):
-                    head[k][s["doc"]] += s[k]
-            n = pa.array(np.full(len(head), shared.value.lexicon.n_tokens, np.int64))
-            columns = [pa.array(head["id"], mask=head["none"]), pa.array(head["held"]), pa.array(head["n"]), pa.array(head["known"]), n, pa.array(head["base"]), pa.array(head["score"])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
+            row = heads.pop(block)
+            head, hashes, ids = np.frombuffer(row["a"], _HEAD), np.frombuffer(row["b"], "<u8"), _unpacked(row["c"], row["n"])
+            keys, pair, order, _ = _keys(hashes, ids, n_buckets)
+            main, held = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+            parts = [p for _, p in sorted(back.pop(block).items())]
+            main[order] = np.concatenate([_unpacked(p["b"], p["n"]) for p in parts])
+            held[order] = np.concatenate([_unpacked(p["c"], p["n"]) for p in parts])
+            both = main + held
+            # The end mark before the first token is the last token of any document.
+            before = np.concatenate([ids[-1:], ids[:-1]])
+            pair += len(hashes)
+            yield pa.RecordBatch.from_pylist([{"block": block, "heads": row["a"], "words": _packed(both[ids]), "pairs": _packed(both[pair])}], schema=_TALLIED_ARROW)
+            at = np.flatnonzero(np.repeat(head["split"], head["n"]) == FOLD)
+            h, w, p = before[at], ids[at], pair[at]
+            ratio = main[p] / np.maximum(main[h], 1) / (main[w] + smooth)
+            step = np.full(len(at), NEVER)
+            step[ratio > 0] = np.floor(np.log2(ratio[ratio > 0]) * STEPS)
+            places_, where = np.unique(np.stack([_octave(both[h]), step]), axis=1, return_inverse=True)
+            n, total = np.bincount(where.ravel()), np.bincount(where.ravel(), ratio)
+            for (o, s), k, t in zip(places_.T.tolist(), n.tolist(), total.tolist()):
+                found = ratios.setdefault((o, s), [0, 0.0])
+                found[0] += k
+                found[1] += t
+        rows = [{"block": _TOTALS, "octave": 0, "step": i, "n": n, "total": 0.0} for i, n in enumerate(sums.tolist())]
+        rows += [{"block": _RATIOS, "octave": o, "step": s, "n": k, "total": t} for (o, s), (k, t) in ratios.items()]
+        yield pa.RecordBatch.from_pylist(rows, schema=_TALLIED_ARROW)
+
+    home = F.pmod(F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(n_buckets)).cast("int")
     return (
-        docs.mapInArrow(places, _ROWS).repartition(n_buckets, "bucket").mapInArrow(counted, _ROWS)
-        .repartition(n_buckets, "block")
-        .mapInArrow(joined, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        docs.mapInArrow(places, _ROWS).repartitionById(n_buckets, "bucket").mapInArrow(counted, _ROWS)
+        .repartitionById(n_buckets, home).mapInArrow(joined, _TALLIED)
     )
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (10, 0), **options) -> DataFrame:
-    """Fit on the documents whose id remainder is not ``held_out[1]`` and score all of them."""
+def score_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (10, 0), fold: int = 1, smooth: float = 0.1,
+    lexicon: int | None = None, contexts: int | None = None,
+) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs``.
+
+    Fits on the documents whose id remainder is not ``held_out[1]``. ``lexicon`` and ``contexts`` are
+    accepted from earlier callers and change nothing: no word or history is left out.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return score(rows, fit(rows, held_out, **options), held_out)
+    tallied = written(_tallied(rows, held_out, fold, smooth), "tallied")
+    small = tallied.filter("block < 0").groupBy("block", "octave", "step").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).toArrow().to_pandas()
+    sums = small[small["block"] == _TOTALS].groupby("step")["n"].sum()
+    n_types, n_main, n_fold = (int(sums.get(i, 0)) for i in range(3))
+    n_train = n_main + n_fold
+    ratios = small[small["block"] == _RATIOS].sort_values(["octave", "step"])
+    unit = n_main + smooth * (n_types + 1)
+    weight = bucket_weights(ratios["octave"].to_numpy(np.int64), (unit * ratios["total"] / ratios["n"]).to_numpy(float), ratios["n"].to_numpy(float), 64)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                head = np.frombuffer(row["heads"], _HEAD)
+                start, n = np.cumsum(head["n"]) - head["n"], int(head["n"].sum())
+                words, pairs = _unpacked(row["words"], n), _unpacked(row["pairs"], n)
+                before = np.concatenate([words[-1:], words[:-1]])
+                w = np.where(before > 0, weight[_octave(before)], 0.0)
+                low = (words + smooth) / (n_train + smooth * (n_types + 1))
+                value = np.log10(w * pairs / np.maximum(before, 1) + (1 - w) * low)
+                known, base, score = (np.add.reduceat(x, start) for x in ((words > 0).astype(np.int64), np.log10(low), value))
+                columns = [
+                    pa.array(head["id"], mask=head["none"]), pa.array(head["split"] == HELD), pa.array(head["n"]), pa.array(known),
+                    pa.array(np.full(len(head), n_train, np.int64)), pa.array(base), pa.array(score),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return tallied.filter("block >= 0").select("heads", "words", "pairs").mapInArrow(scored, _SCORES)
