@@ -252,3 +252,28 @@ def test_language_model_keeps_every_history(spark):
             lam = weight[int(math.log2(c[h]))] if c[h] else 0.0
             want += math.log10(lam * pair[h, w] / max(1, c[h]) + (1 - lam) * (c[w] + 0.1) / (n + 0.1 * (v + 1)))
         assert r["score"] == pytest.approx(want, rel=1e-4)
+
+
+def test_decontamination_weighs_shared_templates(spark):
+    """Items share template wording, texts hold an item's own part and another template: brute force over all anchored windows."""
+    template = [f"t{i}" for i in range(31)]
+    own = {i: [f"o{i}x{j}" for j in range(28)] for i in range(60)}
+    bench = {i: template + own[i] for i in own}
+    texts = {i: [f"z{i}y{j}" for j in range(31)] + own[i] for i in own} | {100 + i: template + [f"u{i}y{j}" for j in range(28)] for i in range(20)}
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    df = Counter(g for w in bench.values() for g in set(grams(w)))
+    weight = {g: 1 + math.log(len(bench) / k) for g, k in df.items()}
+    want = {}
+    for d, words in texts.items():
+        for i, item in bench.items():
+            starts = {max(0, min(p - q, len(words) - len(item))) for p, g in enumerate(grams(words)) for q, h in enumerate(grams(item)) if g == h}
+            for s in starts:
+                n, has = Counter(grams(item)), Counter(grams(words[s : s + len(item)]))
+                sim = sum(weight[g] * min(k, has[g]) for g, k in n.items()) / sum(weight[g] * k for g, k in n.items())
+                if sim >= 0.7:
+                    want[d, i] = max(sim, want.get((d, i), 0))
+    assert len(want) == len(own)
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in bench.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contamination(docs, items, threshold=0.7).collect()}
+    assert got == pytest.approx(want)

@@ -2,11 +2,12 @@
 
 Texts and items are split into words of letters and digits, lower-cased. Item-sized windows of a
 text are laid where text and item share a shingle (any window with a similarity above zero holds
-one), aligned so that the shared shingle falls on its place in the item. SimHash fingerprints of
-windows and items of one size are cut into ``radius + 1`` blocks; two fingerprints within the
-radius agree on some block, so joining on blocks finds every such pair. Candidates within the
-radius are verified by their exact weighted similarity: the share of the item's shingle weight
-(inverse item frequency) that the window holds, repeats included.
+one), aligned so that the shared shingle falls on its place in the item. Every such window is
+verified by its exact weighted similarity: the share of the item's shingle weight (inverse item
+frequency) that the window holds, repeats included. Text and item are compared only where the text
+holds one of the item's ``anchors``: its heaviest shingles, as many as weigh more than a window may
+lack at the threshold, so that no window at the threshold can be without one. SimHash distances of
+the windows found are reported and decide nothing but ties.
 
 Broadcasts are made only below ``BROADCAST_ROWS`` counted rows; beyond it the same joins shuffle.
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.workspace import written
@@ -54,18 +55,6 @@ def _fingerprint(grams: Column) -> Column:
     return F.aggregate(votes, zero, lambda a, v: a.bitwiseOR(v))
 
 
-def _blocks(fp: Column, count: int) -> Column:
-    """(block, value) pairs of a fingerprint cut into ``count`` runs of bits."""
-    edges = [BITS * i // count for i in range(count + 1)]
-    return F.array(*[
-        F.struct(
-            F.lit(i).alias("block"),
-            F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("value"),
-        )
-        for i, (a, b) in enumerate(zip(edges, edges[1:]))
-    ])
-
-
 def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -87,52 +76,56 @@ def benchmark_items(items: DataFrame, item_col: str, text_col: str, shingle: int
     return made.join(weighed, "item_id").select("item_id", "size", "width", "grams", _fingerprint(F.col("grams")).alias("fp"), "weights", whole.alias("whole"))
 
 
+def _anchors(bench: DataFrame, threshold: float) -> DataFrame:
+    """``item_id, width, gram``: an item's heaviest shingles until they outweigh what a window may lack."""
+    heavy = Window.partitionBy("item_id").orderBy(F.desc("weight"), "gram").rowsBetween(Window.unboundedPreceding, -1)
+    each = bench.select("item_id", "width", "whole", F.inline("weights"))
+    before = F.coalesce(F.sum(F.col("weight") * F.col("n")).over(heavy), F.lit(0.0))
+    return each.withColumn("_before", before).filter(F.col("_before") <= (1 - threshold + 1e-9) * F.col("whole")).select("item_id", "width", "gram")
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    shingle: int = 5, threshold: float = 0.8, radius: int = 24,
+    shingle: int = 5, threshold: float = 0.8,
 ) -> DataFrame:
     """``doc_id, th, item_id, start_word, n_words, distance, similarity``: the best window per document and item.
 
-    ``th`` is a hash of the text. The default radius leaves three standard deviations above the
-    distance that SimHash expects at the threshold.
+    ``th`` is a hash of the text.
     """
     bench = written(benchmark_items(items, item_col, item_text, shingle), "bench")
     n_items = bench.count()
     widths = [r[0] for r in bench.select("width").distinct().collect()]
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    sought = bench.select("width", "size", F.posexplode("grams").alias("q", "gram")).distinct()
-    n_sought = sought.count()
-    laid = []
+    anchors = written(_anchors(bench, threshold), "anchors")
+    n_anchors = anchors.count()
+    met = []
     for k in widths or [shingle]:
-        grams = rows.select("doc_id", "th", _word_hashes(F.col("text")).alias("_wh")).select("doc_id", "th", F.size("_wh").alias("n"), _grams(F.col("_wh"), k).alias("_g"))
+        grams = rows.select("doc_id", "th", _word_hashes(F.col("text")).alias("_wh")).select("doc_id", "th", _grams(F.col("_wh"), k).alias("_g"))
         # The outer form, as the inner one infers a filter whose pushdown would compute the grams anew per element.
-        placed = grams.select("doc_id", "th", "n", F.posexplode_outer("_g").alias("p", "gram"))
-        hits = placed.join(_sized(sought.filter(F.col("width") == k).select("gram", "q", "size"), n_sought), "gram")
-        start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("size")))
-        laid.append(hits.select("doc_id", "th", "size", F.lit(k).alias("width"), start.alias("start")))
-    windows = written(
-        reduce(DataFrame.union, laid).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("size", "width", "start")).alias("windows")),
-        "windows",
-    ).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "windows")
-    held = rows.join(_sized(windows, windows.count()), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
-    once = held.dropDuplicates(["_id", "_th"]).select("doc_id", "th", _word_hashes(F.col("text")).alias("_wh"), "windows")
-    cut = once.select("doc_id", "th", "_wh", F.inline("windows")).select(
-        "doc_id", "th", "size", "width", "start", F.slice("_wh", F.col("start") + 1, F.col("size")).alias("_wh")
-    )
+        placed = grams.select("doc_id", "th", F.explode_outer("_g").alias("gram"))
+        hits = placed.join(_sized(anchors.filter(F.col("width") == k).select("gram", "item_id"), n_anchors), "gram")
+        met.append(hits.select("doc_id", "th", "item_id"))
+    pairs = written(
+        reduce(DataFrame.union, met).groupBy("doc_id", "th").agg(F.collect_set("item_id").alias("items")), "pairs"
+    ).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "items")
+    held = rows.join(_sized(pairs, pairs.count()), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+    once = held.dropDuplicates(["_id", "_th"]).select("doc_id", "th", _word_hashes(F.col("text")).alias("_wh"), "items")
     shingled = reduce(
         lambda rest, k: F.when(F.col("width") == k, _grams(F.col("_wh"), k)).otherwise(rest), widths, F.array().cast("array<bigint>")
     )
-    grams = cut.select("doc_id", "th", "size", "start", shingled.alias("_wg"))
-    prints = written(grams.select("doc_id", "th", "size", "start", "_wg", _fingerprint(F.col("_wg")).alias("_wfp")), "window-prints")
-    keyed = prints.select("doc_id", "th", "size", "start", "_wg", "_wfp", F.inline(_blocks(F.col("_wfp"), radius + 1)))
-    index = bench.select("item_id", "size", "fp", F.inline(_blocks(F.col("fp"), radius + 1)))
-    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("_wfp")))
-    near = (
-        keyed.join(_sized(index, n_items * (radius + 1)), ["size", "block", "value"]).filter(apart <= radius)
-        .groupBy("doc_id", "th", "item_id", "start").agg(F.first("_wg").alias("_wg"), F.first(apart).alias("distance"))
+    met_items = once.select("doc_id", "th", "_wh", F.explode("items").alias("item_id")).join(_sized(bench, n_items), "item_id")
+    texts = met_items.select("doc_id", "th", "item_id", "size", "width", "grams", "fp", "weights", "whole", F.size("_wh").alias("n"), shingled.alias("_g"))
+    shared = F.filter(F.transform("_g", lambda g, p: F.struct(p.alias("p"), g.alias("g"))), lambda e: F.array_contains("grams", e["g"]))
+    places = F.filter(F.transform("grams", lambda g, q: F.struct(q.alias("q"), g.alias("g"))), lambda e: F.array_contains("_g", e["g"]))
+    starts = F.flatten(F.transform("_shared", lambda e: F.transform(
+        F.filter("_places", lambda o: o["g"] == e["g"]), lambda o: F.greatest(F.lit(0), F.least(e["p"] - o["q"], F.col("n") - F.col("size")))
+    )))
+    # Written, so that no filter or projection above computes the arrays of a text anew per window.
+    laid = written(
+        texts.withColumn("_shared", shared).withColumn("_places", places).withColumn("starts", F.array_distinct(starts)).drop("_shared", "_places"), "laid"
     )
-    known = bench.select("item_id", "size", "weights", "whole")
+    windows = laid.select("*", F.explode("starts").alias("start")).withColumn("_wg", F.slice("_g", F.col("start") + 1, F.size("grams"))).drop("_g", "starts")
     held_weight = F.aggregate(
         "weights", F.lit(0.0),
         lambda a, e: a + e["weight"] * F.when(e["n"] == 1, F.array_contains("_wg", e["gram"]).cast("int")).otherwise(
@@ -140,11 +133,10 @@ def contamination(
         ),
     )
     verified = (
-        near.join(_sized(known, n_items), "item_id")
-        .select("doc_id", "th", "item_id", "start", F.col("size").alias("n_words"), "distance", (held_weight / F.col("whole")).alias("similarity"))
-        .filter(F.col("similarity") >= threshold - 1e-12)
+        windows.withColumn("similarity", held_weight / F.col("whole")).filter(F.col("similarity") >= threshold - 1e-12)
+        .withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(_fingerprint(F.col("_wg")))))
     )
-    best = F.max(F.struct("similarity", (-F.col("distance")).alias("d"), (-F.col("start")).alias("s"), "n_words"))
+    best = F.max(F.struct("similarity", (-F.col("distance")).alias("d"), (-F.col("start")).alias("s"), F.col("size").alias("n_words")))
     return verified.groupBy("doc_id", "th", "item_id").agg(best.alias("b")).select(
         "doc_id", "th", "item_id", (-F.col("b.s")).cast("long").alias("start_word"), F.col("b.n_words").cast("long").alias("n_words"),
         (-F.col("b.d")).cast("int").alias("distance"), F.col("b.similarity").alias("similarity"),
