@@ -167,6 +167,20 @@ def test_nearest(spark):
     assert {r["neighbour"] for r in got} == {4, 6}
 
 
+def test_nearest_keeps_smallest_ids_of_equal_vectors_and_any_query_set(spark):
+    vectors = {i: [float(i % 3), 0.1 * (i % 3), 1.0] for i in range(90)}
+    e = spark.createDataFrame(list(vectors.items()), "vec_id long, vec array<double>").repartition(3)
+    for groups in ({}, {"query_group": 10, "base_group": 25, "block": 7}):
+        got = sorted((r["id"], r["rank"], r["neighbour"], round(r["distance"], 9)) for r in explore.nearest(e, e, 4, **groups).collect())
+        want = []
+        for i, v in vectors.items():
+            near = sorted((math.dist(v, w), j) for j, w in vectors.items() if j != i)[:4]
+            want += [(i, n + 1, j, round(d, 9)) for n, (d, j) in enumerate(near)]
+        assert got == want
+    many = spark.range(100_001).select(F.col("id").alias("vec_id"), F.array((F.col("id") % 7).cast("double")).alias("vec"))
+    assert explore.nearest(many, many.filter("vec_id < 3"), 1).count() == 100_001
+
+
 def test_pool_sink_is_idempotent(spark, tmp_path):
     rows = spark.createDataFrame([("s", "flow", 1, "w1", 2.0), ("s", "flow", 2, "w2", 3.0)], "sensor string, visao string, bucket long, window_id string, t0 double")
     for _ in range(2):
