@@ -277,3 +277,13 @@ def test_decontamination_weighs_shared_templates(spark):
     items = spark.createDataFrame([(i, " ".join(w)) for i, w in bench.items()], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contamination(docs, items, threshold=0.7).collect()}
     assert got == pytest.approx(want)
+
+
+def test_quality_classifier_fits_on_every_passage(spark):
+    """The only sign of a bad text lies in passages between 48 evenly spaced ones."""
+    passage = lambda vocabulary, i: " ".join(vocabulary[(i + j) % 6] for j in range(64))
+    rows = [(i, " ".join(passage(BAD if not i % 2 and p % 2 else GOOD, i + p) for p in range(95))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = passage_quality.score_quality(docs, passage_quality.fit_quality(docs, labels, held_out=None)).collect()
+    assert all(r["quality_ok"] == bool(r["doc_id"] % 2) for r in got)
