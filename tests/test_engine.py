@@ -160,6 +160,17 @@ def test_path_constant():
     assert models.path_constant(256) == pytest.approx(2 * (math.log(255) + 0.5772156649) - 2 * 255 / 256)
 
 
+def test_forest_query_has_all_trees(spark, monkeypatch):
+    from tidemark import catalog
+    from tidemark.plans import scoring
+
+    fitted = []
+    fit = models.fit_forest
+    monkeypatch.setattr(scoring.models, "fit_forest", lambda *a, **k: fitted.append(fit(*a, **k)) or fitted[-1])
+    catalog.queries()["iforest_fit_score"](spark, "/root/testdata/sf0.001")
+    assert fitted[0].nodes["tree"].nunique() == 200
+
+
 def test_nearest(spark):
     rows = [(i, [float(i), 0.0]) for i in range(20)]
     e = spark.createDataFrame(rows, "vec_id long, vec array<double>")

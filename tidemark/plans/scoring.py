@@ -134,7 +134,7 @@ def iforest_fit_score(spark, sf_dir):
     """Forest, threshold and flags fitted on the flows."""
     f = _flows_with_id(spark, sf_dir)
     scaled = stats.zscore(f, D_COLS)
-    scored = models.score_forest(scaled, models.fit_forest(scaled, D_COLS, "id", trees=50))
+    scored = models.score_forest(scaled, models.fit_forest(scaled, D_COLS, "id"))
     threshold = stats.exact_quantiles(scored, "score", [0.97]).first()["value"]
     return models.flag(scored.select(*KEY, "score"), threshold)
 
