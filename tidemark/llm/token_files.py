@@ -9,21 +9,24 @@ A file set has two tables below one path:
   per document, ids as little-endian unsigned integers of ``width`` bytes).
 
 A short document is read by the block whose id range holds it, one slice and one small frame. Ids
-come from the tokenizers library; its pre-tokenizer never reaches over a single space that follows
-a character that is no white space, so texts are cut there and the ids of each piece are kept in a
-bounded cache. Every ``verify_every``-th text is checked whole.
-
-Edge cases: a null text counts as empty and holds the end id only; null ids come first; equal ids
-are ordered by the hash of their text; repeated rows are stored again; an empty table gives an
-empty set with an empty dictionary. A hot id is split over partitions by its texts.
+come from the tokenizers library, which keeps its own treatment of added tokens such as
+``<|endoftext|>``; the ids of pieces of text are kept in a bounded cache (see ``ByteEncoder``). Every
+``verify_every``-th text is checked whole.
+
+Edge cases: a null text counts as empty and holds the end id only; ids are whole numbers (a column of
+another type raises ``TypeError``); null ids come first; equal ids are ordered by the hash of their
+text; repeated rows are stored again; an empty table gives an empty set with an empty dictionary;
+other columns are ignored. A hot id is split over partitions by its texts.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,86 +36,157 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from tokenizers import Tokenizer
 
-from tidemark.llm.workspace import partitions
+from tidemark.llm.workspace import hash_share, partitions
 
 #: Fixed value: the published pre-tokenizer pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Byte-level vocabularies spell each byte as a visible character: printable Latin-1 bytes stay, the
 #: others follow in order from U+0100.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-VISIBLE = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-CACHE_WORDS = 900_000
+_OTHERS = iter(range(256, 512))
+VISIBLE = "".join(chr(b if b in _PRINTABLE else next(_OTHERS)) for b in range(256))
+SPACE = VISIBLE[32]
+RUN_WORDS = 64
+#: Characters of text whose new words are merged together.
+SLICE_CHARS = 2 << 20
+CACHE_PIECES, CACHE_MARKS = 900_000, 65_536
 MARKS = frozenset(".,;:!?")
-_UNSAFE = re.compile(r"\s ")
-
-
-class _Words(dict):
-    """Packed ids by word, for one thing that may stand before it; a missing word is encoded and kept."""
-
-    def __init__(self, encoder: ByteEncoder, before: str):
-        super().__init__()
-        self.encoder, self.before = encoder, before
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        packed = self[word] = self.encoder.encode_word(self.before, word)
-        return packed
+_UNSAFE = re.compile(r"\s\s")
+_CROSSES = re.compile("[^\\W\\d_] |\ufffd ")
 
 
 class ByteEncoder:
-    """Ids of texts by the tokenizers library, with bounded caches of words."""
+    """Ids of texts by the tokenizers library, with a bounded cache of pieces of text.
+
+    The pre-tokenizer never reaches over a white space character that stands between two others, but
+    for a space, which it takes along with what follows. So a text without two of them in a row is cut
+    before each space and each line feed: a piece is what follows a space, or a line feed and what
+    follows it. A line feed is put before each text for its first piece and its id taken off again.
+    Other texts, and those that hold an added token, go through the library whole.
+    """
 
     def __init__(self, tokenizer_json: str, verify_every: int = 200):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = regex.compile(PATTERN).findall
-        self.model = self.tokenizer.model
+        # A copy, whose own cache of ten thousand words costs more here than it saves.
+        self.model = Tokenizer.from_str(tokenizer_json).model
+        self.model._resize_cache(0)
+        vocabulary = self.tokenizer.get_vocab()
+        #: Which ids start with a space.
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token[:1] == SPACE]] = True
+        # No token reaches from a letter over a space, so words of letters may be merged in one run.
+        inner = (bytes(map(VISIBLE.find, t)).decode(errors="replace") for t in vocabulary if SPACE in t[1:] and set(t) <= set(VISIBLE))
+        self.run = 1 if any(_CROSSES.search(t) for t in inner) else RUN_WORDS
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.dtype = np.dtype(f"<u{self.width}")
-        self.first, self.later = _Words(self, ""), _Words(self, " ")
+        self.known: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         self.verify_every = verify_every
         self.seen = 0
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+    def _merged(self, text: str) -> list[int]:
+        """Ids of one pre-token, or of words in a row, by the library's merge model over its visible byte alphabet."""
+        return [t.id for t in self.model.tokenize(charmap_decode(text.encode(), "strict", VISIBLE)[0])]
 
     def _part(self, part: str) -> bytes:
-        """Ids of one pre-token, by the library's merge model over its visible byte alphabet."""
-        visible = part.encode().decode("latin-1").translate(VISIBLE)
-        return array(self.code, [t.id for t in self.model.tokenize(visible)]).tobytes()
-
-    def encode_word(self, before: str, word: str) -> bytes:
-        """Ids of a word with what stands before it; plain words need no pattern."""
-        if word.isalpha():
-            return self._part(before + word)
-        mark = word[-1:]
-        if mark in MARKS and word[:-1].isalpha():
-            if mark not in self.marks:
-                self.marks[mark] = self._part(mark)
-            return self._part(before + word[:-1]) + self.marks[mark]
-        return b"".join(map(self._part, self.split(before + word)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text in file form, without an end id."""
-        out = []
+        return array(self.code, self._merged(part)).tobytes()
+
+    def _mark(self, part: str) -> bytes:
+        """Ids of a pre-token that holds no letter."""
+        ids = self.marks.get(part)
+        if ids is None:
+            if len(self.marks) >= CACHE_MARKS:
+                self.marks.clear()
+            ids = self.marks[part] = self._part(part)
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        before, word = ("", piece[1:]) if piece[:1] == "\n" else (" ", piece)
+        lead = b"" if before else self._mark("\n")
+        return lead + b"".join([self._part(p) if p[-1].isalpha() else self._mark(p) for p in self.split(before + word)])
+
+    def _learn(self, words: list[str]) -> None:
+        """Keep the ids of words of letters with a space before them, merged in runs."""
+        for at in range(0, len(words), self.run):
+            run = words[at : at + self.run]
+            ids = np.array(self._merged(" " + " ".join(run)), dtype=self.dtype)
+            edges = [*(np.flatnonzero(self.spaced[ids]) * self.width).tolist(), len(ids) * self.width]
+            packed = ids.tobytes()
+            self.known.update(zip(run, [packed[a:b] for a, b in zip(edges, edges[1:])]))
+
+    def _add(self, fresh: set[str]) -> None:
+        """Keep the ids of pieces; a word with a mark after it is put together from both."""
+        words: dict[str, None] = {}
+        marked = []
+        for piece in fresh:
+            if piece.isalpha():
+                words[piece] = None
+            elif piece[-1:] in MARKS and piece[:-1].isalpha():
+                marked.append(piece)
+                if piece[:-1] not in self.known:
+                    words[piece[:-1]] = None
+            else:
+                self.known[piece] = self._piece(piece)
+        self._learn(list(words))
+        for piece in marked:
+            self.known[piece] = self.known[piece[:-1]] + self._mark(piece[-1])
+
+    def _slice(self, texts: list[str]) -> list[bytes]:
+        # Lists of words hold no cycles; looking for some takes a tenth of the time.
+        gc.disable()
+        try:
+            return self._encoded(texts)
+        finally:
+            gc.enable()
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        known, size = self.known.get, self.width
+        cut: list[tuple[list, list] | None] = []
+        fresh: set[str] = set()
         for text in texts:
-            if _UNSAFE.search(text):
-                out += self._library([text])
+            if _UNSAFE.search(text) or any(t in text for t in self.added):
+                cut.append(None)
                 continue
-            first, *later = text.split(" ")
-            out.append(self.first[first] + b"".join(map(self.later.__getitem__, later)))
-        for text, ids in zip(texts, out):
+            pieces = text.replace("\n", " \n").split(" ")
+            pieces[0] = "\n" + pieces[0]
+            found = list(map(known, pieces))
+            if None in found:
+                fresh.update([p for p, ids in zip(pieces, found) if ids is None])
+            cut.append((pieces, found))
+        self._add(fresh)
+        out = []
+        for text, own in zip(texts, cut):
+            if own is None:
+                ids = self._library(text)
+            else:
+                ids = b"".join([known(p) if ids is None else ids for p, ids in zip(*own)] if None in own[1] else own[1])[size:]
             self.seen += 1
-            if self.verify_every and self.seen % self.verify_every == 0 and self._library([text])[0] != ids:
+            if self.verify_every and self.seen % self.verify_every == 0 and self._library(text) != ids:
                 raise RuntimeError(f"the tokenizers library gives other ids for a text of {len(text)} characters")
+            out.append(ids)
+        if len(self.known) > CACHE_PIECES:
+            self.known.clear()
         return out
 
+    def encode(self, column: pa.Array) -> Iterator[tuple[int, bytes]]:
+        """Number and ids in file form, without an end id, of each text of ``column``."""
+        start, held, texts = 0, 0, []
+        for i in range(len(column)):
+            texts.append(column[i].as_py())
+            held += len(texts[-1])
+            if held >= SLICE_CHARS or i == len(column) - 1:
+                yield from enumerate(self._slice(texts), start)
+                start, held, texts = i + 1, 0, []
+
 
 #: One encoder a worker process, whatever the number of tasks it runs.
 _ENCODERS: dict[str, ByteEncoder] = {}
@@ -144,11 +218,13 @@ def write_token_files(
 ) -> None:
     """Write the token files of ``docs`` below ``path``.
 
-    The dictionary is trained on at most ``dict_docs`` documents, those with the smallest id hashes;
-    it changes sizes only. Documents are range-partitioned and sorted by id, so a part holds ids
-    below those of the next.
+    The dictionary is trained on at most ``dict_docs`` documents, those with the smallest hashes; it
+    changes sizes only. Documents are range-partitioned and sorted by id, so a part holds ids below
+    those of the next.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} holds {docs.schema[id_col].dataType.simpleString()}, not whole numbers")
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_json = f.read()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -158,9 +234,12 @@ def write_token_files(
     def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(share.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(encoder.encode(batch.column(0).to_pylist()), pa.binary())], names=["ids"])
+            found = [ids for _, ids in encoder.encode(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["ids"])
 
-    picked = tail.select("text", F.xxhash64("doc_id", "th").alias("_o")).orderBy("_o").limit(dict_docs).select("text")
+    # About four times what is wanted passes the bound on the hash, however many partitions there are.
+    near = hash_share(F.xxhash64("doc_id", "th")) * max(1, rows.count()) <= 4 * dict_docs + 64
+    picked = tail.filter(near).select("text", F.xxhash64("doc_id", "th").alias("_o")).orderBy("_o").limit(dict_docs).select("text")
     samples = sorted(bytes(r[0]) for r in picked.mapInArrow(serialized, "ids binary").collect())
     dictionary = train_dictionary(samples, dict_bytes)
     digest = hashlib.sha256(dictionary).hexdigest()
@@ -188,18 +267,17 @@ def write_token_files(
             return pa.RecordBatch.from_pydict(row, schema=_BLOCK_ARROW)
 
         held = 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                for doc_id, packed in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                    frame = packer.compress(packed + end)
-                    ids.append(doc_id)
-                    sizes.append(len(packed) // encoder.width + 1)
-                    frames.append(frame)
-                    held += len(frame)
-                    if len(ids) >= block_docs or held >= block_bytes:
-                        held = 0
-                        yield full()
+        for batch in batches:
+            doc_ids = batch.column(0).to_pylist()
+            for i, found in encoder.encode(batch.column(1)):
+                frame = packer.compress(found + end)
+                ids.append(doc_ids[i])
+                sizes.append(len(found) // encoder.width + 1)
+                frames.append(frame)
+                held += len(frame)
+                if len(ids) >= block_docs or held >= block_bytes:
+                    held = 0
+                    yield full()
         if ids:
             yield full()
 

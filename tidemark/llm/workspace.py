@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 
@@ -17,19 +18,28 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Clusters name it in ``spark.checkpoint.dir``; where that is unset (tests, one machine) a
-    temporary folder of this process takes its place.
+    Where that is unset, a temporary folder of this process takes its place on a session of one
+    machine (``local``); on a cluster ``RuntimeError`` is raised.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _FALLBACK.setdefault("dir", tempfile.mkdtemp(prefix="tidemark-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        if "dir" not in _FALLBACK:
+            _FALLBACK["dir"] = tempfile.mkdtemp(prefix="tidemark-")
+        base = _FALLBACK["dir"]
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def hash_share(h: Column) -> Column:
+    """A 64-bit hash as a number from 0 to 1."""
+    return h / F.lit(2.0**64) + 0.5
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A path below the shared folder that no other call has got."""
     return f"{shared_dir(spark)}/tidemark/{what}-{uuid.uuid4().hex}"
