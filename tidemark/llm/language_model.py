@@ -5,9 +5,11 @@ power of two below c(h). The weights are learned by expectation-maximisation on
 that the maximum-likelihood estimates leave out; final estimates use all training documents.
 
 Every word is a history of its own and every (history, word) count is exact. Blocks of documents
-send each of their distinct words and pairs once, with its counts in the block, to the partition of
-its hash; the totals come back to the block. So a hot pair costs one entry per block, and nothing
-that grows with the vocabulary is broadcast or collected. As a history is followed by exactly one
+send each of their distinct words and pairs once, with its counts in the block, to the range of
+hashes it falls in; the totals come back to the block. So a hot pair costs one entry per block, and
+nothing that grows with the vocabulary is broadcast or collected. There is a range for every
+``RANGE_BYTES`` of text, and Spark sorts what a task reads by range and by block, so that a task holds
+one range or one block at a time, however many of them it gets. As a history is followed by exactly one
 token, c(h) is the count of the word h. The weights need the ratio of the two estimates at each
 token of the fold only: a histogram of ratios per b, in steps of 1 / ``STEPS`` of an octave and with
 the mean ratio of each step, goes to the driver (a fixed size).
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.workspace import partitions, written
 
 BLOCK_DOCS, BLOCK_BYTES = 8192, 16 << 20
+RANGE_BYTES = 32 << 20
 STEPS = 64
 MAIN, FOLD, HELD = 0, 1, 2
 #: The step of a ratio of zero.
@@ -108,8 +111,12 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
-def _keys(hashes: np.ndarray, ids: np.ndarray, n_buckets: int):
-    """Keys of a block's words (odd) and pairs (even), the pair of each token, and the keys' order by partition with its edges."""
+def _starts(n_ranges: int) -> np.ndarray:
+    return np.array([(b << 64) // n_ranges for b in range(n_ranges)], dtype=np.uint64)
+
+
+def _keys(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray):
+    """Keys of a block's words (odd) and pairs (even), the pair of each token, and the keys' order with the edges of the ranges."""
     code = np.concatenate([ids[-1:], ids[:-1]]) * np.int64(len(hashes)) + ids
     pairs, pair = np.unique(code, return_inverse=True)
     h, w = hashes[pairs // len(hashes)], hashes[pairs % len(hashes)]
@@ -118,15 +125,15 @@ def _keys(hashes: np.ndarray, ids: np.ndarray, n_buckets: int):
         mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(by)
     mixed ^= mixed >> np.uint64(31)
     keys = np.concatenate([hashes | np.uint64(1), mixed & ~np.uint64(1)])
-    # Partitions are ranges of keys, so that sorted keys can be sent by their differences.
+    # Sorted keys are sent by their differences.
     order = np.argsort(keys)
-    starts = np.array([(b << 64) // n_buckets for b in range(n_buckets)], dtype=np.uint64)
     return keys, pair, order, np.append(np.searchsorted(keys[order], starts), len(keys))
 
 
-def _tallied(docs: DataFrame, held_out: tuple[int, int], fold: int, smooth: float) -> DataFrame:
+def _tallied(docs: DataFrame, held_out: tuple[int, int], fold: int, smooth: float, n_ranges: int) -> DataFrame:
     """One row per block with the counts c(w) and c(h, w) of its tokens, and the rows of ``_RATIOS`` and ``_TOTALS``."""
-    n_buckets = partitions(docs.sparkSession)
+    n_parts = partitions(docs.sparkSession)
+    starts = _starts(n_ranges)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block = TaskContext.get().partitionId(), 0
@@ -143,14 +150,14 @@ def _tallied(docs: DataFrame, held_out: tuple[int, int], fold: int, smooth: floa
             ids = np.array(flat, dtype=np.int64)
             # No word holds a space, so the end mark has a hash of its own.
             hashes = np.array([xxhash.xxh64_intdigest(b" " if w is None else w, 42) for w in index], dtype=np.uint64)
-            keys, pair, order, edges = _keys(hashes, ids, n_buckets)
+            keys, pair, order, edges = _keys(hashes, ids, starts)
             split = np.repeat(head["split"], head["n"])
             main, held = (
                 np.concatenate([np.bincount(ids[split == s], minlength=len(hashes)), np.bincount(pair[split == s], minlength=len(keys) - len(hashes))])
                 for s in (MAIN, FOLD)
             )
             key = part << 32 | block
-            rows = {"bucket": [(part + block) % n_buckets], "block": [key], "head": [True], "n": [len(ids)], "a": [head.tobytes()], "b": [hashes.tobytes()], "c": [_packed(ids)]}
+            rows = {"bucket": [-1], "block": [key], "head": [True], "n": [len(ids)], "a": [head.tobytes()], "b": [hashes.tobytes()], "c": [_packed(ids)]}
             for b in np.flatnonzero(np.diff(edges)).tolist():
                 at = order[edges[b] : edges[b + 1]]
                 for k, v in zip(rows, (b, key, False, len(at), _packed(np.diff(keys[at], prepend=np.uint64(0))), _packed(main[at]), _packed(held[at]))):
@@ -161,14 +168,22 @@ def _tallied(docs: DataFrame, held_out: tuple[int, int], fold: int, smooth: floa
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries: list[tuple] = []
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["head"]:
-                    yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
-                else:
-                    own = np.cumsum(_unpacked(row["a"], row["n"]).view(np.uint64), dtype=np.uint64)
-                    entries.append((row["bucket"], row["block"], own, row["b"], row["c"]))
-        if not entries:
-            return
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                if one.column(2)[0].as_py():
+                    yield one
+                    continue
+                row = one.to_pylist()[0]
+                if entries and entries[0][0] != row["bucket"]:
+                    yield from summed(entries)
+                    entries = []
+                own = np.cumsum(_unpacked(row["a"], row["n"]).view(np.uint64), dtype=np.uint64)
+                entries.append((row["bucket"], row["block"], own, row["b"], row["c"]))
+        if entries:
+            yield from summed(entries)
+
+    def summed(entries: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """The entries of one range with their totals."""
         keys, inverse = np.unique(np.concatenate([e[2] for e in entries]), return_inverse=True)
         totals = []
         for i in (3, 4):
@@ -186,24 +201,31 @@ def _tallied(docs: DataFrame, held_out: tuple[int, int], fold: int, smooth: floa
             yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads: dict[int, dict] = {}
-        back: dict[int, dict[int, dict]] = {}
         sums = np.zeros(3, np.int64)
-        ratios: dict[int, list] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["block"] < 0:
-                    sums += np.frombuffer(row["a"], "<i8")
-                elif row["head"]:
-                    heads[row["block"]] = row
-                else:
-                    back.setdefault(row["block"], {})[row["bucket"]] = row
-        for block in sorted(heads):
-            row = heads.pop(block)
+        ratios: dict[tuple[int, int], list] = {}
+
+        def blocks() -> Iterator[tuple[dict, list[dict]]]:
+            """The head of each block and what came back of it, in the order of ranges."""
+            head, back = None, []
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    if row["block"] < 0:
+                        np.add(sums, np.frombuffer(row["a"], "<i8"), out=sums)
+                    elif row["head"]:
+                        if head:
+                            yield head, back
+                        head, back = row, []
+                    else:
+                        back.append(row)
+            if head:
+                yield head, back
+
+        for row, parts in blocks():
+            block = row["block"]
             head, hashes, ids = np.frombuffer(row["a"], _HEAD), np.frombuffer(row["b"], "<u8"), _unpacked(row["c"], row["n"])
-            keys, pair, order, _ = _keys(hashes, ids, n_buckets)
+            keys, pair, order, _ = _keys(hashes, ids, starts)
             main, held = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
-            parts = [p for _, p in sorted(back.pop(block).items())]
             main[order] = np.concatenate([_unpacked(p["b"], p["n"]) for p in parts])
             held[order] = np.concatenate([_unpacked(p["c"], p["n"]) for p in parts])
             both = main + held
@@ -226,24 +248,26 @@ def _tallied(docs: DataFrame, held_out: tuple[int, int], fold: int, smooth: floa
         rows += [{"block": _RATIOS, "octave": o, "step": s, "n": k, "total": t} for (o, s), (k, t) in ratios.items()]
         yield pa.RecordBatch.from_pylist(rows, schema=_TALLIED_ARROW)
 
-    home = F.pmod(F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(n_buckets)).cast("int")
+    home = F.pmod(F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(n_parts)).cast("int")
+    own = F.floor(F.col("bucket").cast("long") * n_parts / n_ranges).cast("int")
     return (
-        docs.mapInArrow(places, _ROWS).repartitionById(n_buckets, "bucket").mapInArrow(counted, _ROWS)
-        .repartitionById(n_buckets, home).mapInArrow(joined, _TALLIED)
+        docs.mapInArrow(places, _ROWS).repartitionById(n_parts, F.when(F.col("head"), home).otherwise(own))
+        .sortWithinPartitions("bucket").mapInArrow(counted, _ROWS)
+        .repartitionById(n_parts, home).sortWithinPartitions("block", "bucket").mapInArrow(joined, _TALLIED)
     )
 
 
 def score_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (10, 0), fold: int = 1, smooth: float = 0.1,
-    lexicon: int | None = None, contexts: int | None = None,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs``.
 
-    Fits on the documents whose id remainder is not ``held_out[1]``. ``lexicon`` and ``contexts`` are
-    accepted from earlier callers and change nothing: no word or history is left out.
+    Fits on the documents whose id remainder is not ``held_out[1]``; no word or history is left out.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    tallied = written(_tallied(rows, held_out, fold, smooth), "tallied")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n_ranges = max(partitions(docs.sparkSession), -(-size // RANGE_BYTES))
+    tallied = written(_tallied(rows, held_out, fold, smooth, n_ranges), "tallied")
     small = tallied.filter("block < 0").groupBy("block", "octave", "step").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).toArrow().to_pandas()
     sums = small[small["block"] == _TOTALS].groupby("step")["n"].sum()
     n_types, n_main, n_fold = (int(sums.get(i, 0)) for i in range(3))
