@@ -23,13 +23,8 @@ SYMBOLS = "#*$%&|<>"
 #: Statistics that rules may test: shares and means, so that they mean the same at every length.
 FEATURES = (
     "mean_word_chars", "symbol_per_word", "dup_line_share", "repeat_share", "upper_share", "digit_share",
-    "alpha_word_share", "bang_per_word", "words_per_line", "stop_share", "distinct_share",
+    "alpha_word_share", "bang_per_word", "words_per_line", "distinct_share",
 )
-#: Frequent function words of the corpus languages.
-STOP_WORDS = (
-    "the of and to in a is that it for on was be with as by at this are from "
-    "de la le et les des en un du que qui dans pour der die das und zu den mit von ist nicht ein auf el los se por una con para"
-).split()
 
 
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeat_window: int = 5) -> DataFrame:
@@ -84,10 +79,11 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         chars("0123456789").alias("_digit"),
         chars("!").alias("_bang"),
         F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))).alias("_alpha"),
-        F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).alias("_stop"),
         F.size(F.array_distinct(w)).alias("_distinct"),
         F.col("_n_full").alias("_n_full"),
     )
+    # A generator of one row: no filter or projection of a caller reaches below it to compute the arrays anew.
+    counted = counted.select(F.inline_outer(F.array(F.struct(*counted.columns))))
     one = lambda c: F.greatest(c, F.lit(1))
     words, size = one(F.col("n_words")), one(F.col("word_chars"))
     return counted.select(
@@ -101,7 +97,6 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         (F.col("_alpha") / words).alias("alpha_word_share"),
         (F.col("_bang") / words).alias("bang_per_word"),
         (F.col("n_words") / one(F.col("_n_full"))).alias("words_per_line"),
-        (F.col("_stop") / words).alias("stop_share"),
         (F.col("_distinct") / words).alias("distinct_share"),
     )
 
