@@ -22,6 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.workspace import hash_share, hot
+
 DICTIONARY_MAGIC = 0x184D2A5D
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 FRAME_MAGIC = 0xFD2FB528
@@ -161,8 +163,9 @@ def page_row(record: Record) -> dict:
 def mark_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """``page_id, url, payload, payload_digest, revisit, refers_to`` per row of pages (page_id, url, html).
 
-    Copies are counted with map-side aggregation; only digests found twice or more take part in the
-    join, an equi-join that adaptive execution may split or broadcast by size.
+    Copies are counted with map-side aggregation on digests and sizes alone. Digests of more than a
+    ``HOT``-th of all pages meet their rows by a broadcast; rows that can't be copies get keys of their
+    own in the shuffled join of the others, so that no key of it is large.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     rows = pages.select(
@@ -173,22 +176,31 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
         rows.filter(F.col("_size") >= min_bytes).groupBy("payload_digest", "_size")
         .agg(F.count("*").alias("_n"), F.max("page_id").alias("_first")).filter("_n > 1")
     )
-    joined = rows.join(copies, ["payload_digest", "_size"], "left")
-    revisit = F.col("_n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
+    total = pages.count()
+    many = copies.filter(hot(copies, "_n", total)).select(F.col("payload_digest").alias("_hot"), F.col("_size").alias("_hot_size"), F.col("_first").alias("_hot_first"))
+    few = copies.filter(~hot(copies, "_n", total)).select(F.concat_ws("/", "payload_digest", "_size").alias("_key"), F.col("_first").alias("_cold_first"), F.lit(True).alias("_cold"))
+    told = rows.join(F.broadcast(many), (F.col("payload_digest") == F.col("_hot")) & (F.col("_size") == F.col("_hot_size")), "left")
+    key = F.when((F.col("_size") >= min_bytes) & F.col("_hot").isNull(), F.concat_ws("/", "payload_digest", "_size")).otherwise(
+        F.concat_ws("-", F.lit("alone"), "page_id", F.xxhash64("url", "page_id"))
+    )
+    joined = told.withColumn("_key", key).join(few, "_key", "left").withColumn("_first", F.coalesce("_hot_first", "_cold_first"))
+    revisit = (F.col("_hot").isNotNull() | F.col("_cold").isNotNull()) & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return joined.select("page_id", "url", "payload", "payload_digest", revisit.alias("revisit"), F.when(revisit, F.col("_first")).alias("refers_to"))
 
 
 def write_archives(
     pages: DataFrame, path: str, min_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z", dict_pages: int = 200,
-    dict_bytes: int = 65_536, level: int = 3,
+    dict_bytes: int = 65_536, level: int = 3, file_records: int = 4096,
 ) -> None:
-    """Write one archive file a partition below ``path``.
+    """Write archive files of at most ``file_records`` records below ``path``.
 
-    The dictionary is trained on at most ``dict_pages`` pages, those with the smallest id hashes.
+    The dictionary is trained on at most ``dict_pages`` pages, those with the smallest hashes.
     """
+    order = F.xxhash64("page_id", "html")
+    # About four times what is wanted passes the bound on the hash, however many partitions there are.
+    near = hash_share(order) * max(1, pages.count()) <= 4 * dict_pages + 64
     few = (
-        pages.select(F.coalesce("html", F.lit("")).alias("html"), F.xxhash64("page_id", "html").alias("_o"))
-        .orderBy("_o").limit(dict_pages).agg(F.collect_list("html")).first()[0]
+        pages.filter(near).select(F.coalesce("html", F.lit("")).alias("html"), order.alias("_o")).orderBy("_o").limit(dict_pages).agg(F.collect_list("html")).first()[0]
     )
     # Aggregated by a task: a bare ordered limit sends the candidates of every partition to the driver.
     samples = sorted(h.encode() for h in few)
@@ -200,20 +212,20 @@ def write_archives(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
         packer = zstandard.ZstdCompressor(level=level, write_checksum=True, **used)
-        opened = False
+        done = 0
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
-                rows = whole.slice(at, 256).to_pylist()
-                frames = [] if opened else [skippable_frame(DICTIONARY_MAGIC, dictionary)]
-                opened = True
-                frames += [
-                    packer.compress(page_record(r["page_id"], r["url"], r["payload"], r["payload_digest"], r["revisit"], r["refers_to"], date))
-                    for r in rows
-                ]
+                frames = []
+                for r in whole.slice(at, 256).to_pylist():
+                    if done % file_records == 0:  # the writer starts a file here
+                        frames.append(skippable_frame(DICTIONARY_MAGIC, dictionary))
+                    record = page_record(r["page_id"], r["url"], r["payload"], r["payload_digest"], r["revisit"], r["refers_to"], date)
+                    frames.append(packer.compress(record))
+                    done += 1
                 yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
 
     frames = mark_revisits(pages, min_bytes).mapInArrow(run, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", file_records + 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:

@@ -14,6 +14,8 @@ _FALLBACK: dict[str, str] = {}
 WHITE = " \t\n\x0b\x0c\r"
 #: One word is a run of anything else.
 WORD_GAP = r"[\x20\x09-\x0D]+"
+#: One key with more than this part of all rows is hot.
+HOT = 10_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -56,6 +58,20 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table that no later step reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def hot(df: DataFrame, rows: str, total: int) -> Column:
+    """Whether the key of a row of ``df`` holds over a ``HOT``-th of all ``total`` rows of another table.
+
+    ``rows`` is the number of them that hold the key, so fewer than ``HOT`` keys are hot and may be broadcast.
+    """
+    return df[rows] * HOT > total
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions of the session, at least one."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
