@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.workspace import written
+from tidemark.llm.workspace import forget, fresh_path
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,14 +26,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """``node, root`` for every node of ``edges`` (two columns of one type); root is the least node.
 
-    Each round is written to the shared folder; the driver sees two numbers a round. Self links
-    and repeated links are allowed; an empty table gives an empty result.
+    Each round is written to the shared folder and the one before it deleted; the driver sees two
+    numbers a round. Self links and repeated links are allowed; an empty table gives an empty result;
+    ``RuntimeError`` where ``max_rounds`` rounds do not do.
     """
     a, b = edges.columns
-    now = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct(), "links")
+    spark = edges.sparkSession
+
+    def kept(links: DataFrame) -> tuple[DataFrame, str]:
+        path = fresh_path(spark, "links")
+        links.write.parquet(path)
+        return spark.read.schema(links.schema).parquet(path), path
+
+    now, path = kept(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct())
     before = None
     for _ in range(max_rounds):
-        now = written(_small_star(_large_star(now)), "links")
+        old = path
+        now, path = kept(_small_star(_large_star(now)))
+        forget(spark, old)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark) == before:
             break

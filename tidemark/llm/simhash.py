@@ -7,7 +7,8 @@ thresholds with the least estimated work. Every distinct fingerprint probes the
 of its own in partition i, and each candidate is verified by its whole distance.
 
 Copies share a fingerprint and take part once, so groups of copies cost nothing; links join
-distinct fingerprints, and components are found with written rounds. The fit reads a bounded sample
+distinct fingerprints, and components are found with written rounds. At the end the rows of hot
+fingerprints (fewer than ``HOT``) meet their class by a broadcast, the others by a shuffle. The fit reads a bounded sample
 of fingerprints; it shapes the work only, the result is exact for every fit.
 
 Edge cases: a null text counts as empty and has fingerprint zero; texts below ``shingle`` words are
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.workspace import written
+from tidemark.llm.workspace import hash_share, hot, written
 
 SEED = 42
 BITS = 64
@@ -170,18 +171,25 @@ def near_duplicates(
     """
     rows = written(fingerprints(docs, id_col, text_col, shingle), "prints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("least")
-    prints = written(rows.groupBy("fp").agg(least), "distinct-prints")
-    picked = [r[0] for r in prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()]
-    plan = make_plan(np.array(picked, dtype=np.int64).view(np.uint64), prints.count(), radius, parts)
+    prints = written(rows.groupBy("fp").agg(least, F.count("*").alias("n")), "distinct-prints")
+    n_prints, n_rows = prints.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # About twice the sample passes the bound on the hash, however many partitions there are.
+    near = prints.select("fp").filter(hash_share(F.xxhash64("fp")) * max(1, n_prints) <= 2 * sample + 64)
+    picked = [r[0] for r in near.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()]
+    plan = make_plan(np.array(picked, dtype=np.int64).view(np.uint64), n_prints, radius, parts)
     roots = components(links(prints.select("fp"), plan, radius))
     classed = prints.join(roots, prints["fp"] == roots["node"], "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "least"
+        "fp", F.coalesce("root", "fp").alias("root"), "least", "n"
     )
     heads = classed.filter("root <> fp").groupBy("root").agg(F.min("least").alias("other"))
     own = classed.filter("root = fp").join(heads, "root", "left")
     by_root = own.select("root", F.when(F.col("other") < F.col("least"), F.col("other")).otherwise(F.col("least")).alias("rep"))
-    found = classed.select("fp", "root").join(by_root, "root").select("fp", F.struct("rep.doc_id", "rep.th").alias("rep"))
-    return rows.join(found, "fp").select("doc_id", "th", "fp", "rep")
+    found = written(classed.select("fp", "root", "n").join(by_root, "root").select("fp", "n", F.struct("rep.doc_id", "rep.th").alias("rep")), "classes")
+    many = found.filter(hot(found, "n", n_rows)).select("fp", "rep")
+    few = found.filter(~hot(found, "n", n_rows)).select("fp", "rep")
+    # Fingerprints that many rows share are joined where the rows lie.
+    rest = rows.join(F.broadcast(many.select(F.col("fp").alias("_hot"))), F.col("fp") == F.col("_hot"), "left_anti")
+    return rows.join(F.broadcast(many), "fp").unionByName(rest.join(few, "fp")).select("doc_id", "th", "fp", "rep")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
