@@ -290,3 +290,139 @@ def test_quality_classifier_fits_on_every_passage(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     got = passage_quality.score_quality(docs, passage_quality.fit_quality(docs, labels, held_out=None)).collect()
     assert all(r["quality_ok"] == bool(r["doc_id"] % 2) for r in got)
+
+
+def test_warc_keeps_files_small_and_shares_hot_payloads(spark, none, tmp_path):
+    """Null and tied ids, a payload of a third of the rows, several files of a partition, an empty table."""
+    big = ["<b>" + str(k) * 1500 for k in range(40)]
+    rows = [(i, f"http://h/{i}\r\n", big[0] if i % 3 == 0 else big[i % 40]) for i in range(300)] + [(None, None, big[1]), (7, "x", None), (299, "y", big[299 % 40])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    warc.write_archives(pages, str(tmp_path / "a"), file_records=50)
+    assert len(list((tmp_path / "a").glob("part-*"))) >= 6
+    got = Counter((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, str(tmp_path / "a")).collect())
+    sha1 = lambda h: hashlib.sha1((h or "").encode()).hexdigest()
+    last = {}
+    for i, _, h in rows:
+        last[sha1(h)] = max(last.get(sha1(h), -1), -1 if i is None else i)
+    want = Counter(
+        (i, sha1(h), "revisit", last[sha1(h)]) if h and i != last[sha1(h)] else (i, sha1(h), "response", None) for i, _, h in rows
+    )
+    assert got == want
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write_archives(empty, str(tmp_path / "e"))
+    assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_warc_rejects_broken_archives():
+    import zstandard
+
+    record = warc.page_record(1, "u", b"<p>", hashlib.sha1(b"<p>").hexdigest(), False, None, "2024-01-01T00:00:00Z")
+    frame = zstandard.ZstdCompressor().compress(record)
+    head = warc.skippable_frame(warc.DICTIONARY_MAGIC, b"")
+    whole = head + frame + warc.SEPARATOR.encode()
+    assert [warc.page_row(warc.parse_record(f))["page_id"] for f in warc.read_frames(whole)] == [1]
+    for broken in (frame, head + frame[:-3], head + b"junk", warc.skippable_frame(warc.DICTIONARY_MAGIC, b"abc")[:-1], head + frame[:8] + b"\xff" * 20):
+        with pytest.raises(warc.WarcError):
+            list(warc.read_frames(broken))
+    for bad in (record[:-1], record.replace(b"WARC-Date", b"WARC-Type"), record.replace(b"WARC-Date", b"X-Date"), b"HTTP/1.1 200\r\n\r\n", record.replace(b"<p>", b"<q>")):
+        with pytest.raises(warc.WarcError):
+            warc.page_row(warc.parse_record(bad))
+
+
+def test_components_of_a_long_chain(spark):
+    from tidemark.llm.components import components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
+    got = dict(components(edges).collect())
+    assert got == {**{i: 0 for i in range(61)}, 500: 500, 501: 500}
+    assert components(edges.limit(0)).count() == 0
+    with pytest.raises(RuntimeError):
+        components(edges, max_rounds=1)
+
+
+def test_token_files_edges(spark, none, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    token_files.write_token_files(none, path, str(tmp_path / "none"))
+    assert token_files.read_token_files(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(TypeError):
+        token_files.write_token_files(none.selectExpr("text doc_id", "key text"), path, str(tmp_path / "bad"))
+    docs = spark.createDataFrame([(i, f"text number {i} " * (i % 5)) for i in range(40)] + [(None, "no id")], "doc_id long, text string")
+    token_files.write_token_files(docs, path, str(tmp_path / "few"), block_docs=4)
+    got = token_files.read_token_files(spark, str(tmp_path / "few"), wanted=[3, 17], with_ids=True).collect()
+    whole = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_token_files(spark, str(tmp_path / "few")).collect()}
+    assert whole[None][0] == 0 and {r["doc_id"] for r in got} == {3, 17}
+    assert all((r["start"], r["n_tokens"], r["ids_crc32"]) == whole[r["doc_id"]] and len(r["ids"]) == r["n_tokens"] for r in got)
+    spark.createDataFrame([("0" * 64, bytearray(b"other"))], "dict_sha256 string, dictionary binary").write.mode("overwrite").parquet(str(tmp_path / "few/dictionary"))
+    with pytest.raises(ValueError):
+        token_files.read_token_files(spark, str(tmp_path / "few"))
+
+
+def test_language_model_without_rows_or_training(spark, none):
+    assert language_model.score_documents(none).count() == 0
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 10 == 0]
+    got = language_model.score_documents(spark.createDataFrame([(i, "a b") for i in held], "doc_id long, text string")).collect()
+    assert len(got) == len(held) and all(r["held_out"] and r["train_tokens"] == 0 and r["base_score"] == pytest.approx(0.0) for r in got)
+
+
+def test_attention_gradient():
+    """The gradient against differences of the loss."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    shapes = {"E": (6, 4), "e": (4,), "V": (4, 3), "U": (4, 3), "a": (3,), "c": (4,), "b": (1,)}
+    w = {k: rng.normal(0, 0.5, s) for k, s in shapes.items()}
+    x, starts, y = rng.normal(0, 1, (7, 6)), np.array([0, 3, 4]), np.array([1.0, 0.0, 1.0])
+
+    def loss(v):
+        p = passage_quality._forward(v, x, starts)["p"]
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+    g = passage_quality._gradient(w, x, starts, y)
+    for k in w:
+        for at in np.ndindex(w[k].shape):
+            up, down = ({n: v.copy() for n, v in w.items()} for _ in range(2))
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            assert g[k][at] == pytest.approx((loss(up) - loss(down)) / 2e-5, abs=1e-6)
+
+
+def test_quality_score_clash(spark):
+    docs = spark.createDataFrame([(1, "one two", 5.0)], "doc_id long, text string, quality_score double")
+    model = passage_quality.fit_quality(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), held_out=None)
+    with pytest.raises(ValueError):
+        passage_quality.score_quality(docs, model)
+    assert passage_quality.drop_poor(docs, model).collect()[0]["quality_score"] == 5.0
+
+
+def test_ordinal_likelihood_and_edges(spark, none):
+    """Thresholds and weights are a maximum of the cumulative-link likelihood; one class and no rows have a fixed result."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (400, 2)).astype(np.float64)
+    z = x @ [2.0, -1.0] + rng.logistic(0, 1, 400)
+    grade = (z > 0.5).astype(int) + (z > 2)
+    weights, theta = toxicity.fit_ordinal(x, grade, 3, l2=0.0, steps=1500, rate=0.02)
+
+    def loss(w, t):
+        up = 1 / (1 + np.exp(-(np.append(t, np.inf)[grade] - x @ w)))
+        low = 1 / (1 + np.exp(-(np.append(-np.inf, t)[grade] - x @ w)))
+        return -np.log(up - low).mean()
+
+    best = loss(weights, theta)
+    assert theta[0] < theta[1] and np.allclose(weights, [2, -1], atol=0.5)
+    for i in range(2):
+        for d in (-0.05, 0.05):
+            step = np.eye(2)[i] * d
+            assert loss(weights + step, theta) > best and loss(weights, theta + step) > best
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(1, "bad word"), (1, "bad word"), (2, None)], "doc_id long, text string")
+    assert all(r["toxic"] for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).collect())
+    assert toxicity.score_toxicity(none, toxicity.fit_toxicity(none, labels)).count() == 0
+
+
+def test_decontamination_short_items_and_texts(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "x alpha beta gamma y"), (3, "alpha"), (4, " ".join(["pad"] * 20_000) + " alpha beta")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Alpha, beta!"), (2, "one two three four five six")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {(1, 1), (2, 1), (4, 1)}

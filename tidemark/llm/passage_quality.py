@@ -198,8 +198,13 @@ def fit_quality(
         return train(bags, labels_, **options)
 
 
-def score_quality(docs: DataFrame, model: Attention, text_col: str = "text", words: int = 64, group: int = 256, cut: float = 0.7) -> DataFrame:
-    """``docs`` with ``quality_score`` (0 to 1) and ``quality_ok``; columns of these names are replaced."""
+def score_quality(
+    docs: DataFrame, model: Attention, text_col: str = "text", words: int = 64, group: int = 256, cut: float = 0.7,
+    score_col: str = "quality_score", ok_col: str = "quality_ok",
+) -> DataFrame:
+    """``docs`` with a score (0 to 1) and whether it reaches ``cut``; ``ValueError`` where ``docs`` has a column of such a name."""
+    if clash := {score_col, ok_col} & set(docs.columns):
+        raise ValueError(f"the table already has {sorted(clash)}; name other columns for the score")
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -211,4 +216,10 @@ def score_quality(docs: DataFrame, model: Attention, text_col: str = "text", wor
                 out.append(model.scores(np.concatenate(bags), starts).astype(np.float64))
             yield pd.Series(np.concatenate(out))
 
-    return docs.withColumn("quality_score", score(F.col(text_col))).withColumn("quality_ok", F.col("quality_score") >= cut)
+    return docs.withColumn(score_col, score(F.col(text_col))).withColumn(ok_col, F.col(score_col) >= cut)
+
+
+def drop_poor(docs: DataFrame, model: Attention, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that the model accepts; columns stay as they are, whatever their names."""
+    scored = score_quality(docs, model, text_col, score_col="__tm_score", ok_col="__tm_ok", **options)
+    return scored.filter("__tm_ok").select(*[F.col(f"`{c}`") for c in docs.columns])
