@@ -1,4 +1,9 @@
-"""Training-data pipeline over ``documents``: five stages, each a table in and a table out."""
+"""Training-data pipeline over ``documents``: five stages, each a table in and a table out.
+
+Edge cases, in every stage: a null text counts as empty; repeated rows are judged alike, and near
+duplicates keep one of them; of equal candidates the smallest id stays; an empty table gives an empty
+result; all but the last stage return the columns of ``documents`` as they are, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -17,8 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (score 0.7 or more)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = passage_quality.fit_quality(docs, labels, max_rows=3000, held_out=(4, 2))
-    scored = passage_quality.score_quality(docs, model, cut=0.7)
-    return scored.filter("quality_ok").select(*[scored[f"`{c}`"] for c in docs.columns])
+    return passage_quality.drop_poor(docs, model, cut=0.7)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
