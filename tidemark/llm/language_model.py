@@ -250,11 +250,10 @@ def _tallied(docs: DataFrame, held_out: tuple[int, int], fold: int, smooth: floa
 
     home = F.pmod(F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(n_parts)).cast("int")
     own = F.floor(F.col("bucket").cast("long") * n_parts / n_ranges).cast("int")
-    return (
-        docs.mapInArrow(places, _ROWS).repartitionById(n_parts, F.when(F.col("head"), home).otherwise(own))
-        .sortWithinPartitions("bucket").mapInArrow(counted, _ROWS)
-        .repartitionById(n_parts, home).sortWithinPartitions("block", "bucket").mapInArrow(joined, _TALLIED)
-    )
+    dealt = docs.mapInArrow(places, _ROWS).repartitionById(n_parts, F.when(F.col("head"), home).otherwise(own))
+    # With a partition for each range there is nothing to bring together.
+    ranged = dealt if n_ranges <= n_parts else dealt.sortWithinPartitions("bucket")
+    return ranged.mapInArrow(counted, _ROWS).repartitionById(n_parts, home).sortWithinPartitions("block", "bucket").mapInArrow(joined, _TALLIED)
 
 
 def score_documents(
