@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from tidemark.operators.stats import exact_quantiles
 
 
 def pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -28,6 +32,16 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(made.alias("all")).select(F.inline("all"))
 
 
+def quartiles(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``column, q, value`` for each column, exact."""
+    each = [exact_quantiles(df, c, [0.25, 0.5, 0.75]).select(F.lit(c).alias("column"), "q", "value") for c in cols]
+    return reduce(DataFrame.unionByName, each)
+
+
+def binarise(df: DataFrame, score: str, out: str, cut: float = 0.5) -> DataFrame:
+    return df.withColumn(out, (F.col(score) > cut).cast("int"))
+
+
 def label_encode(df: DataFrame, col: str, out: str = "code") -> DataFrame:
     """``df`` with codes by sorted category. Categories are distinct values, joined back by key."""
     codes = df.select(F.col(col).alias("_c")).distinct().withColumn(out, F.row_number().over(Window.orderBy("_c")) - 1)
@@ -63,9 +77,28 @@ def cumulative_importance(df: DataFrame, weight: str, name: str, thresholds: Seq
     return run.agg(made.alias("all")).select(F.inline("all"))
 
 
-def stratified_split(df: DataFrame, label: str, id_col: str, test_percent: int = 30) -> DataFrame:
-    """``df`` with ``is_test`` for the rows of each class with the smallest id hashes (modulus of a 64-bit hash)."""
-    return df.withColumn("is_test", F.pmod(F.col(id_col) * F.lit(2654435761), F.lit(100)) < test_percent)
+def stratified_split(df: DataFrame, label: str, id_col: str, test_percent: int = 30, bins: int = 1024) -> DataFrame:
+    """``df`` with ``is_test`` for the rows of each class with the smallest id hashes, ``test_percent`` of them to the row.
+
+    Hashes are counted in ``bins`` per class; only rows of the bin in which a class reaches its share are ranked.
+    """
+    h = F.pmod(F.pmod(F.col(id_col), F.lit(1 << 31)) * F.lit(2654435761), F.lit(1 << 32))
+    rows = df.withColumns({"_h": h, "_bin": F.floor(h * bins / (1 << 32))})
+    counted = rows.groupBy(F.col(label).alias("_y"), F.col("_bin").alias("_b")).agg(F.count("*").alias("_n"))
+    own = Window.partitionBy("_y")
+    before = F.sum("_n").over(own.orderBy("_b")) - F.col("_n")
+    want = F.floor((F.sum("_n").over(own) * test_percent + 50) / 100)
+    edges = counted.select("_y", "_b", (want - before).alias("_left"), "_n").filter("_left >= 0 and _left < _n").groupBy("_y").agg(F.min(F.struct("_b", "_left")).alias("_e"))
+    placed = rows.join(F.broadcast(edges), F.col(label).eqNullSafe(F.col("_y")), "left")
+    inside = F.col("_bin") == F.col("_e._b")
+    rank = F.row_number().over(Window.partitionBy("_y", F.when(inside, F.lit(-1)).otherwise(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)))).orderBy("_h", id_col))
+    test = F.when(F.col("_e").isNull() | (F.col("_bin") < F.col("_e._b")), True).when(inside, rank <= F.col("_e._left")).otherwise(False)
+    return placed.withColumn("is_test", test).drop("_h", "_bin", "_y", "_e")
+
+
+def numeric_columns(df: DataFrame) -> DataFrame:
+    """The numeric columns of ``df``."""
+    return df.select(*[f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)])
 
 
 def folds(df: DataFrame, id_col: str, k: int = 5) -> DataFrame:

@@ -67,6 +67,25 @@ def flow_features(packets: DataFrame, extra_keys: tuple[str, ...] = (), slice_se
     )
 
 
+def flow_onepass(packets: DataFrame) -> DataFrame:
+    """Flow rows by one grouping of the packets as they come, without a sort: what needs no order of packets.
+
+    ``std_len`` is the root of E[x2] - E[x]2, clamped at 0; the mean gap is that of the whole time span.
+    """
+    x = F.col("length")
+    sums = keyed(packets).groupBy(*KEY).agg(
+        F.min("ts").alias("t0"), F.count("*").alias("n_packets"), F.sum(x).alias("n_bytes"), (F.max("ts") - F.min("ts")).alias("duration"),
+        F.sum(x * x).alias("_squares"), F.min(x).alias("min_len"), F.max(x).alias("max_len"), *[F.sum(f"_{k}").alias(k) for k in _FLAGS],
+    )
+    n, dur = F.col("n_packets"), F.col("duration")
+    mean = F.col("n_bytes") / n
+    return sums.select(
+        *KEY, "t0", "n_packets", "n_bytes", "duration", guarded_rate(F.col("n_bytes"), dur).alias("bytes_per_sec"), guarded_rate(n, dur).alias("pkts_per_sec"), mean.alias("mean_len"),
+        F.sqrt(F.greatest(F.col("_squares") / n - mean * mean, F.lit(0.0))).alias("std_len"), "min_len", "max_len", F.when(n > 1, dur / (n - 1)).otherwise(0.0).alias("mean_iat"),
+        *[(F.col(k) / n).alias(f"{k}_ratio") for k in _FLAGS], F.when((F.col("syn") > 0) & (F.col("ack") == 0), 1.0).otherwise(0.0).alias("syn_no_ack"),
+    )
+
+
 def host_features(packets: DataFrame, max_ports: int | None = None) -> DataFrame:
     """Host rows by source address: ``src, t0`` and the 11 features; ``max_ports`` caps the port count.
 

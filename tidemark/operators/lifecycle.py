@@ -204,13 +204,14 @@ def promote(models: DataFrame, verdict: DataFrame, model_id: int, force_reason:
     return joined.withColumn("status", status).drop("_s", "_v"), "aprovado" if passed else "sobreposto"
 
 
-def evict(windows: DataFrame, window_ids: list[str], reason: str, now: float) -> DataFrame:
-    """Windows with the named active ones evicted."""
-    hit = (F.col("pool_state") == "active") & F.col("window_id").isin(window_ids)
-    return windows.withColumns({
+def evict(windows: DataFrame, chosen: DataFrame, reason: str, now: float) -> DataFrame:
+    """Windows with the active ones of ``chosen`` (a table with ``window_id``) evicted."""
+    marked = windows.join(chosen.select("window_id").distinct().withColumn("_hit", F.lit(True)), "window_id", "left")
+    hit = (F.col("pool_state") == "active") & F.col("_hit").isNotNull()
+    return marked.withColumns({
         "evicted_at": F.when(hit, F.lit(float(now))).otherwise(F.col("evicted_at")), "evicted_reason": F.when(hit, reason).otherwise(F.col("evicted_reason")),
         "pool_state": F.when(hit, "evicted").otherwise(F.col("pool_state")),
-    })
+    }).drop("_hit")
 
 
 def orphans(index: DataFrame, listing: DataFrame) -> DataFrame:
@@ -272,3 +273,55 @@ def over_time(alerts: DataFrame, seconds: int, start: float, stop: float) -> Dat
     steps = alerts.sparkSession.range(int(start // seconds), int(stop // seconds) + 1).select((F.col("id") * seconds).alias("t"))
     counted = alerts.groupBy((F.floor(F.col("ts") / seconds) * seconds).alias("t")).agg(F.count("*").alias("total"), F.count_if(F.col("classificacao") == "ataque").alias("ataques"))
     return steps.join(counted, "t", "left").fillna(0, ["total", "ataques"])
+
+
+def top_alerts(alerts: DataFrame, k: int = 8) -> DataFrame:
+    """The alerts of the highest percentiles, with ``ends`` (null where a part of it is)."""
+    ends = F.concat("src_ip", F.lit(" → "), "dst_ip", F.lit(":"), F.col("dst_port").cast("string"))
+    return alerts.withColumn("ends", ends).orderBy(F.desc("percentile"), "alert_id").limit(k)
+
+
+def newer_than(df: DataFrame, ts: str, now: float, days: float) -> DataFrame:
+    return df.filter(F.col(ts) > now - days * DAY)
+
+
+def retained(df: DataFrame, ts: str, now: float, days: float = 180) -> DataFrame:
+    """Rows that a retention of ``days`` leaves; written by day, older days are whole folders to delete."""
+    return df.filter(F.col(ts) >= now - days * DAY)
+
+
+def alerts_summary(alerts: DataFrame, by: list[str]) -> DataFrame:
+    """``n, lowest, highest`` percentile and first and last time per group."""
+    return alerts.groupBy(*by).agg(
+        F.count("*").alias("n"), F.min("percentile").alias("lowest"), F.max("percentile").alias("highest"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
+
+
+def of_latest_model(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """Rows of the model that was trained last."""
+    newest = models.agg(F.max_by("model_id", "trained_at").alias("model_id"))
+    return rows.join(F.broadcast(newest), "model_id", "left_semi")
+
+
+def elapsed_hours(df: DataFrame, since: str, now: float) -> DataFrame:
+    return df.withColumn("hours", (F.lit(float(now)) - F.col(since)) / 3600)
+
+
+def stage2_training(alerts: DataFrame, verdicts: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Alerts with a current verdict of attack or benign, as ``label`` 1 or 0, and a known scenario."""
+    told = current_verdicts(verdicts).filter(F.col("veredito").isin("ataque", "benigno")).select("alert_id", (F.col("veredito") == "ataque").cast("int").alias("label"))
+    return alerts.join(told, "alert_id").join(F.broadcast(scenarios), "scenario", "left_semi")
+
+
+def held_out_confusion(judged: DataFrame, held_out) -> DataFrame:
+    """``scenario, tp, fp, fn, tn`` over the rows that a stage-2 model was not fitted on."""
+    return confusion(judged.filter(held_out), "label", "predicted", ["scenario"])
+
+
+def matching_sets(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """Rows with each model of their view and feature set; others are skipped."""
+    return rows.join(F.broadcast(models.select("model_id", "visao", "feature_set")), ["visao", "feature_set"])
+
+
+def with_feature_json(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
+    return df.withColumn(out, F.to_json(F.struct(*cols)))

@@ -86,10 +86,12 @@ def fit_forest(df: DataFrame, cols: Sequence[str], id_col: str, trees: int = 200
     """
     spark = df.sparkSession
     bound = trees * sample
+    # About a fifth more than the bound passes, however many partitions there are.
+    near = F.xxhash64(F.lit(seed), F.col(id_col).cast("string")) / F.lit(2.0**64) + 0.5 <= (1.2 * bound + 1000) / max(1, df.count())
     w = F.col(weight) if weight else F.lit(1.0)
-    picked = df.select(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")).alias("_h"), w.alias("_w"), *[finite(F.col(c).cast("double")).alias(c) for c in cols]).orderBy("_h", *cols).limit(bound).toPandas()
+    picked = df.filter(near).select(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")).alias("_h"), w.alias("_w"), *[finite(F.col(c).cast("double")).alias(c) for c in cols]).orderBy("_h", *cols).limit(bound).toPandas()
     x, p = picked[list(cols)].to_numpy(float), picked["_w"].to_numpy(float)
-    size = min(sample, len(x))
+    size = min(sample, len(x) if weight is None else int((p > 0).sum()))
     limit = max(1, math.ceil(math.log2(max(2, size))))
     shared = spark.sparkContext.broadcast((x, p / p.sum() if len(p) and p.sum() > 0 else None))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import bucket, window_id
@@ -65,35 +65,33 @@ def in_anchored_windows(packets: DataFrame, seconds: float = 10.0, min_packets:
 def late_rows(rows: DataFrame, frame: str = "frame", bucket_col: str = "bucket", sensor: str = "sensor") -> DataFrame:
     """``rows`` with ``late``: whether their bucket had been closed by an earlier frame of their sensor.
 
-    A frame closes every open bucket below its largest. Only distinct (frame, bucket) pairs of a
-    sensor are folded; a bucket that is first seen after larger ones is accepted until its frame ends.
+    A frame closes every open bucket below its largest; a bucket that is first seen after larger ones is
+    accepted until its frame ends. So a bucket is closed by its first frame where that holds a larger one.
+    Else it is its first frame's largest, and closed by the first later frame that holds a larger one: where
+    the running maximum passes it, an equi-join on the buckets each step of the maximum passes over.
+    Only a first frame whose largest bucket is below an earlier maximum is compared with later frames.
     """
     pairs = rows.select(F.col(sensor).alias("_s"), F.col(frame).alias("_f"), F.col(bucket_col).alias("_b")).distinct()
+    order = Window.partitionBy("_s").orderBy("_f")
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    tops = pairs.groupBy("_s", "_f").agg(F.max("_b").alias("_top")).withColumn("_high", F.max("_top").over(past))
+    first = pairs.groupBy("_s", "_b").agg(F.min("_f").alias("_f")).join(tops, ["_s", "_f"])
+    at_once = first.filter(F.col("_top") > F.col("_b")).select("_s", "_b", F.col("_f").alias("_shut"))
+    waiting = first.filter(F.col("_top") == F.col("_b"))
+    # A step of the running maximum closes the buckets from the maximum before it up to, not including, its own.
+    steps = tops.filter(F.col("_top") > F.col("_high")).select("_s", F.col("_f").alias("_shut"), F.explode(F.sequence("_high", F.col("_top") - 1)).alias("_b"))
+    in_order = waiting.filter(F.col("_high").isNull() | (F.col("_high") <= F.col("_b"))).join(steps, ["_s", "_b"]).select("_s", "_b", "_shut")
+    later = tops.select(F.col("_s").alias("_s2"), F.col("_f").alias("_f2"), F.col("_top").alias("_top2"))
+    behind = (
+        waiting.filter(F.col("_high") > F.col("_b")).join(later, (F.col("_s") == F.col("_s2")) & (F.col("_f2") > F.col("_f")) & (F.col("_top2") > F.col("_b")))
+        .groupBy("_s", "_b").agg(F.min("_f2").alias("_shut"))
+    )
+    shut = at_once.unionByName(in_order).unionByName(behind)
+    joined = rows.join(shut, (F.col(sensor) == F.col("_s")) & (F.col(bucket_col) == F.col("_b")), "left")
+    return joined.withColumn("late", F.coalesce(F.col(frame) > F.col("_shut"), F.lit(False))).drop("_s", "_b", "_shut")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, at = None, None
-        opened: set = set()
-        closed: set = set()
-        seen: set = set()
-        for batch in batches:
-            out = []
-            for s, f, b in zip(batch["_s"].tolist(), batch["_f"].tolist(), batch["_b"].tolist()):
-                if s != name or f != at:
-                    if s == name:
-                        # What the frame closes: every open bucket below its largest, late ones included.
-                        shut = {x for x in opened if seen and x < max(seen)}
-                        opened -= shut
-                        closed |= shut
-                    else:
-                        opened, closed = set(), set()
-                    name, at, seen = s, f, set()
-                late = b in closed
-                if not late:
-                    opened.add(b)
-                seen.add(b)
-                out.append((s, f, b, late))
-            yield pd.DataFrame(out, columns=["_s", "_f", "_b", "late"])
-
-    kinds = ", ".join(f"{n} {t}" for n, t in pairs.dtypes)
-    told = pairs.repartition("_s").sortWithinPartitions("_s", "_f", "_b").mapInPandas(run, f"{kinds}, late boolean")
-    return rows.join(told, (F.col(sensor) == F.col("_s")) & (F.col(frame) == F.col("_f")) & (F.col(bucket_col) == F.col("_b"))).drop("_s", "_f", "_b")
+
+def top_per_window(rows: DataFrame, score: str, k: int, ties: tuple[str, ...]) -> DataFrame:
+    """The ``k`` rows of each window with the highest score, with their ``place``."""
+    order = Window.partitionBy("window_id").orderBy(F.desc(score), *ties)
+    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)

@@ -82,7 +82,8 @@ def string_clean(spark, sf_dir):
     return view(spark, sf_dir, "part").select("p_partkey", scalars.clean_label(F.concat(F.lit(" "), "p_name", F.lit(". "))).alias("clean"))
 
 
-@R.add("SELECT toxic, ((doc_id * 2654435761) % 100 + 100) % 100 < 30 AS is_test, count(*) AS n FROM labels GROUP BY 1, 2")
+@R.add("""WITH r AS (SELECT toxic, row_number() OVER (PARTITION BY toxic ORDER BY doc_id % 2147483648 * 2654435761 % 4294967296, doc_id) AS place, count(*) OVER (PARTITION BY toxic) AS n FROM labels)
+  SELECT toxic, place <= (n * 30 + 50) // 100 AS is_test, count(*) AS n FROM r GROUP BY 1, 2""")
 def stratified_split(spark, sf_dir):
     return explore.stratified_split(view(spark, sf_dir, "labels"), "toxic", "doc_id").groupBy("toxic", "is_test").agg(F.count("*").alias("n"))
 
@@ -98,3 +99,19 @@ def nearest_neighbours(spark, sf_dir):
 def polynomial_features(spark, sf_dir):
     made = models.polynomial(view(spark, sf_dir, "part"), ["p_size", "p_retailprice"])
     return rounded(made.select("p_partkey", F.get("expanded", F.lit(3)).alias("cross_term")))
+
+
+@R.add(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", q, round(v + 1e-7, 4) AS value FROM (SELECT unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS q, unnest(quantile_cont({c}, [0.25, 0.5, 0.75])) AS v FROM lineitem) t" for c in _N))
+def describe_quartiles(spark, sf_dir):
+    return rounded(explore.quartiles(view(spark, sf_dir, "lineitem"), _N))
+
+
+@R.add("SELECT p_partkey, p_size, p_retailprice FROM part")
+def numeric_part(spark, sf_dir):
+    return explore.numeric_columns(view(spark, sf_dir, "part"))
+
+
+@R.add("SELECT doc_id, CAST(quality * 0.4 + toxic * 0.3 > 0.5 AS INT) AS predicted FROM labels")
+def binarised(spark, sf_dir):
+    made = view(spark, sf_dir, "labels").withColumn("p", F.col("quality") * 0.4 + F.col("toxic") * 0.3)
+    return explore.binarise(made, "p", "predicted").select("doc_id", "predicted")

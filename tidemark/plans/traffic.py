@@ -41,10 +41,17 @@ def _rounded_flows(df):
     return rounded(df.withColumn("t0", t0.cast("string"))).withColumn("t0", F.col("t0").cast("double"))
 
 
-@R.add(flows_duck(then=f"SELECT {FL_COLS} FROM flows"))
+@R.add(duck("packets", then="""SELECT least(src, dst) AS src, greatest(src, dst) AS dst, count(*) AS n_packets, round(sum(length) + 1e-7, 4) AS n_bytes, round(sqrt(greatest(avg(length * length) - avg(length) ** 2, 0)) + 1e-7, 3) AS std_len,
+  round(CASE WHEN count(*) > 1 THEN (max(ts) - min(ts)) / (count(*) - 1) ELSE 0 END + 1e-7, 3) AS mean_iat, round(avg((flags = 'S')::INT) + 1e-7, 4) AS syn_ratio FROM packets GROUP BY 1, 2, greatest(sport, dport), proto"""))
 def flow_onepass(spark, sf_dir):
-    """The same rows from wide slices, as one pass over the packets would give them."""
-    return _rounded_flows(flows.flow_features(view(spark, sf_dir, "packets"), slice_seconds=7 * 86400.0))
+    f = flows.flow_onepass(view(spark, sf_dir, "packets"))
+    r3 = lambda c: F.round(F.col(c) + 1e-7, 3).alias(c)
+    return f.select("src", "dst", "n_packets", F.round(F.col("n_bytes") + 1e-7, 4).alias("n_bytes"), r3("std_len"), r3("mean_iat"), F.round(F.col("syn_ratio") + 1e-7, 4).alias("syn_ratio"))
+
+
+@R.add(duck("packets", then="SELECT src, least(count(DISTINCT dport), 5) AS n_dports, round(least(count(DISTINCT dport), 5) / greatest(1, count(DISTINCT dst)) + 1e-7, 4) AS dports_per_dst FROM packets GROUP BY 1"))
+def host_port_cap(spark, sf_dir):
+    return rounded(flows.host_features(view(spark, sf_dir, "packets"), max_ports=5).select("src", "n_dports", "dports_per_dst"))
 
 
 @R.add(flows_duck(then=f"SELECT {FL_COLS} FROM flows ORDER BY flows.n_bytes DESC, flows.src, flows.dst, flows.portA, flows.portB LIMIT 10"))
@@ -141,14 +148,18 @@ def anchored_host_rows(spark, sf_dir):
     return held.groupBy("sensor", "w_start", "src").agg(F.count("*").alias("n_packets"), F.round(F.sum("length") + 1e-7, 4).alias("n_bytes"))
 
 
-@R.add(flows_duck(then=""", w AS (
-  SELECT sensor, w_start, CASE WHEN ab THEN src ELSE dst END AS src, CASE WHEN ab THEN dst ELSE src END AS dst, length FROM (SELECT *, CAST(floor(ts / 3600) AS BIGINT) AS w_start, src < dst AS ab FROM packets) p)
-  SELECT sensor, w_start, src, dst, count(*) AS n_packets, round(sum(length) + 1e-7, 4) AS n_bytes FROM w GROUP BY ALL"""))
+@R.add(duck("packets", then=_ANCHOR + """, w AS (SELECT sensor, w_start, least(src, dst) AS src, greatest(src, dst) AS dst, sport + dport AS ports, length, count(*) OVER (PARTITION BY sensor, w_start) AS held FROM placed)
+  SELECT sensor, w_start, src, dst, count(*) AS n_packets, round(sum(length) + 1e-7, 4) AS n_bytes FROM w WHERE held >= 3 GROUP BY sensor, w_start, src, dst, ports"""))
 def anchored_flow_rows(spark, sf_dir):
-    """A flow that crosses a window boundary gives one row per window."""
-    p = view(spark, sf_dir, "packets").withColumn("w_start", F.floor(F.col("ts") / 3600))
-    f = flows.flow_features(p, ("sensor", "w_start"))
-    return f.groupBy("sensor", "w_start", "src", "dst").agg(F.sum("n_packets").alias("n_packets"), F.round(F.sum("n_bytes") + 1e-7, 4).alias("n_bytes"))
+    """A flow that crosses the end of an anchored window gives one row per window."""
+    f = flows.flow_features(windows.in_anchored_windows(view(spark, sf_dir, "packets"), 21600.0), ("sensor", "w_start"))
+    return f.select("sensor", "w_start", "src", "dst", "n_packets", F.round(F.col("n_bytes") + 1e-7, 4).alias("n_bytes"))
+
+
+@R.add(flows_duck(then=f""", w AS (SELECT {_WID} AS window_id, src, dst, portA, portB, n_bytes FROM flows)
+  SELECT window_id, src, dst, round(n_bytes + 1e-7, 4) AS n_bytes, place FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY n_bytes DESC, src, dst, portA, portB) AS place FROM w) r WHERE place <= 2"""))
+def window_top(spark, sf_dir):
+    return rounded(windows.top_per_window(_windowed(spark, sf_dir), "n_bytes", 2, ("src", "dst", "portA", "portB")).select("window_id", "src", "dst", "n_bytes", "place"))
 
 
 @R.add(duck("packets", then=""", r AS (SELECT event_id, sensor, CAST(floor((event_id * 7919 % 1009) / 50) AS BIGINT) AS frame, CAST(floor(event_id / 97) % 40 AS BIGINT) AS bucket FROM packets),

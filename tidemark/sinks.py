@@ -19,12 +19,14 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def write_pool(rows: DataFrame, path: str) -> DataFrame:
     """Append pool windows (``sensor, visao, bucket, window_id``) that the pool does not hold yet; returns the new index rows.
 
-    Rows are clustered by window, so each window is a few files; a second call writes nothing.
+    Rows are clustered by window, so each window is a few files. Windows are written before the index and
+    each in place of what its folder holds, so a call that failed between the two can be repeated; after
+    a call that went through, the same rows write nothing.
     """
     spark = rows.sparkSession
     known = read_or_empty(spark, f"{path}/index", "window_id string, sensor string, visao string, bucket long, n_rows long")
     fresh = rows.join(known.select("window_id"), "window_id", "left_anti")
-    fresh.repartition("sensor", "bucket").write.mode("append").partitionBy("sensor", "visao", "bucket").parquet(f"{path}/windows")
+    fresh.repartition("sensor", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sensor", "visao", "bucket").parquet(f"{path}/windows")
     index = fresh.groupBy("window_id", "sensor", "visao", "bucket").agg(F.count("*").alias("n_rows"))
     index.write.mode("append").parquet(f"{path}/index")
     return index
