@@ -77,7 +77,10 @@ def _octave(count: np.ndarray) -> np.ndarray:
 
 def _packed(values: np.ndarray) -> bytes:
     """Numbers at or above zero, by byte planes."""
-    return pa.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+    if not len(values):
+        return b""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return pa.Codec("zstd", compression_level=6).compress(planes.tobytes(), asbytes=True)
 
 
 def _unpacked(data: bytes, n: int) -> np.ndarray:
