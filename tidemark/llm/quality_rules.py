@@ -82,8 +82,6 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.size(F.array_distinct(w)).alias("_distinct"),
         F.col("_n_full").alias("_n_full"),
     )
-    # A generator of one row: no filter or projection of a caller reaches below it to compute the arrays anew.
-    counted = counted.select(F.inline_outer(F.array(F.struct(*counted.columns))))
     one = lambda c: F.greatest(c, F.lit(1))
     words, size = one(F.col("n_words")), one(F.col("word_chars"))
     return counted.select(
@@ -244,6 +242,10 @@ def fit_quality_rules(
 def apply_rules(
     docs: DataFrame, rules: DecisionList, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, repeat_percent: int = 20
 ) -> DataFrame:
-    """Statistics of every document with ``base_failed`` and ``kept``."""
+    """Statistics of every document with ``base_failed`` and ``kept``.
+
+    Write the result before filtering by these columns: Spark pushes such a filter below the arrays of
+    the text and then computes them anew for each of its terms.
+    """
     stats = text_statistics(docs, id_col, text_col).withColumn("base_failed", base_failed(min_words, repeat_percent))
     return stats.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(rules.verdict()))
