@@ -212,3 +212,64 @@ def test_live_stream(spark, tmp_path):
     pool = spark.read.parquet(str(tmp_path / "live/pool/windows"))
     assert pool.agg(F.sum("n_packets")).first()[0] == p.count()
     assert spark.read.parquet(str(tmp_path / "live/alerts/*")).filter("percentile < 0.95").count() == 0
+
+
+def test_current_model_and_digests(spark, tmp_path):
+    import hashlib
+
+    role = str(tmp_path / "role")
+    assert sinks.current(spark, role) is None
+    sinks.set_current(spark, role, "m1", 1.0)
+    sinks.set_current(spark, role, "m2", 2.0)
+    assert sinks.current(spark, role) == "m2"
+    (tmp_path / "a.bin").write_bytes(b"xyz")
+    assert sinks.file_digests(spark, str(tmp_path / "a.bin")).first()["sha256"] == hashlib.sha256(b"xyz").hexdigest()
+
+
+def test_surrogate_fidelity_regimes(spark):
+    from tidemark.operators import models as m
+
+    df = spark.range(400).select("id", (F.col("id") % 20).cast("double").alias("a"), F.lit(1.0).alias("b")).withColumn("anomaly", (F.col("a") > 16).cast("int"))
+    r = one(m.surrogate_fidelity(df, ["a", "b"], "id"))
+    assert (r["regime"], r["f1"], r["f1_cv_mean"], r["f1_cv_std"], r["tp"] + r["fn"], r["tn"]) == ("held_out", 1.0, 1.0, 0.0, 18, 102)
+    few = df.withColumn("anomaly", (F.col("id") < 3).cast("int"))
+    r = one(m.surrogate_fidelity(few, ["a", "b"], "id"))
+    assert r["regime"] == "in_sample" and r["f1_cv_mean"] is None and r["tp"] + r["fp"] + r["fn"] + r["tn"] == 400
+    assert m.surrogate_fidelity(df.withColumn("anomaly", F.lit(0)), ["a"], "id") is None
+    dealt = explore.stratified_folds(df, "anomaly", "id", 5).groupBy("anomaly", "fold").count().collect()
+    assert {(r["anomaly"], r["count"]) for r in dealt} == {(0, 68), (1, 12)} and len(dealt) == 10
+
+
+def test_knn_and_sweep(spark):
+    from tidemark.operators import models as m
+
+    rng = np.random.default_rng(5)
+    rows = [(i, float(rng.normal(4 * (i % 2), 0.5)), float(rng.normal()), i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    train, test = df.filter("id < 140"), df.filter("id >= 140")
+    got = {r["id"]: r["prediction"] for r in m.knn(train, test, ["a", "b"], "y", "id", 3).collect()}
+    x, mean, std = np.array([r[1:3] for r in rows]), np.array([r[1:3] for r in rows[:140]]).mean(0), np.array([r[1:3] for r in rows[:140]]).std(0)
+    x = (x - mean) / std
+    for i in range(140, 200):
+        near = np.argsort(((x[:140] - x[i]) ** 2).sum(1))[:3]
+        assert got[i] == int(np.mean([rows[j][3] for j in near]) > 0.5)
+    swept = m.feature_sweep(train, test, ["a", "b"], "y", [1, 2]).collect()
+    assert [r["n_features"] for r in swept] == [1, 2] and all(r["accuracy"] > 0.95 for r in swept)
+
+
+def test_candidate_is_weighted(spark):
+    from tidemark.operators import commands
+
+    day = 86400
+    w = spark.createDataFrame([("old", "flow", "active", "v1", 0, 600), ("new", "flow", "active", "v1", 14 * day, 600)], "window_id string, visao string, pool_state string, feature_set string, t_end long, n_rows long")
+    chosen = commands.candidate_windows(w, "flow", 40 * day)
+    rows = spark.range(1200).select("id", F.when(F.col("id") < 600, "old").otherwise("new").alias("window_id"), F.rand(3).alias("a"), (F.rand(4) + F.when(F.col("id") < 600, 3.0).otherwise(0.0)).alias("b"))
+    bundle = commands.train_candidate(rows, chosen, ["a", "b"], "id", trees=40)
+    assert bundle["scaler"]["b"][0] == pytest.approx(1.5, abs=0.05)  # two thirds of the weight lie near 0.5
+    golden = rows.limit(100).withColumns({"scenario": F.lit("limpo"), "capture": F.lit("c"), "label": F.lit(0)})
+    judged = commands.judge_captures(golden, bundle)
+    model, provenance, evaluations = commands.candidate_rows(5, 1, "flow", 1, chosen, judged)
+    assert model.first()["status"] == "candidate" and {r["window_id"]: round(r["weight"], 6) for r in provenance.collect()} == {"new": 1.0, "old": 0.5}
+    assert {r["scope"]: r["fp"] + r["tn"] for r in evaluations.collect()} == {"capture": 100, "scenario": 100, "aggregate": 100}
+    with pytest.raises(ValueError):
+        commands.train_candidate(rows, chosen.limit(0), ["a"], "id")

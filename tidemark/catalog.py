@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import exploration, lifecycle, scoring, traffic
+from tidemark.plans import exploration, lifecycle, scoring, traffic, training
 
-_PLANS = (traffic, scoring, lifecycle, exploration)
+_PLANS = (traffic, scoring, lifecycle, exploration, training)
 
 
 def queries() -> dict:

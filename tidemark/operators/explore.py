@@ -105,6 +105,22 @@ def folds(df: DataFrame, id_col: str, k: int = 5) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64(id_col), F.lit(k)))
 
 
+def stratified_folds(df: DataFrame, label: str, id_col: str, k: int = 5) -> DataFrame:
+    """``df`` with ``fold`` from 0 to ``k`` - 1, each with an equal share of every class, by order of the id's hash.
+
+    Places are counted inside hash bins and those of the bins before are added, so no sort holds a class.
+    """
+    bins = 1 << 16
+    h = F.xxhash64(F.lit(7), F.col(id_col).cast("string"))
+    rows = df.withColumns({"_h": h, "_bin": F.pmod(h, F.lit(bins))})
+    counted = rows.groupBy(F.col(label).alias("_y"), F.col("_bin").alias("_b")).agg(F.count("*").alias("_n"))
+    # At most 65536 rows a class.
+    before = counted.withColumn("_before", F.sum("_n").over(Window.partitionBy("_y").orderBy("_b")) - F.col("_n")).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(label, "_bin").orderBy("_h", id_col)) - 1
+    placed = rows.withColumn("_r", inside).join(before, F.col(label).eqNullSafe(F.col("_y")) & (F.col("_bin") == F.col("_b")))
+    return placed.withColumn("fold", F.pmod(F.col("_before") + F.col("_r"), F.lit(k))).drop("_h", "_bin", "_y", "_b", "_before", "_r")
+
+
 def nearest(
     queries: DataFrame, base: DataFrame, k: int = 5, vector: str = "vec", id_col: str = "vec_id", block: int = 4096,
     query_group: int = 2048, base_group: int = 32_768,

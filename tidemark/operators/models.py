@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import finite
-from tidemark.operators.stats import exact_quantiles, weighted_quantiles, zscore
+from tidemark.operators.explore import nearest, stratified_folds, stratified_split
+from tidemark.operators.stats import detection_metrics, exact_quantiles, moments, standardised, weighted_quantiles
 
 NODES = "tree int, node int, feature int, split double, left int, right int, size int, depth int"
 
@@ -174,6 +175,40 @@ def fit_surrogate(df: DataFrame, cols: Sequence[str], label: str = "anomaly", de
     return read(made._java_obj.rootNode()), dict(zip(cols, made.featureImportances.toArray().tolist()))
 
 
+def tree_value(tree) -> Column:
+    """The prediction of a rule tree; null and non-finite features count as 0."""
+    if not isinstance(tree, tuple):
+        return F.lit(float(tree))
+    name, cut, left, right = tree
+    return F.when(finite(F.col(name).cast("double")) <= cut, tree_value(left)).otherwise(tree_value(right))
+
+
+def surrogate_fidelity(df: DataFrame, cols: Sequence[str], id_col: str, label: str = "anomaly", depth: int = 4, cv: int = 5) -> DataFrame | None:
+    """How well a rule tree repeats the detector's labels: one row of counts, rates, ``regime``, ``f1_cv_mean`` and ``f1_cv_std``.
+
+    A stratified 30 % is held out where the rarer label has four rows or more, else the tree is judged on its own
+    rows; the folds are left out (null) where it has fewer than ``cv``. None where there is one label only.
+    """
+    sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    if len(sizes) < 2:
+        return None
+    rarer = min(sizes.values())
+    split = stratified_split(df, label, id_col) if rarer >= 4 else None
+    train, test = (split.filter("not is_test"), split.filter("is_test")) if split is not None else (df, df)
+    tree, _ = fit_surrogate(train, cols, label, depth)
+    out = detection_metrics(test.withColumn("_p", tree_value(tree)), label, "_p")
+    f1 = []
+    if rarer >= cv > 1:
+        dealt = stratified_folds(df, label, id_col, cv)
+        for fold in range(cv):
+            one, _ = fit_surrogate(dealt.filter(F.col("fold") != fold), cols, label, depth)
+            f1.append(detection_metrics(dealt.filter(F.col("fold") == fold).withColumn("_p", tree_value(one)), label, "_p").first()["f1"])
+    mean, std = (float(np.mean(f1)), float(np.std(f1))) if f1 else (None, None)
+    return out.withColumns(
+        {"regime": F.lit("held_out" if split is not None else "in_sample"), "f1_cv_mean": F.lit(mean).cast("double"), "f1_cv_std": F.lit(std).cast("double")}
+    )
+
+
 @dataclass
 class Linear:
     """A linear decision over scaled columns: sum(weight * (x - mean) / spread) + bias."""
@@ -240,29 +275,77 @@ def polynomial(df: DataFrame, cols: Sequence[str], degree: int = 2) -> DataFrame
     return made.withColumn("expanded", vector_to_array("_p")).drop("features", "_p")
 
 
-def bake_off(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
-    """``model, tp, fp, fn, tn`` of four Spark ML classifiers on held-out rows."""
+def knn(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, id_col: str, k: int = 5) -> DataFrame:
+    """``id, prediction``: the commonest label among the ``k`` nearest training rows by standardised columns, the least one where they tie.
+
+    ``id_col`` is an integer, other in ``train`` and ``test``; the search is exact, over blocks of both sides.
+    """
+    scaler = moments(train, cols)
+    vector = F.array(*[finite(F.col(c).cast("double")) for c in cols]).alias("vec")
+    left, right = (standardised(d, scaler).select(F.col(id_col).cast("long").alias("vec_id"), vector, F.col(label).alias("_y")) for d in (test, train))
+    near = nearest(left, right, k).join(right.select(F.col("vec_id").alias("neighbour"), "_y"), "neighbour")
+    return vote(near, "_y")
+
+
+def vote(near: DataFrame, label: str) -> DataFrame:
+    """``id, prediction``: the commonest ``label`` of each ``id``, the least one where they tie."""
+    counted = near.groupBy("id", F.col(label).alias("prediction")).agg(F.count("*").alias("n"))
+    return counted.groupBy("id").agg(F.min_by("prediction", F.struct(-F.col("n"), "prediction")).alias("prediction"))
+
+
+def bake_off(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, id_col: str | None = None) -> DataFrame:
+    """``model, tp, fp, fn, tn`` of five Spark ML classifiers on held-out rows, and of k nearest neighbours where ``id_col`` is given."""
     kinds = {
         "random_forest": RandomForestClassifier(labelCol="_y", numTrees=20, seed=42), "decision_tree": DecisionTreeClassifier(labelCol="_y", seed=42),
         "logistic_regression": LogisticRegression(labelCol="_y"), "perceptron": MultilayerPerceptronClassifier(labelCol="_y", layers=[len(cols), 8, 2], maxIter=50, seed=42),
+        "linear_svc": LinearSVC(labelCol="_y"),
     }
     a, b = (_assembled(d, cols).withColumn("_y", F.col(label).cast("double")) for d in (train, test))
+    judged = {name: kind.fit(a).transform(b) for name, kind in kinds.items()}
+    if id_col:
+        voted = knn(train, test, cols, label, id_col)
+        judged["nearest_neighbours"] = b.join(voted.withColumnRenamed("id", "_id"), F.col(id_col) == F.col("_id"))
     out = None
-    for name, kind in kinds.items():
-        p = kind.fit(a).transform(b)
+    for name, p in judged.items():
         row = p.agg(*[F.count_if((F.col("_y") == y) & (F.col("prediction") == q)).alias(n) for n, y, q in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))]).select(F.lit(name).alias("model"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 
 
-def detect(df: DataFrame, cols: Sequence[str], id_col: str, contamination: float = 0.03, trees: int = 200, sample: int = 256) -> tuple[DataFrame, dict]:
-    """Scores, flags and a bundle: forest, threshold, surrogate tree and 1001-point grid, all frozen."""
-    scaled = zscore(df.withColumns({c: finite(F.col(c).cast("double")) for c in cols}), cols)
-    forest = fit_forest(scaled, cols, id_col, trees, sample)
-    scored = score_forest(scaled, forest)
-    threshold = exact_quantiles(scored, "score", [1 - contamination]).first()["value"]
-    raw = df.join(scored.select(id_col, "score"), id_col)
+def feature_sweep(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, counts: Sequence[int]) -> DataFrame:
+    """``n_features, accuracy, f1`` of a decision tree on the most important columns, for each count."""
+    _, weights = fit_surrogate(train, cols, label, depth=5)
+    ranked = sorted(cols, key=lambda c: (-weights[c], c))
+    out = None
+    for n in counts:
+        tree, _ = fit_surrogate(train, ranked[:n], label, depth=5)
+        row = detection_metrics(test.withColumn("_p", tree_value(tree)), label, "_p").select(F.lit(int(n)).alias("n_features"), "accuracy", "f1")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def scaled(df: DataFrame, scaler: dict) -> DataFrame:
+    """``df`` with finite columns, standardised by a bundle's ``scaler``."""
+    return standardised(df.withColumns({c: finite(F.col(c).cast("double")) for c in scaler}), scaler)
+
+
+def detect(df: DataFrame, cols: Sequence[str], id_col: str, contamination: float = 0.03, trees: int = 200, sample: int = 256, weight: str | None = None) -> tuple[DataFrame, dict]:
+    """Scores, flags and a bundle: scaler, forest, threshold, surrogate tree and 1001-point grid, all frozen.
+
+    With a ``weight``, all of them are weighted, and the threshold is the grid's value at ``1 - contamination``.
+    """
+    w = weight or "_one"
+    clean = df.withColumns({c: finite(F.col(c).cast("double")) for c in cols}).withColumn("_one", F.lit(1.0))
+    scaler = moments(clean, cols, weight)
+    forest = fit_forest(standardised(clean, scaler), cols, id_col, trees, sample, weight=weight)
+    scored = score_forest(standardised(clean, scaler), forest)
+    grid = [(r["pct"], r["score"]) for r in weighted_quantiles(scored, "score", w, id_col).orderBy("k").collect()]
+    if weight:
+        threshold = float(np.interp(1 - contamination, *zip(*grid))) if grid else None
+    else:
+        threshold = exact_quantiles(scored, "score", [1 - contamination]).first()["value"]
+    raw = clean.join(scored.select(id_col, "score"), id_col)
     flagged = flag(raw, threshold)
-    tree, importances = fit_surrogate(flagged, cols)
-    grid = [(r["pct"], r["score"]) for r in weighted_quantiles(scored.withColumn("_one", F.lit(1.0)), "score", "_one", id_col).orderBy("k").collect()]
-    return flagged, {"forest": forest, "threshold": threshold, "tree": tree, "importances": importances, "grid": grid, "cols": list(cols), "contamination": contamination}
+    tree, importances = fit_surrogate(flagged, cols, weight=weight)
+    bundle = {"forest": forest, "scaler": scaler, "threshold": threshold, "tree": tree, "importances": importances, "grid": grid, "cols": list(cols), "contamination": contamination}
+    return flagged.drop("_one"), bundle

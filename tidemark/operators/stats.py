@@ -115,14 +115,24 @@ def percentile_lookup(df: DataFrame, score: str, grid: Sequence[tuple[float, flo
     return joined.withColumn(out, value).drop("steps", "_at")
 
 
-def zscore(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> DataFrame:
-    """``df`` with each column minus its mean, over its population deviation (1 where that is 0)."""
+def moments(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> dict[str, tuple[float, float]] | None:
+    """Mean and population deviation (1 where it is 0) of each column; None where there are no rows."""
     w = F.col(weight) if weight else F.lit(1.0)
     means = df.agg(F.sum(w).alias("w"), *[(F.sum(w * F.col(c)) / F.sum(w)).alias(c) for c in cols]).first()
     if means["w"] is None:
-        return df
+        return None
     spread = df.agg(*[F.sqrt(F.sum(w * (F.col(c) - means[c]) ** 2) / means["w"]).alias(c) for c in cols]).first()
-    return df.withColumns({c: (F.col(c) - means[c]) / (spread[c] if spread[c] and spread[c] > 0 else 1.0) for c in cols})
+    return {c: (means[c], spread[c] if spread[c] and spread[c] > 0 else 1.0) for c in cols}
+
+
+def standardised(df: DataFrame, scaler: dict[str, tuple[float, float]] | None) -> DataFrame:
+    """``df`` with each column of ``scaler`` minus its mean, over its deviation."""
+    return df.withColumns({c: (F.col(c) - m) / s for c, (m, s) in scaler.items()}) if scaler else df
+
+
+def zscore(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> DataFrame:
+    """``df`` with each column minus its mean, over its population deviation (1 where that is 0)."""
+    return standardised(df, moments(df, cols, weight))
 
 
 def score_diagnostics(df: DataFrame, score: str, label: str) -> DataFrame:

@@ -168,5 +168,5 @@ def kmeans_fit(spark, sf_dir):
 
 @R.add()
 def classifier_bake_off(spark, sf_dir):
-    f = _flows_with_id(spark, sf_dir).withColumns({"label": (F.col("n_bytes") > 400).cast("int"), "fold": F.pmod(F.xxhash64("id"), F.lit(10))})
-    return models.bake_off(f.filter("fold < 7"), f.filter("fold >= 7"), D_COLS, "label")
+    f = _flows_with_id(spark, sf_dir).withColumns({"label": (F.col("n_bytes") > 400).cast("int"), "fold": F.pmod(F.xxhash64("id"), F.lit(10)), "number": F.xxhash64("id")})
+    return models.bake_off(f.filter("fold < 7"), f.filter("fold >= 7"), D_COLS, "label", "number")

@@ -56,3 +56,19 @@ def read_bundle(spark: SparkSession, path: str) -> dict:
     as_tree = lambda t: tuple(as_tree(x) if isinstance(x, list) else x for x in t) if isinstance(t, list) else t
     forest = Forest(rest["cols"], rest.pop("sample"), nodes)
     return rest | {"forest": forest, "tree": as_tree(rest["tree"]), "grid": [tuple(g) for g in rest["grid"]], "same_version": rest.pop("spark") == spark.version}
+
+
+def set_current(spark: SparkSession, path: str, model: str, at: float) -> None:
+    """Name the current model of a role by one more row in its own file: a reader sees the old name or the new one."""
+    spark.createDataFrame([(model, float(at))], "model string, at double").coalesce(1).write.mode("append").parquet(path)
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The name that was set last, None where none was."""
+    return read_or_empty(spark, path, "model string, at double").agg(F.max_by("model", F.struct("at", "model"))).first()[0]
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """``path, bytes, sha256`` of the files (of up to 2 GB) under a path."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
