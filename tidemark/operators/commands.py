@@ -39,8 +39,11 @@ def train_candidate(rows: DataFrame, windows: DataFrame, cols: Sequence[str], id
     if windows.isEmpty():
         raise ValueError("no window has left quarantine")
     sampled = L.sample_rows(rows, L.sample_allocation(windows, max_rows), id_col)
-    weighed = sampled.join(F.broadcast(windows.select("window_id", "peso")), "window_id")
-    return M.detect(weighed, cols, id_col, contamination, trees, weight="peso")[1]
+    weighed = sampled.join(F.broadcast(windows.select("window_id", "peso")), "window_id").select(id_col, "peso", *cols).persist()
+    try:
+        return M.detect(weighed, cols, id_col, contamination, trees, weight="peso")[1]
+    finally:
+        weighed.unpersist()
 
 
 def judge_captures(rows: DataFrame, bundle: dict) -> DataFrame:
