@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_model, line_dedup, passage_quality, quality_rules, sentencepieces, simhash, token_files, toxicity, warc
+from tidemark.llm import centroids, decontaminate, importance, language_model, line_dedup, passage_quality, quality_rules, sentencepieces, simhash, token_files, toxicity, warc
 from tidemark.llm.workspace import fresh_path
 
 
@@ -76,6 +76,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=5, min_words=20)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(_table(spark, sf_dir, "embeddings"), k=8, size=64, scale=1024, rounds=10, seed=3)
+
+
 def queries() -> dict:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -88,6 +96,8 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_quality_rules": op10_quality_rules,
+        "op12_importance": op12_importance,
+        "op13_centroids": op13_centroids,
     }
 
 
@@ -128,5 +138,92 @@ FROM g
 """
 
 
+OP12_SQL = r"""
+WITH RECURSIVE bytes AS (
+  SELECT list(c ORDER BY b) AS crc_table FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+    FROM range(256) r(b))
+),
+texts AS (
+  SELECT true AS is_doc, row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT false, row_number() OVER (), NULL, coalesce(text, '') FROM benchmark
+),
+split AS (
+  SELECT is_doc, r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts
+),
+runs AS (
+  SELECT is_doc, r, unnest(w) AS f FROM split
+  UNION ALL SELECT is_doc, r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM split
+  UNION ALL SELECT is_doc, r, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM split
+),
+counted AS (SELECT is_doc, r, f, count(*) AS n FROM runs GROUP BY ALL),
+spelled AS (
+  SELECT f, list_transform(range(0, octet_length(encode(f))), lambda i: (strpos('0123456789abcdef', lower(hex(encode(f))[2 * i + 1])) - 1) * 16
+                                                            + strpos('0123456789abcdef', lower(hex(encode(f))[2 * i + 2])) - 1) AS b
+  FROM (SELECT DISTINCT f FROM counted)
+),
+hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c // 256, crc_table[xor(c % 256, x) + 1])), 4294967295) % 10000 AS bucket
+  FROM spelled, bytes
+),
+placed AS (SELECT is_doc, r, bucket, sum(n) AS n FROM counted JOIN hashed USING (f) GROUP BY ALL),
+shares AS (
+  SELECT b.bucket, coalesce(sum(n) FILTER (WHERE is_doc), 0) AS s, coalesce(sum(n) FILTER (WHERE NOT is_doc), 0) AS t
+  FROM range(10000) b(bucket) LEFT JOIN placed p ON p.bucket = b.bucket GROUP BY b.bucket
+),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (sum(s) OVER () + CAST(10000 AS DOUBLE)) / ((CAST(s AS DOUBLE) + 1) * (sum(t) OVER () + CAST(10000 AS DOUBLE))))) AS BIGINT) AS gain
+  FROM shares
+),
+weights AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM placed JOIN gains USING (bucket) WHERE is_doc GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w) >= 20 AS enough, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((list_reduce(list_prepend(0, list_transform(string_split(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), ''))[:8], ''),
+           lambda x: strpos('0123456789abcdef', x) - 1)), lambda a, x: a * 16 + x) + CAST(0.5 AS DOUBLE)) / 4294967296))) AS BIGINT) AS score
+  FROM split LEFT JOIN weights USING (r) WHERE is_doc
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY enough ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE enough) OVER () AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN enough AND place <= 5 * n // 100 THEN place END AS rank FROM ranked
+"""
+
+
+def op13_sql(k: int = 8, rounds: int = 10, size: int = 64, scale: int = 1024, seed: int = 3) -> str:
+    """Every round written out: nearest centroids, then floors of the means."""
+    gap = f"list_sum(list_transform(range(1, {size} + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i])))"
+    parts = [
+        f"""kept AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: isfinite(x))) = {size}
+)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS j, v AS c
+  FROM (SELECT sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM kept ORDER BY h, v LIMIT {k})
+)""",
+    ]
+    for t in range(rounds + 1):
+        parts.append(f"""a{t} AS MATERIALIZED (
+  SELECT vec_id, v, arg_min(j, d * {k} + j) AS j, min(d) AS d FROM (SELECT vec_id, r, v, j, {gap} AS d FROM kept, c{t}) GROUP BY vec_id, r, v
+)""")
+        if t < rounds:
+            parts.append(f"""c{t + 1} AS MATERIALIZED (
+  SELECT j, coalesce(m.c, o.c) AS c FROM c{t} o LEFT JOIN (
+    SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+      SELECT j, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+      FROM (SELECT j, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{t}) GROUP BY j, i
+    ) GROUP BY j
+  ) m USING (j)
+)""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+       CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (j)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op5_warc": OP5_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op5_warc": OP5_SQL, "op12_importance": OP12_SQL, "op13_centroids": op13_sql()}
