@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import centroids, decontaminate, importance, language_model, line_dedup, passage_quality, quality_rules, sentencepieces, simhash, token_files, toxicity, warc
+from tidemark.llm import centroids, decontaminate, importance, language_model, line_dedup, passage_quality, quality_rules, secret_scan, sentencepieces, simhash, token_files, toxicity, warc
 from tidemark.llm.workspace import fresh_path
 
 
@@ -76,6 +76,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secret_scan.secret_report(docs, secret_scan.fit_tagger(docs, max_docs=20_000, max_windows=2_000))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=5, min_words=20)
 
@@ -96,6 +101,7 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_quality_rules": op10_quality_rules,
+        "op11_secret_scan": op11_secret_scan,
         "op12_importance": op12_importance,
         "op13_centroids": op13_centroids,
     }
