@@ -33,8 +33,8 @@ from tidemark.llm.workspace import fresh_path, partitions, written
 #: Words of more than this many bytes make matrices of few rows; their CRCs are taken row by row.
 LONG_SPAN = 1024
 #: Bytes of text and words of one text that are worked on at a time.
-SLICE_BYTES = 1 << 20
-SLICE_WORDS = 1 << 18
+SLICE_BYTES = 1 << 19
+SLICE_WORDS = 1 << 17
 
 _BYTES = np.arange(256)
 _WORD = ((_BYTES >= 48) & (_BYTES <= 57)) | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
@@ -102,10 +102,9 @@ def _slice_buckets(low: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.
     return np.concatenate(docs), np.concatenate(found).astype(np.int64)
 
 
-def bucket_runs(texts: pa.Array, buckets: int = 10_000, max_words: int = 3) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Number of words and sorted buckets of all features of each text; null is empty."""
+def bucket_runs(texts: pa.Array, buckets: int = 10_000, max_words: int = 3) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Number of words and sorted buckets of all features of each text, some texts at a time; null is empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
-    n_words, runs = np.zeros(len(texts), np.int64), []
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     at = 0
@@ -119,7 +118,6 @@ def bucket_runs(texts: pa.Array, buckets: int = 10_000, max_words: int = 3) -> t
         start = np.flatnonzero(word & (edge[:-1] | ~np.concatenate([[False], word[:-1]])))
         end = np.flatnonzero(word & (edge[1:] | ~np.append(word[1:], False))) + 1
         doc = np.searchsorted(own, start, "right") - 1
-        n_words[at:to] = np.bincount(doc, minlength=to - at)
         keys = [np.zeros(0, np.int64)]
         for a in range(0, len(start), SLICE_WORDS):
             b = min(a + SLICE_WORDS, len(start))
@@ -128,9 +126,8 @@ def bucket_runs(texts: pa.Array, buckets: int = 10_000, max_words: int = 3) -> t
             keys.append(docs * buckets + found)
         key = np.sort(np.concatenate(keys))
         bounds = np.searchsorted(key, np.arange(to - at + 1) * buckets)
-        runs += [key[i:j] - d * buckets for d, (i, j) in enumerate(zip(bounds, bounds[1:]))]
+        yield np.bincount(doc, minlength=to - at), [key[i:j] - d * buckets for d, (i, j) in enumerate(zip(bounds, bounds[1:]))]
         at = to
-    return n_words, runs
 
 
 def _packed(run: np.ndarray) -> bytes:
@@ -154,9 +151,11 @@ def features(docs: DataFrame, id_col: str, text_col: str, buckets: int = 10_000,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, runs = bucket_runs(batch.column(1), buckets, max_words)
-            packed = pa.array([_packed(r) for r in runs], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), packed], names=["doc_id", "n_words", "runs"])
+            at = 0
+            for n_words, runs in bucket_runs(batch.column(1), buckets, max_words):
+                packed = pa.array([_packed(r) for r in runs], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(runs)), pa.array(n_words), packed], names=["doc_id", "n_words", "runs"])
+                at += len(runs)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = rows.mapInArrow(run, f"doc_id {kind}, n_words long, runs binary")
