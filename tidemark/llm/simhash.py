@@ -130,6 +130,7 @@ def allocate(cost: list[list[float]], radius: int) -> tuple[int, ...]:
 def make_plan(sample: np.ndarray, n_prints: int, radius: int = 3, parts: int = 2, verify_cost: float = 4.0) -> Plan:
     """Group bits by the sample and allocate thresholds by the probes and candidates they would cost."""
     groups = group_bits(sample, parts)
+    n_prints = max(1, n_prints)  # without any, every allocation would cost the same
     cost = []
     for g in groups:
         mask = np.uint64(sum(1 << b for b in g))
