@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import flag_count, floor_one_ratio, guarded_rate
+from tidemark.operators.chains import chain_starts, in_links
 
 KEY = ("src", "dst", "portA", "portB", "proto")
 _FLAGS = {"syn": "S", "ack": "A", "fin": "F", "rst": "R", "psh": "P"}
@@ -118,22 +119,40 @@ def host_rollup(flows: DataFrame) -> DataFrame:
     ).select("src", "t0", "h_packets", "h_bytes", "n_dst", "n_dports", floor_one_ratio(F.col("h_packets"), F.col("n_dst")).alias("pkts_per_dst"), guarded_rate(F.col("h_packets"), F.col("seconds")).alias("h_pkts_per_sec"))
 
 
-def idle_sessions(packets: DataFrame, idle: float = 15.0) -> DataFrame:
-    """Flow keys cut into sessions where no packet came for more than ``idle`` seconds: ``session, t0, t1, n_packets``."""
-    order = Window.partitionBy(*KEY).orderBy("ts")
-    cut = F.when(F.col("ts") - F.lag("ts").over(order) > idle, 1).otherwise(0)
-    numbered = keyed(packets).withColumn("_cut", cut).withColumn("session", F.sum("_cut").over(order.rangeBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*KEY, "session").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count("*").alias("n_packets"))
+def idle_sessions(packets: DataFrame, idle: float = 15.0, spans: int = 4096) -> DataFrame:
+    """Flow keys cut into sessions where no packet came for more than ``idle`` seconds: ``session, t0, t1, n_packets``.
+
+    Packets are cut into blocks of time; only a flow's sessions are numbered together.
+    """
+    links = chain_starts(keyed(packets), KEY, idle=idle, spans=spans)
+    number = F.row_number().over(Window.partitionBy(*KEY).orderBy("start")) - 1
+    return links.select(*KEY, number.cast("long").alias("session"), F.col("start").alias("t0"), F.col("last").alias("t1"), F.col("n").alias("n_packets"))
 
 
-def active_sessions(packets: DataFrame, idle: float = 15.0, active: float = 120.0) -> DataFrame:
-    """As ``idle_sessions``, and a session that lasts ``active`` seconds is cut there: ``session, part`` and times.
+def active_sessions(packets: DataFrame, idle: float = 15.0, active: float = 120.0, spans: int = 64) -> DataFrame:
+    """Flow keys cut as an extractor with two timeouts cuts them: ``t0, t1, n_packets``.
 
-    The cut is at multiples of ``active`` from the session's first packet.
+    A packet begins a new flow where none came for more than ``idle`` seconds, and where ``active`` seconds or
+    more have passed since the first packet of the flow that is open; both clocks then start at this packet.
     """
-    order = Window.partitionBy(*KEY).orderBy("ts")
-    cut = F.when(F.col("ts") - F.lag("ts").over(order) > idle, 1).otherwise(0)
-    numbered = keyed(packets).withColumn("_cut", cut).withColumn("session", F.sum("_cut").over(order.rangeBetween(Window.unboundedPreceding, 0)))
-    start = F.min("ts").over(Window.partitionBy(*KEY, "session"))
-    parted = numbered.withColumn("part", F.floor((F.col("ts") - start) / active))
-    return parted.groupBy(*KEY, "session", "part").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count("*").alias("n_packets"))
+    links = chain_starts(keyed(packets), KEY, span=active, idle=idle, spans=spans)
+    return links.select(*KEY, F.col("start").alias("t0"), F.col("last").alias("t1"), F.col("n").alias("n_packets"))
+
+
+def extracted_flows(packets: DataFrame, idle: float = 15.0, active: float = 120.0, grain: float = 3600.0, spans: int = 64) -> DataFrame:
+    """The table of an extractor with timeouts, in milliseconds: ``src_ip, ..., bidirectional_packets, ...`` as ``flows_from_extractor`` reads it."""
+    rows = keyed(packets)
+    links = chain_starts(rows, KEY, span=active, idle=idle, spans=spans)
+    held = in_links(rows, links, KEY, grain=grain)
+    # An extracted flow is no longer than ``active`` seconds, so its packets may be ordered together.
+    gap = (F.col("ts") - F.lag("ts").over(Window.partitionBy(*KEY, "start").orderBy("ts"))) * 1000
+    b = lambda c, name: c.alias(f"bidirectional_{name}")
+    made = held.withColumn("_gap", gap).groupBy(*KEY, "start").agg(
+        b((F.max("ts") - F.min("ts")) * 1000, "duration_ms"), b(F.count("*"), "packets"), b(F.sum("length"), "bytes"), b(F.avg("length"), "mean_ps"),
+        b(F.stddev_pop("length"), "stddev_ps"), b(F.min("length"), "min_ps"), b(F.max("length"), "max_ps"), b(F.coalesce(F.avg("_gap"), F.lit(0.0)), "mean_piat_ms"),
+        b(F.coalesce(F.stddev_pop("_gap"), F.lit(0.0)), "stddev_piat_ms"), *[b(F.count_if(F.col(f"_{k}") > 0), f"{k}_packets") for k in _FLAGS],
+    )
+    return made.select(
+        F.col("src").alias("src_ip"), F.col("dst").alias("dst_ip"), F.col("portA").alias("src_port"), F.col("portB").alias("dst_port"), F.col("proto").alias("protocol"),
+        b(F.col("start") * 1000, "first_seen_ms"), *[c for c in made.columns if c.startswith("bidirectional_")],
+    )

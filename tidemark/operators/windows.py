@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import bucket, window_id
+from tidemark.operators.chains import chain_starts, in_links
 
 
 def pool_windows(flows: DataFrame, view: str = "flow", seconds: int = 780, sensor: str = "sensor") -> DataFrame:
@@ -24,31 +22,13 @@ def pool_index(windows: DataFrame, seconds: int = 780) -> DataFrame:
     )
 
 
-def anchored_windows(packets: DataFrame, seconds: float = 10.0, sensor: str = "sensor") -> DataFrame:
-    """``sensor, w_start, w_end_packet, n_packets``: windows that start at a packet and end before the first one ``seconds`` later.
+def anchored_windows(packets: DataFrame, seconds: float = 10.0, sensor: str = "sensor", spans: int = 4096) -> DataFrame:
+    """``sensor, w_start, w_last, n_packets``: windows that start at a packet and end before the first one ``seconds`` later.
 
-    Windows of a sensor follow from each other, so each sensor's times, pre-aggregated to distinct
-    ones, are sorted by Spark and read as a stream with one open window as the only state.
+    Windows of a sensor follow from each other; blocks of ``spans`` windows' time are mapped on their own and composed.
     """
-    times = packets.groupBy(F.col(sensor).alias("sensor"), "ts").agg(F.count("*").alias("n"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name = start = last = None
-        n = 0
-        for batch in batches:
-            done = []
-            for s, t, k in zip(batch["sensor"].tolist(), batch["ts"].tolist(), batch["n"].tolist()):
-                if start is None or s != name or t - start >= seconds:
-                    if start is not None:
-                        done.append((name, start, last, n))
-                    name, start, n = s, t, 0
-                last = t
-                n += k
-            yield pd.DataFrame(done, columns=["sensor", "w_start", "w_last", "n_packets"])
-        if start is not None:
-            yield pd.DataFrame([(name, start, last, n)], columns=["sensor", "w_start", "w_last", "n_packets"])
-
-    return times.repartition("sensor").sortWithinPartitions("sensor", "ts").mapInPandas(run, "sensor string, w_start double, w_last double, n_packets long")
+    links = chain_starts(packets.withColumn("sensor", F.col(sensor)), ["sensor"], span=seconds, spans=spans)
+    return links.select("sensor", F.col("start").alias("w_start"), F.col("last").alias("w_last"), F.col("n").alias("n_packets"))
 
 
 def in_anchored_windows(packets: DataFrame, seconds: float = 10.0, min_packets: int = 3, grain: float = 3600.0) -> DataFrame:
@@ -56,37 +36,61 @@ def in_anchored_windows(packets: DataFrame, seconds: float = 10.0, min_packets:
 
     Windows meet packets on the time cells they touch, an equi-join with the interval as residue.
     """
-    found = anchored_windows(packets, seconds).filter(F.col("n_packets") >= min_packets)
-    cells = found.select("sensor", "w_start", "w_last", F.explode(F.sequence(F.floor(F.col("w_start") / grain), F.floor(F.col("w_last") / grain))).alias("_cell"))
-    held = packets.withColumn("_cell", F.floor(F.col("ts") / grain)).join(cells, ["sensor", "_cell"])
-    return held.filter(F.col("ts").between(F.col("w_start"), F.col("w_last"))).drop("_cell", "w_last")
+    found = chain_starts(packets, ["sensor"], span=seconds).filter(F.col("n") >= min_packets)
+    return in_links(packets, found, ["sensor"], grain=grain).withColumnRenamed("start", "w_start")
+
 
+def next_greater(tops: DataFrame, fan: int = 512) -> DataFrame:
+    """``_s, _f, _shut`` from ``_s, _f, _top``: the first later frame of a sensor with a larger top; rows without one are left out.
 
-def late_rows(rows: DataFrame, frame: str = "frame", bucket_col: str = "bucket", sensor: str = "sensor") -> DataFrame:
+    Frames are cut into blocks of ``fan`` numbers, blocks into blocks, up to one block per sensor. A frame looks for
+    a larger top in its own block, then for a later block with a larger one, level by level, and down again.
+    """
+    reach = tops.agg(F.min("_f"), F.max("_f")).first()
+    low, span = (reach[0] or 0), (reach[1] or 0) - (reach[0] or 0) + 1
+    elements = tops.select("_s", (F.col("_f") - low).alias("_pos"), F.col("_top").alias("_v"))
+    levels = []
+    while True:
+        block = F.floor(F.col("_pos") / fan).cast("long").alias("_block")
+        levels.append(elements.groupBy("_s", block).agg(F.sort_array(F.collect_list(F.struct(F.col("_pos").cast("long").alias("p"), F.col("_v").alias("v")))).alias("_own")))
+        if span <= fan:
+            break
+        span = -(-span // fan)
+        elements = elements.groupBy("_s", block).agg(F.max("_v").alias("_v")).withColumnRenamed("_block", "_pos")
+
+    def look(rows: DataFrame, level: int, block, after) -> DataFrame:
+        there = levels[level].select(F.col("_s").alias("_s2"), F.col("_block").alias("_b2"), "_own")
+        hit = F.get(F.filter("_own", lambda x: (x["p"] > after) & (x["v"] > F.col("_top"))), F.lit(0))["p"]
+        held = rows.withColumn("_want", block.cast("long")).join(there, F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_want") == F.col("_b2")))
+        return held.withColumn("_hit", hit).select("_s", "_f", "_top", "_at", "_hit")
+
+    seeking = tops.select("_s", "_f", "_top", (F.col("_f") - low).cast("long").alias("_at"))
+    out = None
+    for level in range(len(levels)):
+        tried = look(seeking, level, F.floor(F.col("_at") / fan), F.col("_at"))
+        found = tried.filter(F.col("_hit").isNotNull())
+        for down in range(level - 1, -1, -1):
+            found = look(found.withColumn("_at", F.col("_hit")), down, F.col("_at"), F.lit(-1))
+        found = found.select("_s", "_f", (F.col("_hit") + low).alias("_shut"))
+        out = found if out is None else out.unionByName(found)
+        seeking = tried.filter(F.col("_hit").isNull()).withColumn("_at", F.floor(F.col("_at") / fan).cast("long")).drop("_hit")
+    return out
+
+
+def late_rows(rows: DataFrame, frame: str = "frame", bucket_col: str = "bucket", sensor: str = "sensor", fan: int = 512) -> DataFrame:
     """``rows`` with ``late``: whether their bucket had been closed by an earlier frame of their sensor.
 
     A frame closes every open bucket below its largest; a bucket that is first seen after larger ones is
-    accepted until its frame ends. So a bucket is closed by its first frame where that holds a larger one.
-    Else it is its first frame's largest, and closed by the first later frame that holds a larger one: where
-    the running maximum passes it, an equi-join on the buckets each step of the maximum passes over.
-    Only a first frame whose largest bucket is below an earlier maximum is compared with later frames.
+    accepted until its frame ends. So a bucket is closed by its first frame where that holds a larger one,
+    else it is its first frame's largest, and closed by the next frame with a larger one.
     """
     pairs = rows.select(F.col(sensor).alias("_s"), F.col(frame).alias("_f"), F.col(bucket_col).alias("_b")).distinct()
-    order = Window.partitionBy("_s").orderBy("_f")
-    past = order.rowsBetween(Window.unboundedPreceding, -1)
-    tops = pairs.groupBy("_s", "_f").agg(F.max("_b").alias("_top")).withColumn("_high", F.max("_top").over(past))
+    tops = pairs.groupBy("_s", "_f").agg(F.max("_b").alias("_top"))
     first = pairs.groupBy("_s", "_b").agg(F.min("_f").alias("_f")).join(tops, ["_s", "_f"])
     at_once = first.filter(F.col("_top") > F.col("_b")).select("_s", "_b", F.col("_f").alias("_shut"))
     waiting = first.filter(F.col("_top") == F.col("_b"))
-    # A step of the running maximum closes the buckets from the maximum before it up to, not including, its own.
-    steps = tops.filter(F.col("_top") > F.col("_high")).select("_s", F.col("_f").alias("_shut"), F.explode(F.sequence("_high", F.col("_top") - 1)).alias("_b"))
-    in_order = waiting.filter(F.col("_high").isNull() | (F.col("_high") <= F.col("_b"))).join(steps, ["_s", "_b"]).select("_s", "_b", "_shut")
-    later = tops.select(F.col("_s").alias("_s2"), F.col("_f").alias("_f2"), F.col("_top").alias("_top2"))
-    behind = (
-        waiting.filter(F.col("_high") > F.col("_b")).join(later, (F.col("_s") == F.col("_s2")) & (F.col("_f2") > F.col("_f")) & (F.col("_top2") > F.col("_b")))
-        .groupBy("_s", "_b").agg(F.min("_f2").alias("_shut"))
-    )
-    shut = at_once.unionByName(in_order).unionByName(behind)
+    later = waiting.select("_s", "_f", "_b").join(next_greater(tops, fan), ["_s", "_f"]).select("_s", "_b", "_shut")
+    shut = at_once.unionByName(later)
     joined = rows.join(shut, (F.col(sensor) == F.col("_s")) & (F.col(bucket_col) == F.col("_b")), "left")
     return joined.withColumn("late", F.coalesce(F.col(frame) > F.col("_shut"), F.lit(False))).drop("_s", "_b", "_shut")
 

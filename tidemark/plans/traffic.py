@@ -79,16 +79,39 @@ def host_rollup(spark, sf_dir):
     return _rounded_flows(flows.host_rollup(_flows(spark, sf_dir)))
 
 
-@R.add(duck("packets", then="""SELECT src, dst, round(1.0 * n_ms / 1000 + 1e-7, 4) AS duration, n AS n_packets, round(b / CASE WHEN n_ms > 0 THEN n_ms / 1000.0 ELSE 1 END + 1e-7, 4) AS bytes_per_sec, round(s / n + 1e-7, 4) AS syn_ratio
-  FROM (SELECT src, dst, CAST(floor((max(ts) - min(ts)) * 1000 + 1e-3) AS BIGINT) AS n_ms, count(*) AS n, sum(length) AS b, count(*) FILTER (WHERE flags = 'S') AS s FROM packets GROUP BY src, dst) g"""))
+# Timeouts of ten days and of four, as a flow's events are days apart.
+IDLE, ACTIVE = 864000.0, 345600.0
+_SESSIONS = """, k AS (SELECT *, ts - lag(ts) OVER (PARTITION BY src, dst, portA, portB, proto ORDER BY ts) AS gap FROM (
+    SELECT CASE WHEN ab THEN src ELSE dst END AS src, CASE WHEN ab THEN dst ELSE src END AS dst, CASE WHEN ab THEN sport ELSE dport END AS portA,
+           CASE WHEN ab THEN dport ELSE sport END AS portB, proto, ts, length, flags FROM (SELECT *, src < dst OR (src = dst AND sport <= dport) AS ab FROM packets) p) q),
+  begun AS (
+    SELECT src, dst, portA, portB, proto, min(ts) AS w FROM k GROUP BY ALL
+    UNION ALL
+    SELECT src, dst, portA, portB, proto, (SELECT min(p.ts) FROM k p WHERE p.src = s.src AND p.dst = s.dst AND p.portA = s.portA AND p.portB = s.portB AND p.proto = s.proto
+      AND p.ts > s.w AND (p.ts - s.w >= 345600 OR p.gap > 864000)) FROM begun s WHERE s.w IS NOT NULL),
+  spans AS (SELECT *, lead(w) OVER (PARTITION BY src, dst, portA, portB, proto ORDER BY w) AS nxt FROM begun WHERE w IS NOT NULL),
+  parts AS (SELECT k.*, b.w AS t0 FROM k JOIN spans b USING (src, dst, portA, portB, proto) WHERE k.ts >= b.w AND (b.nxt IS NULL OR k.ts < b.nxt)) """
+
+
+@R.add(duck("packets", then=_SESSIONS + "SELECT src, dst, portA, portB, proto, t0, max(ts) AS t1, count(*) AS n_packets FROM parts GROUP BY src, dst, portA, portB, proto, t0"))
+def active_sessions(spark, sf_dir):
+    return flows.active_sessions(view(spark, sf_dir, "packets"), IDLE, ACTIVE)
+
+
+_LETTER = lambda c: f"count(*) FILTER (WHERE flags LIKE '%{c}%')"
+
+
+@R.add(duck("packets", then=_SESSIONS + f""", x AS (SELECT *, CASE WHEN ts > t0 THEN gap END AS piat FROM parts),
+  g AS (SELECT src, dst, portA, portB, proto, t0, count(*) AS n_packets, sum(length) AS n_bytes, max(ts) - min(ts) AS duration, avg(length) AS mean_len, stddev_pop(length) AS std_len,
+    min(length) AS min_len, max(length) AS max_len, coalesce(avg(piat), 0) AS mean_iat, coalesce(stddev_pop(piat), 0) AS std_iat,
+    {_LETTER('S')} AS s, {_LETTER('A')} AS a, {_LETTER('F')} AS f, {_LETTER('R')} AS r, {_LETTER('P')} AS p FROM x GROUP BY src, dst, portA, portB, proto, t0)
+  SELECT src, dst, portA, portB, proto, n_packets, {r4_sql('t0', 'n_bytes', 'duration', 'mean_len', 'std_len', 'min_len', 'max_len')}, round(mean_iat + 1e-7, 3) AS mean_iat, round(std_iat + 1e-7, 3) AS std_iat,
+    round(n_bytes / CASE WHEN duration > 0 THEN duration ELSE 1 END + 1e-7, 4) AS bytes_per_sec, round(n_packets / CASE WHEN duration > 0 THEN duration ELSE 1 END + 1e-7, 4) AS pkts_per_sec,
+    round(s / n_packets + 1e-7, 4) AS syn_ratio, round(a / n_packets + 1e-7, 4) AS ack_ratio, round(f / n_packets + 1e-7, 4) AS fin_ratio, round(r / n_packets + 1e-7, 4) AS rst_ratio,
+    round(p / n_packets + 1e-7, 4) AS psh_ratio, CASE WHEN s > 0 AND a = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS syn_no_ack FROM g"""))
 def extractor_flows(spark, sf_dir):
-    p = view(spark, sf_dir, "packets").groupBy(F.col("src").alias("src_ip"), F.col("dst").alias("dst_ip"))
-    zero = ["mean_ps", "stddev_ps", "min_ps", "max_ps", "mean_piat_ms", "stddev_piat_ms", "ack_packets", "fin_packets", "rst_packets", "psh_packets"]
-    raw = p.agg(
-        (F.min("ts") * 1000).alias("bidirectional_first_seen_ms"), F.floor((F.max("ts") - F.min("ts")) * 1000 + 1e-3).alias("bidirectional_duration_ms"), F.count("*").alias("bidirectional_packets"),
-        F.sum("length").alias("bidirectional_bytes"), F.count_if(F.col("flags") == "S").alias("bidirectional_syn_packets"), *[F.lit(0).alias(f"bidirectional_{z}") for z in zero],
-    ).withColumns({"src_port": F.lit(1), "dst_port": F.lit(2), "protocol": F.lit(6)})
-    return rounded(flows_from_extractor(raw).select("src", "dst", "duration", "n_packets", "bytes_per_sec", "syn_ratio"))
+    f = flows_from_extractor(flows.extracted_flows(view(spark, sf_dir, "packets"), IDLE, ACTIVE, grain=43200.0))
+    return f.select(*[F.round(F.col(c) + 1e-7, 3 if c.endswith("_iat") else 4).alias(c) if t == "double" else c for c, t in f.dtypes])
 
 
 @R.add(flows_duck(then="SELECT src, dst, portA, portB, round(CASE WHEN std_iat > 0 THEN duration / std_iat ELSE 0 END + 1e-7, 4) AS clean FROM flows"))
