@@ -11,6 +11,7 @@ from tidemark import sinks
 from tidemark.functions import scalars
 from tidemark.operators import explore, flows, labels, lifecycle, models, stats, windows
 from tidemark.schemas import FLOW_FEATURES, HOST_FEATURES, PACKET
+from tidemark.sources import captures
 from tidemark.sources import packets as sources
 
 
@@ -62,8 +63,8 @@ def test_pcap_and_text(spark, tmp_path):
     for sec, data in ((1700000000, frame), (1700000001, arp)):
         body += struct.pack("<IIII", sec, 500000, len(data), len(data)) + data
     (tmp_path / "x.pcap").write_bytes(body)
-    got = sources.read_pcap(spark, str(tmp_path / "x.pcap")).collect()
-    assert [tuple(r) for r in got] == [(1700000000.5, "10.0.0.1", "10.0.0.2", 6, 44, 51514, 443, "SA")]
+    got = captures.read_pcap(spark, str(tmp_path / "x.pcap")).collect()
+    assert [tuple(r) for r in got] == [(1700000000.5, "10.0.0.1", "10.0.0.2", 6, 56, 51514, 443, "SA")]
     lines = ["1700000000.123456 IP 10.0.0.1.51514 > 10.0.0.2.443: Flags [S.], length 0", "1700000001.5 IP 10.0.0.1.53 > 10.0.0.2.99: UDP, length 30", "1700000001.5 IP 10.0.0.1 > 10.0.0.2: ICMP echo request, length 64", "noise"]
     rows = sources.parse_tcpdump(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
     assert [(r["proto"], r["sport"], r["dport"], r["length"], r["flags"]) for r in rows] == [(6, 51514, 443, 0, "S."), (17, 53, 99, 30, ""), (17, None, None, 64, "")]

@@ -9,7 +9,9 @@ from tidemark.functions.scalars import finite
 from tidemark.operators import flows, labels, stats, windows
 from tidemark.plans.inputs import SECONDS, Registry, duck, flows_duck, r4_sql, rounded, view
 from tidemark.schemas import FLOW_FEATURES, HOST_FEATURES
+from tidemark.sources import captures
 from tidemark.sources.packets import flows_from_extractor, parse_tcpdump
+from tidemark.staging import fresh_path
 
 R = Registry()
 FL_COLS = "src, dst, portA, portB, proto, t0, CAST(n_packets AS BIGINT) AS n_packets, " + r4_sql(*[c for c in FLOW_FEATURES if c != "n_packets"])
@@ -31,6 +33,15 @@ def tcpdump_text_parse(spark, sf_dir):
     return parse_tcpdump(p.select(line.alias("value")).union(p.select(F.lit("ARP, Request who-has").alias("value")).limit(3)))
 
 
+@R.add(duck("packets", then="SELECT round(ts, 6) AS ts, src, dst, 6 AS proto, CAST(greatest(54, floor(length)) AS INT) AS length, sport, dport, flags FROM packets"))
+def pcap_packets(spark, sf_dir):
+    """Packets through captures: written by two tasks, read in ranges of 64 KB."""
+    path = fresh_path(spark, "pcap")
+    p = view(spark, sf_dir, "packets")
+    captures.write_pcap(p.withColumn("length", F.floor("length").cast("int")).repartition(2, "event_id"), path)
+    return captures.read_pcap(spark, path, split_bytes=1 << 16).withColumn("ts", F.round("ts", 6))
+
+
 @R.add(flows_duck(then=f"SELECT {FL_COLS} FROM flows"))
 def flow_features(spark, sf_dir):
     return _rounded_flows(_flows(spark, sf_dir))

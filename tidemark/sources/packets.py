@@ -1,68 +1,11 @@
-"""Packet sources: pcap files, tcpdump text, flow tables of an external extractor, and a demo capture."""
+"""Packet sources: tcpdump text, flow tables of an external extractor, CSV, and a demo capture."""
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import floor_one_ratio, guarded_rate
-from tidemark.schemas import PACKET
-
-_MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1e6), b"\xa1\xb2\xc3\xd4": (">", 1e6), b"\x4d\x3c\xb2\xa1": ("<", 1e9), b"\xa1\xb2\x3c\x4d": (">", 1e9)}
-_FLAGS = ((1, "F"), (2, "S"), (4, "R"), (8, "P"), (16, "A"), (32, "U"), (64, "E"), (128, "C"))
-
-
-def decode_pcap(data: bytes) -> Iterator[tuple]:
-    """Packet rows of one pcap file; what is not IPv4 over Ethernet or raw IP is left out."""
-    if data[:4] not in _MAGIC:
-        raise ValueError("not a pcap file")
-    order, unit = _MAGIC[data[:4]]
-    link = struct.unpack_from(order + "I", data, 20)[0]
-    at = 24
-    while at + 16 <= len(data):
-        sec, part, kept, _ = struct.unpack_from(order + "IIII", data, at)
-        frame = data[at + 16 : at + 16 + kept]
-        at += 16 + kept
-        if link == 1:
-            kind, skip = int.from_bytes(frame[12:14], "big"), 14
-            if kind == 0x8100:
-                kind, skip = int.from_bytes(frame[16:18], "big"), 18
-            if kind != 0x0800:
-                continue
-            frame = frame[skip:]
-        if len(frame) < 20 or frame[0] >> 4 != 4:
-            continue
-        body = frame[(frame[0] & 15) * 4 :]
-        proto, ports, flags = frame[9], (None, None), ""
-        if proto in (6, 17) and len(body) >= 4:
-            ports = struct.unpack_from(">HH", body)
-        if proto == 6 and len(body) >= 14:
-            flags = "".join(name for bit, name in _FLAGS if body[13] & bit)
-        dotted = lambda a: ".".join(map(str, frame[a : a + 4]))
-        yield sec + part / unit, dotted(12), dotted(16), proto, int.from_bytes(frame[2:4], "big"), *ports, flags
-
-
-def read_pcap(spark: SparkSession, path: str, batch_rows: int = 50_000) -> DataFrame:
-    """Packets of the pcap files at ``path``; one task decodes whole files, so keep captures rotated."""
-    names = [c.split()[0] for c in PACKET.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for data in batch["content"]:
-                rows: list[tuple] = []
-                for row in decode_pcap(bytes(data)):
-                    rows.append(row)
-                    if len(rows) == batch_rows:
-                        yield pd.DataFrame(rows, columns=names).astype({"sport": "Int64", "dport": "Int64"})
-                        rows = []
-                yield pd.DataFrame(rows, columns=names).astype({"sport": "Int64", "dport": "Int64"})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, PACKET)
-
 
 _LINE = r"^(\d+\.\d+) IP6? (\S+) > (\S+): (?:Flags \[([^\]]*)\])?.*?length (\d+)"
 
