@@ -209,7 +209,7 @@ def test_live_stream(spark, tmp_path):
     tagged = live.tag_anchored(spark.readStream.schema(p.schema).parquet(src))
     sink = live.LiveSink(str(tmp_path / "live"), lambda f: f.withColumn("score", F.col("n_bytes")), [(0.0, 0.0), (1.0, 2000.0)], seconds=30)
     tagged.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
-    sink.close(everything=True)
+    sink.finish(spark)
     pool = spark.read.parquet(str(tmp_path / "live/pool/windows"))
     assert pool.agg(F.sum("n_packets")).first()[0] == p.count()
     assert spark.read.parquet(str(tmp_path / "live/alerts/*")).filter("percentile < 0.95").count() == 0

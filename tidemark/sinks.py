@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from tidemark.staging import forget, staged
+
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
@@ -16,20 +18,42 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def write_pool(rows: DataFrame, path: str) -> DataFrame:
+INDEX = "window_id string, sensor string, visao string, bucket long, t_start long, t_end long, n_rows long, parquet_bytes long, sha256 string, path string"
+
+
+def write_pool(rows: DataFrame, path: str, seconds: int = 780) -> DataFrame:
     """Append pool windows (``sensor, visao, bucket, window_id``) that the pool does not hold yet; returns the new index rows.
 
-    Rows are clustered by window, so each window is a few files. Windows are written before the index and
-    each in place of what its folder holds, so a call that failed between the two can be repeated; after
-    a call that went through, the same rows write nothing.
+    Rows are clustered by window, so each window is one file. Windows are written before the index and each in
+    place of what its folder holds, so a call that failed between the two can be repeated; after a call that
+    went through, the same rows write nothing. The index has each window's times, rows, bytes and digest.
     """
     spark = rows.sparkSession
-    known = read_or_empty(spark, f"{path}/index", "window_id string, sensor string, visao string, bucket long, n_rows long")
+    known = read_or_empty(spark, f"{path}/index", INDEX)
     fresh = rows.join(known.select("window_id"), "window_id", "left_anti")
     fresh.repartition("sensor", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sensor", "visao", "bucket").parquet(f"{path}/windows")
-    index = fresh.groupBy("window_id", "sensor", "visao", "bucket").agg(F.count("*").alias("n_rows"))
-    index.write.mode("append").parquet(f"{path}/index")
-    return index
+    counted = fresh.groupBy("window_id", "sensor", "visao", "bucket").agg(F.count("*").alias("n_rows"))
+    folders = F.concat(F.lit(f"{path}/windows/sensor="), "sensor", F.lit("/visao="), "visao", F.lit("/bucket="), "bucket").alias("path")
+    placed, draft = staged(counted.select("*", folders), "pool-index")
+    index = placed.join(window_digests(spark, [r["path"] for r in placed.select("path").toLocalIterator()]), "path").select(
+        "window_id", "sensor", "visao", "bucket", (F.col("bucket") * seconds).alias("t_start"), ((F.col("bucket") + 1) * seconds).alias("t_end"), "n_rows", "parquet_bytes", "sha256", "path"
+    )
+    added, own = staged(index, "pool-index")
+    added.write.mode("append").parquet(f"{path}/index")
+    forget(spark, draft)
+    return added
+
+
+def window_digests(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """``path, parquet_bytes, sha256`` of window folders; the digest of several files is that of their digests in order."""
+    if not folders:
+        return spark.createDataFrame([], "path string, parquet_bytes long, sha256 string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folders)
+    clean = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    each = files.select(F.regexp_extract(clean(F.col("path")), "^(.*)/[^/]*$", 1).alias("_folder"), "length", F.sha2("content", 256).alias("d"))
+    found = each.groupBy("_folder").agg(F.sum("length").alias("parquet_bytes"), F.sort_array(F.collect_list("d")).alias("ds"))
+    named = spark.createDataFrame([(f,) for f in folders], "path string").withColumn("_folder", clean(F.col("path")))
+    return named.join(found, "_folder").select("path", "parquet_bytes", F.when(F.size("ds") == 1, F.col("ds")[0]).otherwise(F.sha2(F.array_join("ds", ""), 256)).alias("sha256"))
 
 
 def write_alerts(scored: DataFrame, path: str, floor: float = 0.95, batch: int | None = None) -> None:
