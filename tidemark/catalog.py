@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import exploration, lifecycle, scoring, traffic, training
+from tidemark.plans import exploration, geometry, lifecycle, scoring, traffic, training
 
-_PLANS = (traffic, scoring, lifecycle, exploration, training)
+_PLANS = (traffic, scoring, lifecycle, exploration, training, geometry)
 
 
 def queries() -> dict:

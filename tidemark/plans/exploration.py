@@ -95,10 +95,11 @@ def nearest_neighbours(spark, sf_dir):
     return rounded(explore.nearest(e.filter("vec_id % 100 = 0"), e, 5, "embedding", "vec_id").select("id", "neighbour", "distance"))
 
 
-@R.add("SELECT p_partkey, round(p_size * p_retailprice + 1e-7, 4) AS cross_term FROM part")
+@R.add("SELECT p_partkey, round(p_size + 1e-7, 4) AS size, round(p_size * p_size + 1e-7, 4) AS size_size, round(p_retailprice + 1e-7, 4) AS price, round(p_size * p_retailprice + 1e-7, 4) AS size_price, round(p_retailprice * p_retailprice + 1e-7, 4) AS price_price FROM part")
 def polynomial_features(spark, sf_dir):
+    """All five terms of degree two and less."""
     made = models.polynomial(view(spark, sf_dir, "part"), ["p_size", "p_retailprice"])
-    return rounded(made.select("p_partkey", F.get("expanded", F.lit(3)).alias("cross_term")))
+    return rounded(made.select("p_partkey", *[F.get("expanded", F.lit(i)).alias(n) for i, n in enumerate(("size", "size_size", "price", "size_price", "price_price"))]))
 
 
 @R.add(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", q, round(v + 1e-7, 4) AS value FROM (SELECT unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS q, unnest(quantile_cont({c}, [0.25, 0.5, 0.75])) AS v FROM lineitem) t" for c in _N))
