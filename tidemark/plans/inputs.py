@@ -49,20 +49,28 @@ _VIEWS = {
                CASE WHEN b % 7 = 0 THEN CAST((b + 500) * 780 AS DOUBLE) END AS evicted_at, CASE WHEN b % 7 = 0 THEN 'drift' END AS evicted_reason,
                'pool/' || CAST(b AS STRING) || '-' || sensor AS path
         FROM (SELECT sensor, CAST(floor(ts / 780e0) AS BIGINT) AS b, count(*) AS n_rows FROM packets GROUP BY 1, 2) g"""),
-    "models": ((), """
-        SELECT model_id, stage, kind, visao, status, trained_at FROM (VALUES (1, 1, 'isolation_forest', 'flow', 'promoted', 100), (2, 1, 'isolation_forest', 'flow', 'candidate', 200),
-          (3, 2, 'linear_svm', NULL, 'promoted', 150), (4, 2, 'linear_svm', NULL, 'candidate', 300), (5, 1, 'isolation_forest', 'flow', 'retired', 50), (6, 2, 'linear_svm', NULL, 'shadow', 310),
-          (7, 1, 'decision_tree_surrogate', 'flow', 'promoted', 101), (8, 1, 'isolation_forest', 'flow', 'candidate', 210)) AS t(model_id, stage, kind, visao, status, trained_at)"""),
+    "models": (("events",), """
+        SELECT CAST(g + 1 AS INT) AS model_id, stage, CASE WHEN g = 6 THEN 'decision_tree_surrogate' WHEN stage = 1 THEN 'isolation_forest' ELSE 'linear_svm' END AS kind,
+               CASE WHEN stage = 1 THEN CASE WHEN g % 10 = 9 THEN 'host' ELSE 'flow' END END AS visao,
+               CASE WHEN g IN (0, 2, 6) THEN 'promoted' WHEN g = 4 THEN 'retired' WHEN g IN (1, 3, 7) THEN 'candidate' WHEN g = 5 THEN 'shadow'
+                    WHEN g % 3 = 0 THEN 'candidate' WHEN g % 3 = 1 THEN 'retired' ELSE 'shadow' END AS status, CAST(top AS INT) AS trained_at
+        FROM (SELECT user_id % 64 AS g, CAST(CASE WHEN user_id % 64 IN (2, 3, 5) OR (user_id % 64 > 7 AND user_id % 2 = 0) THEN 2 ELSE 1 END AS INT) AS stage, max(event_id) AS top FROM events GROUP BY 1, 2) grouped"""),
     "provenance": (("windows",), "SELECT window_id, CAST(bucket % 6 + 1 AS INT) AS model_id, 1e0 AS weight FROM windows"),
-    "evaluations": ((), """
-        SELECT model_id, scope, scenario, recall, taxa_falso_positivo, evaluated_at FROM (VALUES
-          (1, 'scenario', 'recon', 0.95e0, 0.01e0, 1), (1, 'scenario', 'benigno', NULL, 0.01e0, 1), (1, 'aggregate', NULL, 0.95e0, 0.01e0, 1),
-          (2, 'scenario', 'recon', 0.93e0, 0.015e0, 2), (2, 'scenario', 'benigno', NULL, 0.015e0, 2), (2, 'aggregate', NULL, 0.93e0, 0.015e0, 2), (2, 'aggregate', NULL, 0.94e0, 0.014e0, 3),
-          (3, 'scenario', 'recon', 1e0, 0e0, 1), (3, 'scenario', 'brute_force', 0.9e0, 0e0, 1), (4, 'scenario', 'recon', 0.85e0, 0e0, 4), (4, 'scenario', 'brute_force', NULL, NULL, 4),
-          (6, 'scenario', 'recon', 0.97e0, 0.001e0, 4), (6, 'scenario', 'brute_force', 0.9e0, 0.001e0, 4), (8, 'scenario', 'benigno', NULL, 0.5e0, 4)) AS t(model_id, scope, scenario, recall, taxa_falso_positivo, evaluated_at)"""),
-    "floors": ((), """
-        SELECT stage, scenario, recall_minimo, obrigatorio FROM (VALUES (1, 'benigno', NULL, true), (1, 'recon', 0.90e0, false), (2, 'recon', 0.90e0, true), (2, 'brute_force', 0.85e0, true))
-          AS t(stage, scenario, recall_minimo, obrigatorio)"""),
+    "tried": (("judged", "models"), """
+        SELECT model_id, stage, doc_id, label, CASE WHEN label = 0 AND doc_id % 4 = 0 THEN 'benigno' WHEN doc_id % 3 = 0 THEN 'recon' ELSE 'brute_force' END AS scenario,
+               CASE WHEN label = 1 AND (doc_id * 31 + model_id * 17) % 100 >= model_id % 25 THEN 1 WHEN label = 0 AND (doc_id * 13 + model_id * 7) % 100 < model_id % 4 THEN 1 ELSE 0 END AS predicted
+        FROM (SELECT doc_id, label, 1 AS one FROM judged) j JOIN (SELECT model_id, stage, 1 AS one FROM models) m ON j.one = m.one"""),
+    "evaluations": (("tried",), """
+        SELECT model_id, 'scenario' AS scope, scenario, CAST(sum(label * predicted) AS DOUBLE) / nullif(CAST(sum(label) AS DOUBLE), 0e0) AS recall,
+               CAST(sum((1 - label) * predicted) AS DOUBLE) / nullif(CAST(sum(1 - label) AS DOUBLE), 0e0) AS taxa_falso_positivo, 2 AS evaluated_at
+        FROM tried GROUP BY model_id, scenario
+        UNION ALL
+        SELECT model_id, 'aggregate', CAST(NULL AS STRING), CAST(sum(label * predicted) AS DOUBLE) / nullif(CAST(sum(label) AS DOUBLE), 0e0),
+               CAST(sum((1 - label) * predicted) AS DOUBLE) / nullif(CAST(sum(1 - label) AS DOUBLE), 0e0), CAST(part AS INT)
+        FROM (SELECT model_id, label, predicted, 2 AS part FROM tried UNION ALL SELECT model_id, label, predicted, 1 FROM tried WHERE doc_id % 2 = 0) halves GROUP BY model_id, part"""),
+    "floors": (("tried",), """
+        SELECT stage, scenario, CASE WHEN scenario <> 'benigno' THEN CASE WHEN stage = 1 THEN 0.8e0 ELSE 0.85e0 END END AS recall_minimo, stage = 2 OR scenario = 'benigno' AS obrigatorio
+        FROM (SELECT DISTINCT stage, scenario FROM tried WHERE stage = 1 OR scenario <> 'benigno') known"""),
     "scenarios": ((), "SELECT scenario FROM (VALUES ('s0'), ('s1'), ('s2'), ('s3'), ('none')) AS t(scenario)"),
     "judged": (("labels",), """
         SELECT doc_id, 's' || CAST(doc_id % 4 AS STRING) AS scenario, 'c' || CAST(doc_id % 8 AS STRING) AS capture, toxic AS label, 1 - quality AS predicted,

@@ -89,8 +89,8 @@ GATE = """, live AS (SELECT stage, coalesce(visao, '-') AS vk, max(model_id) AS
     LEFT JOIN live l ON l.stage = m.stage AND l.vk = coalesce(m.visao, '-') LEFT JOIN seen o ON o.model_id = l.model_id AND o.scenario = n.scenario
     WHERE m.status NOT IN ('promoted', 'retired')),
   tests AS (SELECT model_id, scenario, unnest([CASE WHEN was IS NULL THEN false ELSE now - was < -0.10 END, CASE WHEN floor IS NULL THEN false ELSE now < floor END, coalesce(noise > 0.02, false)]) AS failed FROM met),
-  judged AS (SELECT model_id, scenario, CASE WHEN count(*) FILTER (WHERE failed) > 0 THEN true WHEN count(failed) < 3 THEN NULL ELSE false END AS reprova FROM tests GROUP BY ALL),
-  chk AS (SELECT t.model_id AS candidate_model_id, t.live_id AS incumbent_model_id, t.stage, t.visao, t.scenario, t.obrigatorio, t.now - t.was AS delta, j.reprova FROM met t JOIN judged j USING (model_id, scenario)) """
+  ruled AS (SELECT model_id, scenario, CASE WHEN count(*) FILTER (WHERE failed) > 0 THEN true WHEN count(failed) < 3 THEN NULL ELSE false END AS reprova FROM tests GROUP BY ALL),
+  chk AS (SELECT t.model_id AS candidate_model_id, t.live_id AS incumbent_model_id, t.stage, t.visao, t.scenario, t.obrigatorio, t.now - t.was AS delta, j.reprova FROM met t JOIN ruled j USING (model_id, scenario)) """
 VERDICT = GATE + """, asked AS (SELECT stage, count(*) AS n FROM floors WHERE obrigatorio GROUP BY stage),
   tally AS (SELECT candidate_model_id, incumbent_model_id, stage, visao, count(*) AS n, sum(CASE WHEN reprova THEN 1 ELSE 0 END) AS failed, count(reprova) AS told, count(*) FILTER (WHERE obrigatorio) AS must, min(delta) AS worst FROM chk GROUP BY ALL),
   ver AS (SELECT t.candidate_model_id, t.incumbent_model_id, t.stage, t.visao, t.n AS cenarios_avaliados, CAST(t.failed AS BIGINT) AS cenarios_reprovados, t.worst AS pior_delta,

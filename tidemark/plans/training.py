@@ -74,15 +74,15 @@ def request_states(spark, sf_dir):
     return C.finish_request(running, NOW + 60, "empty pool").select("request_id", "state", "erro")
 
 
-@R.add(duck("models", then="SELECT model_id, CASE model_id WHEN 3 THEN 'retired' ELSE status END AS status FROM models UNION ALL SELECT 9, 'promoted'"))
+@R.add(duck("models", then="SELECT model_id, CASE model_id WHEN 3 THEN 'retired' ELSE status END AS status FROM models UNION ALL SELECT 900, 'promoted'"))
 def adopt_model(spark, sf_dir):
-    made = spark.sql("SELECT 9 AS model_id, 2 AS stage, 'linear_svm' AS kind, CAST(NULL AS STRING) AS visao, 'candidate' AS status, 400 AS trained_at")
+    made = spark.sql("SELECT 900 AS model_id, 2 AS stage, 'linear_svm' AS kind, CAST(NULL AS STRING) AS visao, 'candidate' AS status, 400 AS trained_at")
     return C.adopt(view(spark, sf_dir, "models"), made, "ana")[0].select("model_id", "status")
 
 
-@R.add("SELECT 9 AS candidate_model_id, 3 AS incumbent_model_id, 'adotado' AS decisao, 'ana' AS decided_by")
+@R.add(duck("models", then="SELECT 900 AS candidate_model_id, (SELECT max(model_id) FROM models WHERE stage = 2 AND status = 'promoted' AND kind <> 'decision_tree_surrogate') AS incumbent_model_id, 'adotado' AS decisao, 'ana' AS decided_by"))
 def adopt_decision(spark, sf_dir):
-    made = spark.sql("SELECT 9 AS model_id, 2 AS stage, 'linear_svm' AS kind, CAST(NULL AS STRING) AS visao, 'candidate' AS status, 400 AS trained_at")
+    made = spark.sql("SELECT 900 AS model_id, 2 AS stage, 'linear_svm' AS kind, CAST(NULL AS STRING) AS visao, 'candidate' AS status, 400 AS trained_at")
     return C.adopt(view(spark, sf_dir, "models"), made, "ana")[1]
 
 
