@@ -81,6 +81,42 @@ _VIEWS = {
         SELECT 'p' || CAST(user_id % 5 AS STRING) AS key, event_id AS changed_at, floor(value / 50e0) AS value FROM events WHERE event_type = 'purchase'"""),
     "requests": (("events",), """
         SELECT event_id AS request_id, CASE WHEN event_id % 3 = 0 THEN 'done' ELSE 'pending' END AS state, (event_id * 31) % 997 AS requested_at FROM events"""),
+    # Tables made to break every invariant.
+    "odd_windows": (("windows",), """
+        SELECT CASE WHEN bucket % 19 = 0 THEN 'twice' ELSE window_id END AS window_id, CASE WHEN bucket % 23 = 0 THEN 'net' ELSE visao END AS visao, CASE WHEN bucket % 29 = 0 THEN 'same' ELSE path END AS path,
+               CASE WHEN bucket % 31 = 0 THEN -1 ELSE n_rows END AS n_rows, CASE WHEN bucket % 3 = 0 THEN 'nfstream' WHEN bucket % 37 = 0 THEN 'perl' END AS extractor,
+               CASE WHEN bucket % 41 = 0 THEN 'gone' ELSE pool_state END AS pool_state, CASE WHEN bucket % 17 = 0 THEN t_end ELSE t_start END AS t_start, t_end,
+               CASE WHEN bucket % 14 <> 0 THEN evicted_at END AS evicted_at, CASE WHEN bucket % 21 <> 0 THEN evicted_reason END AS evicted_reason FROM windows"""),
+    "odd_models": (("models",), """
+        SELECT model_id, CASE WHEN model_id = 21 THEN 3 ELSE stage END AS stage, CASE WHEN model_id = 22 THEN 'oracle' ELSE kind END AS kind, CASE WHEN model_id = 24 THEN 'net' ELSE visao END AS visao,
+               CASE WHEN model_id IN (2, 4) THEN 'promoted' WHEN model_id = 20 THEN 'lost' ELSE status END AS status, CASE WHEN model_id = 12 THEN 1 END AS explains_model_id,
+               CASE WHEN model_id % 2 = 1 THEN trained_at END AS promoted_at, CASE WHEN model_id % 9 <> 0 THEN trained_at END AS retired_at,
+               CASE WHEN model_id IN (25, 26) THEN 'same' ELSE 'm' || CAST(model_id AS STRING) END AS artifact_path FROM models"""),
+    "odd_provenance": (("provenance",), """
+        SELECT CASE WHEN model_id = 3 THEN 999 ELSE model_id END AS model_id, window_id, weight - CASE WHEN model_id = 2 THEN 1e0 ELSE 0e0 END AS weight FROM provenance
+        UNION ALL SELECT model_id, window_id || 'x', weight FROM provenance WHERE model_id = 1 UNION ALL SELECT model_id, window_id, weight FROM provenance WHERE model_id = 4"""),
+    "odd_evaluations": (("evaluations",), """
+        SELECT model_id, CASE WHEN model_id = 6 THEN 'all' WHEN model_id = 7 THEN 'capture' ELSE scope END AS scope, CASE WHEN model_id % 5 = 0 AND scope = 'scenario' THEN NULL ELSE scenario END AS scenario,
+               CASE WHEN model_id % 4 = 0 THEN 'c1' END AS capture, evaluated_at - 2 AS n FROM evaluations"""),
+    "odd_alerts": (("alerts",), """
+        SELECT CASE WHEN alert_id % 89 = 0 THEN 7 ELSE alert_id END AS alert_id, CASE WHEN alert_id % 89 = 0 THEN 0e0 ELSE ts END AS ts, CASE WHEN alert_id % 53 = 0 THEN 'net' ELSE visao END AS visao,
+               dst_port - CASE WHEN alert_id % 59 = 0 THEN 70000 ELSE 0 END AS src_port, dst_port + CASE WHEN alert_id % 61 = 0 THEN 70000 ELSE 0 END AS dst_port, percentile * 1.01e0 AS percentile,
+               CASE WHEN alert_id % 5 < 4 THEN alert_id % 3 END AS label_cic FROM alerts"""),
+    "odd_verdicts": (("verdicts",), """
+        SELECT CASE WHEN alert_id % 43 = 0 THEN -7 ELSE verdict_id END AS verdict_id, alert_id, veredito, alert_id % 7 AS confianca,
+               CASE WHEN verdict_id % 47 = 0 THEN verdict_id ELSE coalesce(supersedes, -(alert_id % 50)) END AS supersedes FROM verdicts"""),
+    "odd_assignments": (("assignments",), """
+        SELECT CASE WHEN alert_id % 67 = 0 THEN 1 ELSE assignment_id END AS assignment_id, CASE WHEN alert_id % 71 = 0 THEN 3 ELSE alert_id END AS alert_id, model_id,
+               CASE WHEN alert_id % 73 = 0 THEN 'talvez' ELSE predicted END AS predicted, CASE WHEN state = 'reviewed' AND alert_id % 2 = 0 THEN 'done' ELSE state END AS state,
+               CASE WHEN alert_id % 4 = 2 THEN created_at END AS closed_at FROM assignments"""),
+    "odd_requests": (("requests",), """
+        SELECT CASE WHEN request_id % 79 = 0 THEN 5 ELSE request_id END AS request_id, CAST(request_id % 4 AS INT) AS stage, CASE request_id % 5 WHEN 0 THEN 'flow' WHEN 1 THEN 'host' WHEN 2 THEN 'net' END AS visao,
+               CASE request_id % 6 WHEN 0 THEN 'analista' WHEN 1 THEN 'agendado' WHEN 2 THEN 'despejo' ELSE 'outro' END AS origem,
+               CASE WHEN request_id % 7 = 0 THEN 'failed' WHEN request_id % 1000 = 1 THEN 'lost' ELSE state END AS state, CASE WHEN request_id % 14 = 0 THEN 'erro' END AS erro,
+               CASE WHEN request_id % 2 = 0 THEN requested_at END AS finished_at FROM requests"""),
+    "odd_captures": (("captures",), """
+        SELECT CASE WHEN capture IN ('c1', 'c2') THEN 'c1' ELSE capture END AS capture, CASE WHEN capture = 'c3' THEN 'nowhere' ELSE scenario END AS scenario, CASE WHEN capture = 'c4' THEN 2 ELSE 1 END AS label,
+               CASE WHEN capture = 'c5' THEN 'net' ELSE 'flow' END AS visao, n_rows - CASE WHEN capture = 'c6' THEN 1000000 ELSE 0 END AS n_rows, CASE WHEN capture IN ('c6', 'c7') THEN 'same' ELSE capture END AS parquet_path FROM captures"""),
 }
 _TABLES = ("events", "labels", "lineitem", "part", "documents", "embeddings")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import json_number
 from tidemark.operators import lifecycle as L
+from tidemark.operators import rules
 from tidemark.plans.inputs import NOW, Registry, duck, rounded, view
 
 R = Registry()
@@ -311,3 +312,59 @@ def retained_alerts(spark, sf_dir):
 def features_from_json(spark, sf_dir):
     a = L.with_feature_json(view(spark, sf_dir, "alerts"), ["score", "proto"])
     return rounded(a.select("alert_id", json_number("features", "score").alias("score"), json_number("features", "not_there").alias("missing")))
+
+
+_NOT_IN = lambda column, *words: f"count(*) FILTER (WHERE NOT list_contains([{', '.join(repr(w) for w in words)}], {column}))"
+_TWICE = lambda table, cols, where="true": f"(SELECT count(*) FROM (SELECT {cols} FROM {table} WHERE {where} GROUP BY ALL HAVING count(*) > 1) d WHERE (d IS NOT NULL))"
+_LOST = lambda table, column, other, target: f"(SELECT count(*) FROM {table} x WHERE x.{column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {other} y WHERE y.{target} = x.{column}))"
+#: Rule, table and count, each in the oracle's own words.
+_COUNTS = [
+    ("window_view", "odd_windows", "count(*) FILTER (WHERE visao = 'net')"), ("window_rows", "odd_windows", "count(*) FILTER (WHERE n_rows < 0)"), ("window_extractor", "odd_windows", "count(*) FILTER (WHERE extractor = 'perl')"),
+    ("window_state", "odd_windows", "count(*) FILTER (WHERE pool_state = 'gone')"), ("window_order", "odd_windows", "count(*) FILTER (WHERE t_start >= t_end)"),
+    ("eviction_time", "odd_windows", "count(*) FILTER (WHERE pool_state = 'evicted' AND evicted_at IS NULL OR pool_state <> 'evicted' AND evicted_at IS NOT NULL)"),
+    ("eviction_reason", "odd_windows", "count(*) FILTER (WHERE pool_state = 'evicted' AND evicted_reason IS NULL)"), ("window_key", None, _TWICE("odd_windows", "window_id")), ("window_path", None, _TWICE("odd_windows", "path")),
+    ("model_stage", "odd_models", "count(*) FILTER (WHERE stage NOT BETWEEN 1 AND 2)"), ("model_kind", "odd_models", "count(*) FILTER (WHERE kind = 'oracle')"), ("model_view", "odd_models", "count(*) FILTER (WHERE visao = 'net')"),
+    ("model_status", "odd_models", "count(*) FILTER (WHERE status = 'lost')"), ("surrogate_explains", "odd_models", "count(*) FILTER (WHERE CASE WHEN kind = 'decision_tree_surrogate' THEN explains_model_id IS NULL ELSE explains_model_id IS NOT NULL END)"),
+    ("promotion_time", "odd_models", "count(*) FILTER (WHERE status = 'promoted' AND promoted_at IS NULL)"), ("retirement_time", "odd_models", "count(*) FILTER (WHERE status = 'retired' AND retired_at IS NULL)"),
+    ("model_key", None, _TWICE("odd_models", "model_id")), ("model_path", None, _TWICE("odd_models", "artifact_path")),
+    ("one_promoted", None, _TWICE("odd_models", "stage, coalesce(visao, '') AS v", "status = 'promoted' AND kind <> 'decision_tree_surrogate'")),
+    ("provenance_weight", "odd_provenance", "count(*) FILTER (WHERE weight <= 0)"), ("provenance_key", None, _TWICE("odd_provenance", "model_id, window_id")),
+    ("provenance_model", None, _LOST("odd_provenance", "model_id", "odd_models", "model_id")), ("provenance_window", None, _LOST("odd_provenance", "window_id", "odd_windows", "window_id")),
+    ("floor_stage", "floors", "count(*) FILTER (WHERE stage NOT BETWEEN 1 AND 2)"), ("floor_range", "floors", "count(*) FILTER (WHERE recall_minimo < 0 OR recall_minimo > 1)"), ("floor_key", None, _TWICE("floors", "stage, scenario")),
+    ("floor_scenario", None, _LOST("floors", "scenario", "scenarios", "scenario")),
+    ("capture_label", "odd_captures", "count(*) FILTER (WHERE label NOT BETWEEN 0 AND 1)"), ("capture_view", "odd_captures", "count(*) FILTER (WHERE visao = 'net')"), ("capture_rows", "odd_captures", "count(*) FILTER (WHERE n_rows < 0)"),
+    ("capture_key", None, _TWICE("odd_captures", "capture")), ("capture_path", None, _TWICE("odd_captures", "parquet_path")), ("capture_scenario", None, _LOST("odd_captures", "scenario", "scenarios", "scenario")),
+    ("evaluation_scope", "odd_evaluations", "count(*) FILTER (WHERE scope = 'all')"), ("evaluation_size", "odd_evaluations", "count(*) FILTER (WHERE n < 0)"), ("scenario_named", "odd_evaluations", "count(*) FILTER (WHERE scope = 'scenario' AND scenario IS NULL)"),
+    ("capture_named", "odd_evaluations", "count(*) FILTER (WHERE scope = 'capture' AND capture IS NULL)"), ("aggregate_unnamed", "odd_evaluations", "count(*) FILTER (WHERE scope = 'aggregate' AND coalesce(scenario, capture) IS NOT NULL)"),
+    ("one_evaluation", None, _TWICE("odd_evaluations", "model_id, scope, coalesce(scenario, '') AS s, coalesce(capture, '') AS c")), ("evaluation_model", None, _LOST("odd_evaluations", "model_id", "odd_models", "model_id")),
+    ("alert_view", "odd_alerts", "count(*) FILTER (WHERE visao = 'net')"), ("source_port", "odd_alerts", "count(*) FILTER (WHERE src_port < 0 OR src_port > 65535)"), ("target_port", "odd_alerts", "count(*) FILTER (WHERE dst_port < 0 OR dst_port > 65535)"),
+    ("percentile_range", "odd_alerts", "count(*) FILTER (WHERE percentile > 1 OR percentile < 0)"), ("replay_label", "odd_alerts", "count(*) FILTER (WHERE label_cic > 1)"), ("alert_key", None, _TWICE("odd_alerts", "ts, alert_id")),
+    ("verdict_word", "odd_verdicts", _NOT_IN("veredito", "ataque", "benigno", "indeterminado")), ("confidence_range", "odd_verdicts", "count(*) FILTER (WHERE confianca < 1 OR confianca > 5)"),
+    ("no_self_chain", "odd_verdicts", "count(*) FILTER (WHERE verdict_id = supersedes)"), ("verdict_key", None, _TWICE("odd_verdicts", "verdict_id")), ("linear_chain", None, _TWICE("odd_verdicts", "supersedes")),
+    ("chain_target", None, _LOST("odd_verdicts", "supersedes", "odd_verdicts", "verdict_id")),
+    ("predicted_word", "odd_assignments", "count(*) FILTER (WHERE predicted = 'talvez')"), ("assignment_state", "odd_assignments", _NOT_IN("state", "pending", "in_review", "done", "skipped")),
+    ("closing_time", "odd_assignments", "count(*) FILTER (WHERE CASE WHEN state IN ('done', 'skipped') THEN closed_at IS NULL ELSE closed_at IS NOT NULL END)"),
+    ("assignment_key", None, _TWICE("odd_assignments", "assignment_id")), ("one_assignment", None, _TWICE("odd_assignments", "alert_id, model_id")),
+    ("request_stage", "odd_requests", "count(*) FILTER (WHERE stage NOT BETWEEN 1 AND 2)"), ("request_view", "odd_requests", "count(*) FILTER (WHERE visao = 'net')"), ("request_origin", "odd_requests", "count(*) FILTER (WHERE origem = 'outro')"),
+    ("request_state", "odd_requests", "count(*) FILTER (WHERE state = 'lost')"), ("failure_reason", "odd_requests", "count(*) FILTER (WHERE state = 'failed' AND erro IS NULL)"),
+    ("finish_time", "odd_requests", "count(*) FILTER (WHERE CASE WHEN state IN ('done', 'failed', 'cancelled') THEN finished_at IS NULL ELSE finished_at IS NOT NULL END)"),
+    ("request_key", None, _TWICE("odd_requests", "request_id")), ("one_pending", None, _TWICE("odd_requests", "stage, coalesce(visao, '') AS v", "state IN ('pending', 'running')")),
+]
+_ODD = ("windows", "models", "provenance", "evaluations", "alerts", "verdicts", "assignments", "requests", "captures")
+
+
+@R.add(duck(*[f"odd_{t}" for t in _ODD], "floors", "scenarios", then=" UNION ALL ".join(f"SELECT '{n}' AS rule, CAST({c} AS BIGINT) AS n" + (f" FROM {t}" if t else "") for n, t, c in _COUNTS)))
+def control_invariants(spark, sf_dir):
+    """Every invariant of the control tables, over tables that break them."""
+    tables = {t: view(spark, sf_dir, f"odd_{t}") for t in _ODD} | {t: view(spark, sf_dir, t) for t in ("floors", "scenarios")}
+    return rules.violations(tables)
+
+
+@R.add(duck("odd_windows", then="""SELECT path, list_sort(list_filter([CASE WHEN visao = 'net' THEN 'window_view' END, CASE WHEN n_rows < 0 THEN 'window_rows' END, CASE WHEN extractor = 'perl' THEN 'window_extractor' END,
+  CASE WHEN pool_state = 'gone' THEN 'window_state' END, CASE WHEN t_start >= t_end THEN 'window_order' END, CASE WHEN (pool_state = 'evicted') <> (evicted_at IS NOT NULL) THEN 'eviction_time' END,
+  CASE WHEN pool_state = 'evicted' AND evicted_reason IS NULL THEN 'eviction_reason' END], lambda x: x IS NOT NULL))::VARCHAR AS broken FROM odd_windows WHERE len(list_filter([visao = 'net', n_rows < 0, extractor = 'perl', pool_state = 'gone',
+  t_start >= t_end, (pool_state = 'evicted') <> (evicted_at IS NOT NULL), pool_state = 'evicted' AND evicted_reason IS NULL], lambda x: x)) > 0"""))
+def broken_windows(spark, sf_dir):
+    """The windows that break row rules, with their names."""
+    found = rules.broken_rows(view(spark, sf_dir, "odd_windows"), "windows")
+    return found.select("path", F.concat(F.lit("["), F.array_join(F.sort_array("broken"), ", "), F.lit("]")).alias("broken"))
