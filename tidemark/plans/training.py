@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark import sinks
 from tidemark.functions import scalars
 from tidemark.operators import commands as C
-from tidemark.operators import explore, labels, models
+from tidemark.operators import cycle, explore, labels, models
 from tidemark.operators import lifecycle as L
 from tidemark.plans.inputs import NOW, Registry, duck, rounded, view
 from tidemark.plans.lifecycle import CUR, POOL
 from tidemark.plans.scoring import D_COLS
 from tidemark.plans.traffic import SCHEDULE, SCHEDULE_SQL
+from tidemark.staging import fresh_path
 
 R = Registry()
 
@@ -145,3 +147,100 @@ def _split(spark, sf_dir):
 def feature_sweep(spark, sf_dir):
     f = _split(spark, sf_dir)
     return models.feature_sweep(f.filter("not is_test"), f.filter("is_test"), D_COLS, "label", [1, 3, 5, 9])
+
+
+CYCLE_COLS = ["length", "syn", "second"]
+
+
+def _live_store(spark, stage, kind):
+    """A store with one model in production."""
+    store = cycle.Store(spark, fresh_path(spark, "store"))
+    store.commit({"models": spark.createDataFrame([(1, stage, kind, "flow", "promoted", 1.0, 2.0, None, "gone")], cycle.SCHEMAS["models"])})
+    return store
+
+
+def _packets_with_features(spark, sf_dir):
+    p = view(spark, sf_dir, "packets")
+    return p.select(
+        F.concat_ws("-", F.floor(F.col("ts") / 780).cast("string"), "sensor").alias("window_id"), "event_id", "ts", "src", "dst", "sensor", F.col("length").cast("double").alias("length"),
+        scalars.flag_count(F.col("flags"), "S").cast("double").alias("syn"), F.pmod("ts", F.lit(3600)).alias("second"),
+    )
+
+
+def _golden(spark, sf_dir):
+    return C.golden_captures(_packets_with_features(spark, sf_dir), labels.compile_schedule(spark, SCHEDULE), "day", "ts")
+
+
+_GOLDEN = SCHEDULE_SQL + """, golden AS (SELECT p.event_id, coalesce((SELECT min_by(s.name, s.pos) FROM sched s WHERE p.ts BETWEEN s.start AND s.stop
+    AND ((list_contains(s.att, p.src) AND (len(s.vic) = 0 OR list_contains(s.vic, p.dst))) OR (list_contains(s.att, p.dst) AND (len(s.vic) = 0 OR list_contains(s.vic, p.src))))), 'limpo') AS scenario FROM packets p)"""
+
+
+@R.add(duck("windows", "packets", then=POOL + ", chosen AS (SELECT window_id, peso_recencia / (SELECT max(peso_recencia) FROM pool WHERE visao = 'flow') AS weight, t_end, feature_set FROM pool WHERE visao = 'flow')" + _GOLDEN + """,
+  used AS (SELECT count(*) AS n FROM chosen WHERE weight >= 0.3 AND feature_set = (SELECT feature_set FROM chosen WHERE weight >= 0.3 ORDER BY t_end DESC, window_id DESC LIMIT 1))
+  SELECT 1::BIGINT AS candidate_model_id, NULL::BIGINT AS incumbent_model_id, 'candidate' AS status, scenario, scenario = 'limpo' AS obrigatorio, CASE WHEN scenario <> 'limpo' THEN 0.0::DOUBLE END AS recall_minimo,
+    count(*) AS n, count(*) FILTER (WHERE scenario <> 'limpo') AS n_ataque_real, (SELECT n FROM used) AS n_windows, (SELECT count(DISTINCT scenario) FROM golden) AS cenarios_avaliados FROM golden GROUP BY scenario"""))
+def candidate_to_gate(spark, sf_dir):
+    """A candidate from the pool up to its gate rows, out of a store: what the tables say about it."""
+    store = cycle.Store(spark, fresh_path(spark, "store"))
+    golden = _golden(spark, sf_dir)
+    floors = golden.select("scenario").distinct().select(F.lit(1).alias("stage"), "scenario", F.when(F.col("scenario") != "limpo", 0.0).alias("recall_minimo"), (F.col("scenario") == "limpo").alias("obrigatorio"))
+    model_id, check, verdict = cycle.make_candidate(store, _packets_with_features(spark, sf_dir), view(spark, sf_dir, "windows"), golden, floors, CYCLE_COLS, "event_id", "flow", NOW, 0.3, 20_000, trees=25)
+    evaluated = store.read("evaluations").filter("scope = 'scenario'").select(F.col("model_id").alias("candidate_model_id"), "scenario", "n", "n_ataque_real")
+    status = store.read("models").select(F.col("model_id").alias("candidate_model_id"), "status")
+    used = store.read("provenance").groupBy(F.col("model_id").alias("candidate_model_id")).agg(F.count("*").alias("n_windows"))
+    rows = check.join(evaluated, ["candidate_model_id", "scenario"]).join(status, "candidate_model_id").join(used, "candidate_model_id").join(verdict.select("candidate_model_id", "cenarios_avaliados"), "candidate_model_id")
+    return rows.select("candidate_model_id", "incumbent_model_id", "status", "scenario", "obrigatorio", "recall_minimo", "n", "n_ataque_real", "n_windows", "cenarios_avaliados")
+
+
+@R.add(duck("packets", then=_GOLDEN + """, w AS (SELECT count(*) AS n FROM (SELECT DISTINCT floor(ts / 86400), sensor FROM packets))
+  SELECT * FROM (SELECT 'grid points' AS what, 1001::BIGINT AS n UNION ALL SELECT 'models promoted', 1 UNION ALL SELECT 'models retired', 1 UNION ALL SELECT 'decisions adotado', 1 UNION ALL SELECT 'windows', n FROM w
+  UNION ALL SELECT 'window rows', (SELECT count(*) FROM packets) UNION ALL SELECT 'provenance', n FROM w UNION ALL SELECT 'evaluations', (1 + 2 * (SELECT count(DISTINCT scenario) FROM golden))
+  UNION ALL SELECT 'golden rows', (SELECT count(*) FROM golden) UNION ALL SELECT 'golden attacks', (SELECT count(*) FROM golden WHERE scenario <> 'limpo')) t"""))
+def adopted_model(spark, sf_dir):
+    """A detector adopted in place of a live one: grid, seeded pool, evaluations, decision and retirement, as counts."""
+    store = _live_store(spark, 1, "isolation_forest")
+    rows = _packets_with_features(spark, sf_dir).withColumn("t0", F.col("ts"))
+    golden = _golden(spark, sf_dir)
+    bundle = models.detect(rows, CYCLE_COLS, "event_id", 0.03, 10)[1]
+    model_id = cycle.adopt_bundle(store, bundle, rows, golden, CYCLE_COLS, "event_id", "flow", "ana", NOW, seconds=86400)
+    place = store.read("models").filter(F.col("model_id") == model_id).first()["artifact_path"]
+    grid = len(sinks.read_bundle(spark, place)["grid"])
+    count = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    total = lambda c, what: store.read("evaluations").filter((F.col("scope") == "aggregate") & (F.col("model_id") == model_id)).select(F.lit(what).alias("what"), F.col(c).alias("n"))
+    out = spark.createDataFrame([("grid points", grid)], "what string, n long")
+    for part in (
+        count(store.read("models").filter("status = 'promoted'"), "models promoted"), count(store.read("models").filter("status = 'retired' and retired_at is not null"), "models retired"),
+        count(store.read("promotions").filter("decisao = 'adotado'"), "decisions adotado"), count(store.read("windows"), "windows"), store.read("windows").agg(F.sum("n_rows").alias("n")).select(F.lit("window rows"), "n"),
+        count(store.read("provenance").filter("weight = 1"), "provenance"), count(store.read("evaluations"), "evaluations"), total("n", "golden rows"), total("n_ataque_real", "golden attacks"),
+    ):
+        out = out.union(part)
+    return out
+
+
+@R.add(duck("packets", "alerts", "verdicts", then=CUR + _GOLDEN + """,
+  labelled AS (SELECT event_id AS id, CAST(scenario <> 'limpo' AS INT) AS label, scenario FROM golden WHERE event_id % 4 = 0
+    UNION ALL SELECT a.alert_id, CAST(c.veredito = 'ataque' AS INT), 'verdict' FROM alerts a JOIN cur c ON c.alert_id = a.alert_id WHERE c.veredito IN ('ataque', 'benigno')),
+  placed AS (SELECT label, scenario, row_number() OVER (PARTITION BY label ORDER BY id % 2147483648 * 2654435761 % 4294967296, id) AS place, count(*) OVER (PARTITION BY label) AS n FROM labelled),
+  held AS (SELECT label, scenario FROM placed WHERE place <= (n * 30 + 50) // 100)
+  SELECT 'evaluation' AS what, 'aggregate' AS name, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_ataque_real FROM held
+  UNION ALL SELECT 'evaluation', scenario, count(*), CAST(sum(label) AS BIGINT) FROM held WHERE scenario <> 'verdict' GROUP BY scenario
+  UNION ALL SELECT 'models', 'promoted', 1, NULL UNION ALL SELECT 'models', 'retired', 1, NULL UNION ALL SELECT 'assignments', 'pending', count(*), NULL FROM alerts
+  UNION ALL SELECT 'queue', 'first', least(50, count(*)), NULL FROM alerts"""))
+def stage2_cycle(spark, sf_dir):
+    """Stage 2 from labels to the review queue: trained, evaluated, promoted in place of a live model, predicting."""
+    store = _live_store(spark, 2, "linear_svm")
+    p = _packets_with_features(spark, sf_dir)
+    golden = _golden(spark, sf_dir).filter("event_id % 4 = 0").withColumn("id", F.col("event_id"))
+    held = p.select(F.col("event_id").alias("alert_id"), *CYCLE_COLS)
+    alerts = L.with_feature_json(view(spark, sf_dir, "alerts").join(held, "alert_id"), CYCLE_COLS)
+    labelled = cycle.stage2_labels(golden, alerts, view(spark, sf_dir, "verdicts"), CYCLE_COLS)
+    scenarios = golden.select("scenario").distinct()
+    model_id, _, _ = cycle.train_stage2(store, labelled, CYCLE_COLS, "flow", NOW, scenarios)
+    cycle.promote_stage2(store, model_id, "ana", NOW + 1)
+    cycle.predict_pending(store, alerts, "flow", NOW + 2)
+    none = F.lit(None).cast("long")
+    e = store.read("evaluations").filter(F.col("model_id") == model_id).select(F.lit("evaluation").alias("what"), F.coalesce("scenario", "scope").alias("name"), "n", "n_ataque_real")
+    m = store.read("models").groupBy("status").agg(F.count("*").alias("n")).select(F.lit("models"), "status", "n", none)
+    a = store.read("assignments").groupBy("state").agg(F.count("*").alias("n")).select(F.lit("assignments"), "state", "n", none)
+    q = L.review_queue(store.read("assignments"), alerts, 50).agg(F.count("*").alias("n")).select(F.lit("queue"), F.lit("first"), "n", none)
+    return e.union(m).union(a).union(q)
