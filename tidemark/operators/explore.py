@@ -77,6 +77,23 @@ def cumulative_importance(df: DataFrame, weight: str, name: str, thresholds: Seq
     return run.agg(made.alias("all")).select(F.inline("all"))
 
 
+def sample_exactly(df: DataFrame, n: int, id_col: str, seed: int = 42, bins: int = 4096) -> DataFrame:
+    """``n`` rows of ``df`` (all where it has fewer): those with the smallest hashes of an integer id and ``seed``, ties to the smaller id.
+
+    Hashes are counted in bins; only rows of the bin in which the sample ends are put in order.
+    """
+    h = F.pmod((F.pmod(F.col(id_col), F.lit(1 << 31)) + seed) * F.lit(2654435761), F.lit(1 << 32))
+    rows = df.withColumns({"_h": h, "_bin": F.floor(h * bins / (1 << 32))})
+    # At most ``bins`` rows.
+    counted = rows.groupBy(F.col("_bin").alias("_b")).agg(F.count("*").alias("_n"))
+    before = counted.withColumn("_before", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n"))
+    edge = before.filter((F.col("_before") < n) & (F.col("_before") + F.col("_n") >= n)).agg(F.max("_b").alias("_edge"), F.max(n - F.col("_before")).alias("_left"))
+    placed = rows.join(F.broadcast(edge))
+    whole = placed.filter(F.col("_edge").isNull() | (F.col("_bin") < F.col("_edge")))
+    last = placed.filter(F.col("_bin") == F.col("_edge")).withColumn("_r", F.row_number().over(Window.orderBy("_h", id_col))).filter(F.col("_r") <= F.col("_left"))
+    return whole.drop("_h", "_bin", "_edge", "_left").unionByName(last.drop("_h", "_bin", "_edge", "_left", "_r")) if n > 0 else df.limit(0)
+
+
 def stratified_split(df: DataFrame, label: str, id_col: str, test_percent: int = 30, bins: int = 1024) -> DataFrame:
     """``df`` with ``is_test`` for the rows of each class with the smallest id hashes, ``test_percent`` of them to the row.
 

@@ -325,3 +325,18 @@ def matching_sets(rows: DataFrame, models: DataFrame) -> DataFrame:
 
 def with_feature_json(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
     return df.withColumn(out, F.to_json(F.struct(*cols)))
+
+
+def matching(df: DataFrame, equal: dict | None = None, since: tuple[str, float] | None = None, until: tuple[str, float] | None = None, among: dict | None = None) -> DataFrame:
+    """Rows under optional filters: columns ``equal`` to values or ``among`` lists, a column from ``since`` on and before ``until``; None asks nothing."""
+    for column, value in (equal or {}).items():
+        if value is not None:
+            df = df.filter(F.col(column) == F.lit(value))
+    for column, values in (among or {}).items():
+        if values is not None:
+            df = df.filter(F.col(column).isin(list(values)))
+    if since and since[1] is not None:
+        df = df.filter(F.col(since[0]) >= F.lit(since[1]))
+    if until and until[1] is not None:
+        df = df.filter(F.col(until[0]) < F.lit(until[1]))
+    return df

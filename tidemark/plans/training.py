@@ -13,7 +13,8 @@ from tidemark.plans.inputs import NOW, Registry, duck, rounded, view
 from tidemark.plans.lifecycle import CUR, POOL
 from tidemark.plans.scoring import D_COLS
 from tidemark.plans.traffic import SCHEDULE, SCHEDULE_SQL
-from tidemark.staging import fresh_path
+from tidemark.sources.packets import read_headed_csv
+from tidemark.staging import forget, fresh_path
 
 R = Registry()
 
@@ -244,3 +245,38 @@ def stage2_cycle(spark, sf_dir):
     a = store.read("assignments").groupBy("state").agg(F.count("*").alias("n")).select(F.lit("assignments"), "state", "n", none)
     q = L.review_queue(store.read("assignments"), alerts, 50).agg(F.count("*").alias("n")).select(F.lit("queue"), F.lit("first"), "n", none)
     return e.union(m).union(a).union(q)
+
+
+@R.add("""SELECT event_id, user_id, value FROM (SELECT event_id, user_id, value, row_number() OVER (ORDER BY (event_id % 2147483648 + 42) * 2654435761 % 4294967296, event_id) AS place FROM events) t WHERE place <= 777""")
+def sample_of_events(spark, sf_dir):
+    """Exactly 777 rows by a seed."""
+    return explore.sample_exactly(view(spark, sf_dir, "events"), 777, "event_id", 42).select("event_id", "user_id", "value")
+
+
+@R.add(duck("packets", then="""SELECT sensor, count(*) AS n_rows, round(sum(length) + 1e-7, 4) AS length, (SELECT count(*) FROM (SELECT DISTINCT sensor, floor(ts / 86400) AS b FROM packets) w WHERE b % 7 = 0) AS vanished
+  FROM packets WHERE floor(ts / 86400) % 7 <> 0 GROUP BY sensor"""))
+def vanished_windows(spark, sf_dir):
+    """A pool of daily windows read after some of its folders have gone."""
+    root = fresh_path(spark, "pool")
+    p = view(spark, sf_dir, "packets").select("sensor", F.lit("flow").alias("visao"), F.floor(F.col("ts") / 86400).alias("bucket"), "length")
+    sinks.write_pool(p.withColumn("window_id", F.concat_ws("-", "bucket", "sensor")), root, 86400)
+    index = spark.read.parquet(f"{root}/index")
+    for r in index.filter("bucket % 7 = 0").select("path").collect():
+        forget(spark, r["path"])
+    rows, gone = sinks.read_windows(spark, index, f"{root}/windows")
+    return rounded(rows.groupBy("sensor").agg(F.count("*").alias("n_rows"), F.sum("length").alias("length")).withColumn("vanished", F.lit(gone).cast("long")))
+
+
+@R.add(duck("windows", then="SELECT window_id, n_rows FROM windows WHERE sensor = 's1' AND pool_state IN ('active', 'evicted') AND t_start >= 1705000000 AND t_end < 1706000000"))
+def windows_filtered(spark, sf_dir):
+    asked = L.matching(view(spark, sf_dir, "windows"), equal={"sensor": "s1", "visao": None}, since=("t_start", 1705000000), until=("t_end", 1706000000), among={"pool_state": ["active", "evicted"], "feature_set": None})
+    return asked.select("window_id", "n_rows")
+
+
+@R.add("""SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem WHERE l_linenumber <= 3""")
+def csv_with_header(spark, sf_dir):
+    """Line items through CSV with white space around names and a column that is not asked for."""
+    path = fresh_path(spark, "csv")
+    rows = view(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_comment" if "l_comment" in view(spark, sf_dir, "lineitem").columns else "l_tax")
+    rows.toDF(" l_orderkey", " l_linenumber", "l_quantity ", " l_returnflag", " unused").write.csv(path, header=True)
+    return read_headed_csv(spark, path, "l_orderkey long, l_linenumber int, l_quantity double, l_returnflag string")

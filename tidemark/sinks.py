@@ -96,3 +96,24 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """``path, bytes, sha256`` of the files (of up to 2 GB) under a path."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def present(index: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of an ``index`` whose folder ``path`` still holds files below ``root``, and the rows of the others."""
+    spark = index.sparkSession
+    clean = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root).select("path")
+    folders = files.select(F.regexp_extract(clean(F.col("path")), "^(.*)/[^/]*$", 1).alias("_folder")).distinct()
+    same = clean(F.col("path")) == F.col("_folder")
+    return index.join(folders, same, "left_semi"), index.join(folders, same, "left_anti")
+
+
+def read_windows(spark: SparkSession, index: DataFrame, root: str) -> tuple[DataFrame | None, int]:
+    """Rows of the windows of ``index`` that are still there, and how many windows have vanished; None where none is left.
+
+    A file that goes between the listing and the read is skipped too.
+    """
+    held, gone = present(index, root)
+    paths = [r["path"] for r in held.select("path").toLocalIterator()]
+    rows = spark.read.option("basePath", root).option("ignoreMissingFiles", "true").parquet(*paths) if paths else None
+    return rows, gone.count()

@@ -70,3 +70,14 @@ def demo_packets(spark: SparkSession, clients: int = 5, scan_ports: int = 399, e
 def read_headerless_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV file without header under a stated schema, as the labelled connection records have."""
     return spark.read.csv(path, schema=schema, header=False)
+
+
+def read_headed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Columns of a CSV file by their names in its first line, white space around names left out, as flow exports have them.
+
+    ``schema`` names the columns that are wanted; a value that is no number of its type is null.
+    """
+    raw = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    named = {c.strip(): c for c in raw.columns}
+    wanted = spark.createDataFrame([], schema).schema
+    return raw.select(*[F.expr(f"try_cast(`{named[f.name]}` AS {f.dataType.simpleString()})").alias(f.name) for f in wanted])
