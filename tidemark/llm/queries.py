@@ -54,7 +54,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels"), max_rows=6000)
+    model = toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels"), max_rows=3000)
     return toxicity.score_toxicity(docs, model)
 
 

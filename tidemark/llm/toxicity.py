@@ -1,8 +1,8 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse word features.
 
 P(grade <= k) = sigmoid(theta_k - w x): one weight vector for all grades, thresholds in order. The
-features are counts and shares of words and word beginnings, chosen by Spark aggregates over a
-bounded labelled sample; the output is the probability of each grade and the expected severity, sum over k of P(grade > k).
+features are counts and shares of all words and word beginnings of a bounded labelled sample, as
+sparse rows; the output is the probability of each grade and the expected severity, sum over k of P(grade > k).
 
 Labels say toxic or not. Toxic documents are graded by how much of them is made of words that tell
 toxic from other documents: 1 below the median share of the toxic sample, 2 from it on.
@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.workspace import hash_share
+
 #: Lengths in bytes of the word beginnings that count as features.
 STEMS = (4, 5, 6, 7)
 _KEEP = {*b"abcdefghijklmnopqrstuvwxyz0123456789", *range(128, 256)}
@@ -45,9 +47,28 @@ def terms(text: str | None) -> dict[bytes, int]:
     return out
 
 
+class Sparse:
+    """Rows of (index, value) pairs, with products by vectors from either side."""
+
+    __array_ufunc__ = None
+    dtype = np.dtype(np.float64)
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
+        self.shape = (len(rows), width)
+        self._row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i, _ in rows])
+        self._at = np.concatenate([np.zeros(0, np.int32), *(i.astype(np.int32) for i, _ in rows)])
+        self._value = np.concatenate([np.zeros(0, np.float32), *(v.astype(np.float32) for _, v in rows)])
+
+    def __matmul__(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self._row, self._value * weights[self._at], self.shape[0])
+
+    def __rmatmul__(self, pull: np.ndarray) -> np.ndarray:
+        return np.bincount(self._at, self._value * pull[self._row], self.shape[1])
+
+
 @dataclass
 class OrdinalModel:
-    """Column of each term, weights (counts, then shares) and thresholds."""
+    """Column of each term, weights (counts, then shares) and thresholds; terms without a column weigh nothing."""
 
     columns: dict[bytes, int]
     weights: np.ndarray
@@ -57,25 +78,27 @@ class OrdinalModel:
         self._stems = {t[:-1]: i for t, i in self.columns.items() if t[-1:] == b"*"}
         self._words = {t: i for t, i in self.columns.items() if t[-1:] != b"*"}
 
-    def features(self, text: str | None) -> np.ndarray:
-        """log(1 + count) of each term, then log(1 + count per hundred words)."""
+    def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Index and value of each term of a text: log(1 + count), then log(1 + count per hundred words)."""
         found = words(text)
-        row = np.zeros(len(self.columns), np.float32)
+        counts: dict[int, int] = {}
         exact, stems = self._words, self._stems
         for word, n in Counter(found).items():
             if (i := exact.get(word)) is not None:
-                row[i] += n
+                counts[i] = counts.get(i, 0) + n
             for size in STEMS:
                 if len(word) > size and (i := stems.get(word[:size])) is not None:
-                    row[i] += n
-        return np.concatenate([np.log1p(row), np.log1p(row * (100 / max(1, len(found))))])
+                    counts[i] = counts.get(i, 0) + n
+        at, n = np.fromiter(counts, np.int32, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
+        return np.concatenate([at, at + len(self.columns)]), np.concatenate([np.log1p(n), np.log1p(n * (100 / max(1, len(found))))])
 
     def above(self, text: str | None) -> np.ndarray:
         """P(grade > k) for each threshold k."""
-        return 1 / (1 + np.exp(np.clip(self.thresholds - self.features(text) @ self.weights, -40, 40)))
+        at, values = self.features(text)
+        return 1 / (1 + np.exp(np.clip(self.thresholds - values @ self.weights[at], -40, 40)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, n_grades: int, l2: float = 1e-4, steps: int = 500, rate: float = 0.1):
+def fit_ordinal(x: np.ndarray | Sparse, grade: np.ndarray, n_grades: int, l2: float = 1e-4, steps: int = 500, rate: float = 0.1):
     """Shared weights and ordered thresholds by full-batch Adam; gaps between thresholds are exponentials."""
     n, d = x.shape
     k = n_grades - 1
@@ -115,47 +138,44 @@ def _found(sample: DataFrame) -> DataFrame:
     return sample.select("toxic", "text").mapInArrow(run, "toxic int, terms array<binary>")
 
 
-def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 6000, max_features: int = 256, **options
-) -> OrdinalModel:
-    """Fit on at most ``max_rows`` labelled documents, those with the smallest id hashes.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 3000, **options) -> OrdinalModel:
+    """Fit on at most ``max_rows`` labelled documents, those with the smallest id hashes, with every term of theirs.
 
-    ``max_features`` terms are chosen by the z-value of their log odds; the driver receives the
-    features of these terms only.
+    Grades come from terms whose log odds are 4 deviations or more above even; terms of any rarity have weights. The
+    driver receives (index, value) pairs only, never texts.
     """
-    known = (
-        labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id")
-        .agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    )
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id")
+    options = {"l2": 3e-4, "steps": 150} | options
+    labelled = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    # About twice as many rows as wanted pass the bound on the hash, however many partitions there are.
+    near = labelled.filter(hash_share(F.xxhash64("doc_id")) * max(1, labelled.count()) <= 2 * max_rows + 64)
+    known = near.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id").select("toxic", "text")
     sizes = {r["toxic"]: r["n"] for r in picked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return OrdinalModel({}, np.zeros(0), np.array([-30.0, 30.0]) if sizes.get(1) else np.array([30.0, 31.0]))
-    a = (F.col("pos") + 0.5) / (sizes[1] - F.col("pos") + 0.5)
-    b = (F.col("neg") + 0.5) / (sizes[0] - F.col("neg") + 0.5)
-    error = F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    rated = (
+    seen = (
         _found(picked).select("toxic", F.explode("terms").alias("term")).groupBy("term")
-        .agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).filter("pos + neg >= 5")
-        .select("term", (F.log(a / b) / error).alias("z")).orderBy(F.abs("z").desc(), "term").limit(max_features).collect()
+        .agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).orderBy("term").collect()
     )
-    columns = {bytes(r["term"]): i for i, r in enumerate(rated)}
-    blank = OrdinalModel(columns, np.zeros(2 * len(columns)), np.array([0.0, 1.0]))
-    telling = np.array([r["z"] > 4 for r in rated], dtype=np.float32)
+    pos, neg = np.array([r["pos"] for r in seen], float), np.array([r["neg"] for r in seen], float)
+    odds = np.log((pos + 0.5) / (sizes[1] - pos + 0.5)) - np.log((neg + 0.5) / (sizes[0] - neg + 0.5))
+    telling = odds / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5)) > 4
+    blank = OrdinalModel({bytes(r["term"]): i for i, r in enumerate(seen)}, np.zeros(2 * len(seen)), np.array([0.0, 1.0]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [blank.features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary())], names=["toxic", "x"])
+            columns = [batch.column(0), pa.array([i.astype("<i4").tobytes() for i, _ in x], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in x], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["toxic", "at", "value"])
 
-    got = picked.select("toxic", "text").mapInArrow(rows, "toxic int, x binary").collect()
-    got.sort(key=lambda r: (r["toxic"], bytes(r["x"])))
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in got])
+    got = picked.mapInArrow(rows, "toxic int, at binary, value binary").collect()
+    got.sort(key=lambda r: (r["toxic"], bytes(r["at"]), bytes(r["value"])))
+    x = Sparse([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["value"], "<f4")) for r in got], 2 * len(seen))
     toxic = np.array([r["toxic"] for r in got])
-    share = x[:, len(columns) :] @ telling
+    share = x @ np.concatenate([np.zeros(len(seen)), telling.astype(float)])
     grade = np.where(toxic == 0, 0, 1 + (share >= np.median(share[toxic == 1])))
     weights, thresholds = fit_ordinal(x, grade, 3, **options)
-    return OrdinalModel(columns, weights, thresholds)
+    return OrdinalModel(blank.columns, weights.astype(np.float32), thresholds)
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5) -> DataFrame:
