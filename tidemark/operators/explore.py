@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from tidemark.operators.stats import exact_quantiles
+from tidemark.staging import staged
 
 
 def pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -42,16 +43,28 @@ def binarise(df: DataFrame, score: str, out: str, cut: float = 0.5) -> DataFrame
     return df.withColumn(out, (F.col(score) > cut).cast("int"))
 
 
+def numbered(values: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """``values`` with ``out``: their places from 0 in ``order`` (nulls first); sorted range by range, none holds all."""
+    ranges = max(1, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts, _ = staged(values.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before, starts = 0, {}
+    for r in parts.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():
+        starts[r["_part"]], before = before, before + r["n"]
+    start = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])[F.col("_part")] if starts else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + start
+    return parts.withColumn(out, place.cast("int")).drop("_part")
+
+
 def label_encode(df: DataFrame, col: str, out: str = "code") -> DataFrame:
     """``df`` with codes by sorted category. Categories are distinct values, joined back by key."""
-    codes = df.select(F.col(col).alias("_c")).distinct().withColumn(out, F.row_number().over(Window.orderBy("_c")) - 1)
+    codes = numbered(df.select(F.col(col).alias("_c")).distinct(), ["_c"], out)
     return df.join(codes, F.col(col).eqNullSafe(F.col("_c"))).drop("_c")
 
 
 def factorize(df: DataFrame, col: str, order: str, out: str = "code") -> DataFrame:
     """``df`` with codes by first appearance in ``order``."""
     first = df.groupBy(F.col(col).alias("_c")).agg(F.min(order).alias("_o"))
-    codes = first.withColumn(out, F.row_number().over(Window.orderBy("_o", "_c")) - 1).drop("_o")
+    codes = numbered(first, ["_o", "_c"], out).drop("_o")
     return df.join(codes, F.col(col).eqNullSafe(F.col("_c"))).drop("_c")
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import finite
 from tidemark.operators.explore import nearest, stratified_folds, stratified_split
 from tidemark.operators.stats import detection_metrics, exact_quantiles, moments, standardised, weighted_quantiles
+from tidemark.staging import staged
 
 NODES = "tree int, node int, feature int, split double, left int, right int, size int, depth int"
 
@@ -338,7 +339,8 @@ def detect(df: DataFrame, cols: Sequence[str], id_col: str, contamination: float
     clean = df.withColumns({c: finite(F.col(c).cast("double")) for c in cols}).withColumn("_one", F.lit(1.0))
     scaler = moments(clean, cols, weight)
     forest = fit_forest(standardised(clean, scaler), cols, id_col, trees, sample, weight=weight)
-    scored = score_forest(standardised(clean, scaler), forest)
+    # The grid, the threshold and the flags read the scores.
+    scored, _ = staged(score_forest(standardised(clean, scaler), forest).select(id_col, "score", w), "scores")
     grid = [(r["pct"], r["score"]) for r in weighted_quantiles(scored, "score", w, id_col).orderBy("k").collect()]
     if weight:
         threshold = float(np.interp(1 - contamination, *zip(*grid))) if grid else None

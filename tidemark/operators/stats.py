@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import ratio
+from tidemark.staging import staged
 
 
 def running(values: DataFrame, key: str, sums: Sequence[str], slices: int = 64) -> DataFrame:
-    """``values`` (one row per ``key``) with, for each column c of ``sums``, ``c_before``: its sum over lesser keys."""
+    """``values`` (one row per ``key``, a written table: it is read four times) with, for each column c of ``sums``, ``c_before``: its sum over lesser keys."""
     spread = values.agg(F.percentile_approx(key, [i / slices for i in range(1, slices)], 10_000).alias("q")).first()["q"]
     cuts = F.array(*[F.lit(float(c)) for c in sorted(set(spread or []))]) if spread else F.array().cast("array<double>")
     sliced = values.withColumn("_slice", F.size(F.filter(cuts, lambda c: c < F.col(key).cast("double"))))
@@ -32,6 +33,7 @@ def running(values: DataFrame, key: str, sums: Sequence[str], slices: int = 64)
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], slices: int = 64) -> DataFrame:
     """``q, value``: linear-interpolated quantiles, exact; nulls are left out, an empty column gives nulls."""
     counted = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    counted, _ = staged(counted, "values")
     ranked = running(counted, "v", ["n"], slices)
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     aims = []
@@ -52,6 +54,7 @@ def weighted_points(df: DataFrame, value: str, weight: str, tie: str, slices: in
     grouped = df.groupBy(F.col(value).alias("v")).agg(
         F.sum(weight).alias("w"), F.min_by(weight, tie).alias("w_first"), F.max_by(weight, tie).alias("w_last")
     )
+    grouped, _ = staged(grouped, "values")
     total = grouped.agg(F.sum("w")).first()[0]
     return running(grouped, "v", ["w"], slices).select(
         "v", "_slice", ((F.col("w_before") + F.col("w_first") / 2) / F.lit(total)).alias("a0"),
@@ -93,26 +96,22 @@ def percentile_lookup(df: DataFrame, score: str, grid: Sequence[tuple[float, flo
     xs = sorted(last)
     if not xs:
         return df.withColumn(out, F.lit(None).cast("double"))
-    steps = [(a, last[a], b, first[b]) for a, b in zip(xs, xs[1:])] + [(xs[-1], last[xs[-1]], None, None)]
-    ladder = df.sparkSession.createDataFrame([(steps,)], "steps array<struct<x:double,p:double,y:double,r:double>>")
-    joined = df.join(F.broadcast(ladder))
+    # Of each step its lower score and percentile, and the score and percentile that it leads to.
+    ends = [*zip(xs[1:], [first[x] for x in xs[1:]]), (xs[-1], last[xs[-1]])]
+    x, p, y, r = (F.lit([float(v) for v in values]) for values in (xs, [last[v] for v in xs], [e[0] for e in ends], [e[1] for e in ends]))
     s = F.col(score)
-    # Binary search over the ladder: the largest step whose x is not above the score.
-    lo = F.lit(0)
+    # Binary search over the literals: the largest step whose x is not above the score.
+    found, at = df, F.lit(0)
     width = 1 << (len(xs).bit_length() - 1)
-    expr: Column = lo
     while width:
-        probe = expr + width
-        expr = F.when((probe < len(xs)) & (F.get(F.col("steps"), probe)["x"] <= s), probe).otherwise(expr)
-        joined = joined.withColumn("_at", expr)
-        expr = F.col("_at")
+        probe = at + width
+        found = found.withColumn("_at", F.when((probe < len(xs)) & (F.get(x, probe) <= s), probe).otherwise(at))
+        at = F.col("_at")
         width //= 2
-    step = F.get(F.col("steps"), F.col("_at"))
-    value = (
-        F.when(s.isNull(), None).when(s < xs[0], 0.0).when(s > xs[-1], 1.0).when(step["y"].isNull() | (s == step["x"]), step["p"])
-        .otherwise(step["p"] + (s - step["x"]) * (step["r"] - step["p"]) / (step["y"] - step["x"]))
-    )
-    return joined.withColumn(out, value).drop("steps", "_at")
+    low, gap = F.get(x, at), F.get(y, at) - F.get(x, at)
+    inside = F.get(p, at) + (s - low) * (F.get(r, at) - F.get(p, at)) / gap
+    value = F.when(s.isNull(), None).when(s < xs[0], 0.0).when(s > xs[-1], 1.0).when((gap == 0) | (s == low), F.get(p, at)).otherwise(inside)
+    return found.withColumn(out, value).drop("_at")
 
 
 def moments(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> dict[str, tuple[float, float]] | None:
@@ -168,7 +167,7 @@ def detection_metrics(df: DataFrame, label: str, predicted: str) -> DataFrame:
 
 def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
     counted = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    return running(counted, "s", ["pos", "neg"])
+    return running(staged(counted, "values")[0], "s", ["pos", "neg"])
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
