@@ -55,15 +55,29 @@ class Sparse:
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
         self.shape = (len(rows), width)
-        self._row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i, _ in rows])
-        self._at = np.concatenate([np.zeros(0, np.int32), *(i.astype(np.int32) for i, _ in rows)])
-        self._value = np.concatenate([np.zeros(0, np.float32), *(v.astype(np.float32) for _, v in rows)])
+        self._bounds = np.concatenate([[0], np.cumsum([len(i) for i, _ in rows], dtype=np.int64)])
+        self._at, self._value = np.empty(self._bounds[-1], np.int32), np.empty(self._bounds[-1], np.float32)
+        for (i, v), a, b in zip(rows, self._bounds, self._bounds[1:]):
+            self._at[a:b], self._value[a:b] = i, v
+
+    def _blocks(self, rows: int = 256):
+        """Some rows at a time: their numbers from the first on, indices and values."""
+        for first in range(0, self.shape[0], rows):
+            last = min(first + rows, self.shape[0])
+            a, b = self._bounds[first], self._bounds[last]
+            yield first, last, np.repeat(np.arange(last - first), np.diff(self._bounds[first : last + 1])), self._at[a:b], self._value[a:b]
 
     def __matmul__(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self._row, self._value * weights[self._at], self.shape[0])
+        out = np.zeros(self.shape[0])
+        for first, last, row, at, value in self._blocks():
+            out[first:last] = np.bincount(row, value * weights[at], last - first)
+        return out
 
     def __rmatmul__(self, pull: np.ndarray) -> np.ndarray:
-        return np.bincount(self._at, self._value * pull[self._row], self.shape[1])
+        out = np.zeros(self.shape[1])
+        for first, last, row, at, value in self._blocks(1024):
+            out += np.bincount(at, value * pull[first:last][row], self.shape[1])
+        return out
 
 
 @dataclass
@@ -74,20 +88,16 @@ class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def __post_init__(self):
-        self._stems = {t[:-1]: i for t, i in self.columns.items() if t[-1:] == b"*"}
-        self._words = {t: i for t, i in self.columns.items() if t[-1:] != b"*"}
-
     def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Index and value of each term of a text: log(1 + count), then log(1 + count per hundred words)."""
         found = words(text)
         counts: dict[int, int] = {}
-        exact, stems = self._words, self._stems
+        columns = self.columns
         for word, n in Counter(found).items():
-            if (i := exact.get(word)) is not None:
+            if (i := columns.get(word)) is not None:
                 counts[i] = counts.get(i, 0) + n
             for size in STEMS:
-                if len(word) > size and (i := stems.get(word[:size])) is not None:
+                if len(word) > size and (i := columns.get(word[:size] + b"*")) is not None:
                     counts[i] = counts.get(i, 0) + n
         at, n = np.fromiter(counts, np.int32, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
         return np.concatenate([at, at + len(self.columns)]), np.concatenate([np.log1p(n), np.log1p(n * (100 / max(1, len(found))))])
@@ -155,24 +165,30 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         return OrdinalModel({}, np.zeros(0), np.array([-30.0, 30.0]) if sizes.get(1) else np.array([30.0, 31.0]))
     seen = (
         _found(picked).select("toxic", F.explode("terms").alias("term")).groupBy("term")
-        .agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).orderBy("term").collect()
+        .agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).toArrow().sort_by("term")
     )
-    pos, neg = np.array([r["pos"] for r in seen], float), np.array([r["neg"] for r in seen], float)
+    n_terms, pos, neg = seen.num_rows, seen["pos"].to_numpy().astype(float), seen["neg"].to_numpy().astype(float)
     odds = np.log((pos + 0.5) / (sizes[1] - pos + 0.5)) - np.log((neg + 0.5) / (sizes[0] - neg + 0.5))
     telling = odds / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5)) > 4
-    blank = OrdinalModel({bytes(r["term"]): i for i, r in enumerate(seen)}, np.zeros(2 * len(seen)), np.array([0.0, 1.0]))
+    columns = {}
+    for chunk in seen["term"].chunks:
+        for term in chunk:
+            columns[term.as_py()] = len(columns)
+    blank = OrdinalModel(columns, np.zeros(0), np.array([0.0, 1.0]))
+    del seen
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [blank.features(t) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array([i.astype("<i4").tobytes() for i, _ in x], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in x], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["toxic", "at", "value"])
-
-    got = picked.mapInArrow(rows, "toxic int, at binary, value binary").collect()
-    got.sort(key=lambda r: (r["toxic"], bytes(r["at"]), bytes(r["value"])))
-    x = Sparse([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["value"], "<f4")) for r in got], 2 * len(seen))
-    toxic = np.array([r["toxic"] for r in got])
-    share = x @ np.concatenate([np.zeros(len(seen)), telling.astype(float)])
+            made = [batch.column(0), pa.array([i.astype("<i4").tobytes() for i, _ in x], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in x], pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, names=["toxic", "at", "value"])
+
+    got = picked.mapInArrow(rows, "toxic int, at binary, value binary").toArrow().sort_by([("toxic", "ascending"), ("at", "ascending"), ("value", "ascending")])
+    toxic = got["toxic"].to_numpy()
+    pairs = [(np.frombuffer(a.as_buffer(), "<i4"), np.frombuffer(v.as_buffer(), "<f4")) for a, v in zip(got["at"], got["value"])]
+    x = Sparse(pairs, 2 * n_terms)
+    del got, pairs
+    share = x @ np.concatenate([np.zeros(n_terms), telling.astype(float)])
     grade = np.where(toxic == 0, 0, 1 + (share >= np.median(share[toxic == 1])))
     weights, thresholds = fit_ordinal(x, grade, 3, **options)
     return OrdinalModel(blank.columns, weights.astype(np.float32), thresholds)
