@@ -269,7 +269,8 @@ def cluster(
     now = _first_centroids(kept, k, seed, total)
     if np.abs(now).max() >= LIMIT:
         raise ValueError("a scaled component has 2^27 or more")
-    tables = _Bucketed(spark, min(100_000, max(partitions(spark), total // BUCKET_ROWS)))
+    # No more buckets than blocks, and no more than the catalog takes.
+    tables = _Bucketed(spark, min(100_000, -(-total // BLOCK), max(partitions(spark), total // BUCKET_ROWS)))
     blocks = tables.write(_packed(kept, size).repartition(tables.buckets, "block"), "blocks")
     state = before = None
     for turn in range(rounds + 1):
