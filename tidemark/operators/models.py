@@ -325,6 +325,12 @@ def feature_sweep(train: DataFrame, test: DataFrame, cols: Sequence[str], label:
     return out
 
 
+def ranked_importances(spark, importances: dict[str, float], top: int = 6) -> DataFrame:
+    """``place, column, importance`` of the ``top`` columns that matter at all, ties by name."""
+    kept = sorted(((v, c) for c, v in importances.items() if v > 0), key=lambda p: (-p[0], p[1]))[:top]
+    return spark.createDataFrame([(i + 1, c, float(v)) for i, (v, c) in enumerate(kept)], "place int, column string, importance double")
+
+
 def scaled(df: DataFrame, scaler: dict) -> DataFrame:
     """``df`` with finite columns, standardised by a bundle's ``scaler``."""
     return standardised(df.withColumns({c: finite(F.col(c).cast("double")) for c in scaler}), scaler)
