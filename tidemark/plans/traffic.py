@@ -116,13 +116,14 @@ _LETTER = lambda c: f"count(*) FILTER (WHERE flags LIKE '%{c}%')"
   g AS (SELECT src, dst, portA, portB, proto, t0, count(*) AS n_packets, sum(length) AS n_bytes, max(ts) - min(ts) AS duration, avg(length) AS mean_len, stddev_pop(length) AS std_len,
     min(length) AS min_len, max(length) AS max_len, coalesce(avg(piat), 0) AS mean_iat, coalesce(stddev_pop(piat), 0) AS std_iat,
     {_LETTER('S')} AS s, {_LETTER('A')} AS a, {_LETTER('F')} AS f, {_LETTER('R')} AS r, {_LETTER('P')} AS p FROM x GROUP BY src, dst, portA, portB, proto, t0)
-  SELECT src, dst, portA, portB, proto, n_packets, {r4_sql('t0', 'n_bytes', 'duration', 'mean_len', 'std_len', 'min_len', 'max_len')}, round(mean_iat + 1e-7, 3) AS mean_iat, round(std_iat + 1e-7, 3) AS std_iat,
+  SELECT src, dst, portA, portB, proto, n_packets, round(t0, 6) AS t0, {r4_sql('n_bytes', 'duration', 'mean_len', 'std_len', 'min_len', 'max_len')}, round(mean_iat + 1e-7, 3) AS mean_iat, round(std_iat + 1e-7, 3) AS std_iat,
     round(n_bytes / CASE WHEN duration > 0 THEN duration ELSE 1 END + 1e-7, 4) AS bytes_per_sec, round(n_packets / CASE WHEN duration > 0 THEN duration ELSE 1 END + 1e-7, 4) AS pkts_per_sec,
     round(s / n_packets + 1e-7, 4) AS syn_ratio, round(a / n_packets + 1e-7, 4) AS ack_ratio, round(f / n_packets + 1e-7, 4) AS fin_ratio, round(r / n_packets + 1e-7, 4) AS rst_ratio,
     round(p / n_packets + 1e-7, 4) AS psh_ratio, CASE WHEN s > 0 AND a = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS syn_no_ack FROM g"""))
 def extractor_flows(spark, sf_dir):
     f = flows_from_extractor(flows.extracted_flows(view(spark, sf_dir, "packets"), IDLE, ACTIVE, grain=43200.0))
-    return f.select(*[F.round(F.col(c) + 1e-7, 3 if c.endswith("_iat") else 4).alias(c) if t == "double" else c for c, t in f.dtypes])
+    places = {"t0": 6, "mean_iat": 3, "std_iat": 3}
+    return f.select(*[F.round(F.col(c) + (0 if c == "t0" else 1e-7), places.get(c, 4)).alias(c) if t == "double" else c for c, t in f.dtypes])
 
 
 @R.add(flows_duck(then="SELECT src, dst, portA, portB, round(CASE WHEN std_iat > 0 THEN duration / std_iat ELSE 0 END + 1e-7, 4) AS clean FROM flows"))
