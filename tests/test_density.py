@@ -49,3 +49,18 @@ def test_matches_all_pairs(spark, case, monkeypatch):
 
 def test_empty(spark):
     assert density.dbscan(spark.createDataFrame([], "row long, a double, b double"), ["a", "b"], "row").count() == 0
+
+
+def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
+    plans, write = {}, density.staged
+
+    def spied(df, what):
+        plans.setdefault(what, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, what)
+
+    monkeypatch.setattr(density, "staged", spied)
+    x = np.random.default_rng(5).uniform(0, 3, (400, 2))
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "row long, a double, b double")
+    density.dbscan(df, ["a", "b"], "row", 0.4, 5).count()
+    for what in ("cell-pairs", "open-pairs", "boxes", "links", "cells"):
+        assert plans[what] and not any("BroadcastHashJoin" in p for p in plans[what]), what

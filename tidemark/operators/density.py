@@ -20,6 +20,12 @@ from tidemark.staging import forget, staged
 #: Rows of one cell that meet their visitors together; hot cells are fewer than a millionth of the rows, so they may be broadcast.
 PART_ROWS = 1_000_000
 
+
+def _met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of tables that grow with the rows: always by sorting, as what is small in a shuffle, compressed, may fill the driver as a broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, root`` of the nodes of ``links`` (columns a, b): the least node that is reached, by alternating stars."""
     now, path = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
@@ -27,9 +33,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = now.union(now.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _met(both, least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         own = large.filter("u > v").groupBy("u").agg(F.min("v").alias("m"))
-        small = large.filter("u > v").join(own, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(own.select("u", F.col("m").alias("v"))).distinct()
+        small = _met(large.filter("u > v"), own, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(own.select("u", F.col("m").alias("v"))).distinct()
         after, new = staged(small, "links")
         forget(links.sparkSession, path)
         now, path = after, new
@@ -68,7 +74,7 @@ def dbscan(df: DataFrame, cols: Sequence[str], id_col: str, eps: float = 0.5, mi
     sizes = rows.groupBy("cell").agg(F.count("*").alias("m"))
     dense = sizes.filter(F.col("m") >= min_rows).select("cell")
     # Rows of sparse cells, fewer than ``min_rows`` a cell, travel as arrays to the cells around them.
-    sparse = rows.join(dense, "cell", "left_anti")
+    sparse = _met(rows, dense, "cell", "left_anti")
     packed = sparse.groupBy("cell").agg(F.collect_list(F.struct("id", *xs)).alias("own"))
     offsets = _around(dims)
     # A cell with very many rows is met in parts.
@@ -78,26 +84,26 @@ def dbscan(df: DataFrame, cols: Sequence[str], id_col: str, eps: float = 0.5, mi
     def visited(there: DataFrame, travelling: DataFrame) -> DataFrame:
         sent = travelling.select(_shifted(F.col("cell"), offsets, dims).alias("cell"), "own").join(F.broadcast(hot), "cell", "left")
         sent = sent.select("cell", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-        return there.join(F.broadcast(hot), "cell", "left").withColumn("part", dealt).join(sent, ["cell", "part"])
+        return _met(there.join(F.broadcast(hot), "cell", "left").withColumn("part", dealt), sent, ["cell", "part"])
 
     met = visited(rows, packed)
     near = F.filter("own", lambda p: _squared([p[f"x{i}"] for i in range(dims)], xs) <= square)
     reached = met.select("cell", F.explode(F.transform(near, lambda p: p["id"])).alias("id")).groupBy("id").agg(F.count("*").alias("k"))
-    core = rows.join(dense, "cell", "left_semi").select("id", "cell", *xs).union(
-        sparse.join(reached.filter(F.col("k") >= min_rows).select("id"), "id", "left_semi").select("id", "cell", *xs)
+    core = _met(rows, dense, "cell", "left_semi").select("id", "cell", *xs).union(
+        _met(sparse, reached.filter(F.col("k") >= min_rows).select("id"), "id", "left_semi").select("id", "cell", *xs)
     )
     core, _ = staged(core, "cores")
     cells = core.groupBy("cell").agg(F.min("id").alias("least"))
     linked = _linked_cells(core, cells, offsets, dims, square)
     roots = components(linked)
-    named = cells.join(roots, cells["least"] == roots["node"], "left").select("cell", "least", F.coalesce("root", "least").alias("cluster"))
+    named = _met(cells, roots, F.col("least") == F.col("node"), "left").select("cell", "least", F.coalesce("root", "least").alias("cluster"))
     named, _ = staged(named, "cells")
     # Rows of sparse cells that are no core look for core rows around; again they are the ones that travel.
-    loose = sparse.join(core.select("id"), "id", "left_anti").groupBy("cell").agg(F.collect_list(F.struct("id", *xs)).alias("own"))
-    visits = visited(core, loose).join(named.select("cell", "cluster"), "cell")
+    loose = _met(sparse, core.select("id"), "id", "left_anti").groupBy("cell").agg(F.collect_list(F.struct("id", *xs)).alias("own"))
+    visits = _met(visited(core, loose), named.select("cell", "cluster"), "cell")
     border = visits.select("cluster", F.explode(F.transform(near, lambda p: p["id"])).alias("id")).groupBy("id").agg(F.min("cluster").alias("cluster"))
-    inner = core.join(named, "cell").select("id", F.lit(True).alias("core"), "cluster")
-    outer = sparse.join(core.select("id"), "id", "left_anti").join(border, "id", "left").select("id", F.lit(False).alias("core"), "cluster")
+    inner = _met(core, named, "cell").select("id", F.lit(True).alias("core"), "cluster")
+    outer = _met(_met(sparse, core.select("id"), "id", "left_anti"), border, "id", "left").select("id", F.lit(False).alias("core"), "cluster")
     return inner.union(outer).withColumnRenamed("id", id_col)
 
 
@@ -106,16 +112,16 @@ def _linked_cells(core: DataFrame, cells: DataFrame, offsets: Sequence[tuple[int
     spark = core.sparkSession
     half = [o for o in offsets if o > (0,) * dims]
     pairs = cells.select("cell", F.col("least").alias("a"), _shifted(F.col("cell"), half, dims).alias("other"))
-    undecided = pairs.join(cells.select(F.col("cell").alias("other"), F.col("least").alias("b")), "other").select("a", "b", "cell", "other", F.array().cast("array<int>").alias("left"), F.array().cast("array<int>").alias("right"))
+    undecided = _met(pairs, cells.select(F.col("cell").alias("other"), F.col("least").alias("b")), "other").select("a", "b", "cell", "other", F.array().cast("array<int>").alias("left"), F.array().cast("array<int>").alias("right"))
     axes = range(dims)
     # A box is the path of halvings of its cell; its bounds are those of the rows in it.
-    held = core.join(cells, "cell").select("cell", F.array().cast("array<int>").alias("box"), *[f"x{i}" for i in axes]).distinct()
+    held = core.select("cell", F.array().cast("array<int>").alias("box"), *[f"x{i}" for i in axes]).distinct()
     links = None
     while True:
         bounds = held.groupBy("cell", "box").agg(*[F.min(f"x{i}").alias(f"lo{i}") for i in axes], *[F.max(f"x{i}").alias(f"hi{i}") for i in axes])
         a = bounds.select(F.col("cell"), F.col("box").alias("left"), *[F.col(f"{e}{i}").alias(f"a_{e}{i}") for e in ("lo", "hi") for i in axes])
         b = bounds.select(F.col("cell").alias("other"), F.col("box").alias("right"), *[F.col(f"{e}{i}").alias(f"b_{e}{i}") for e in ("lo", "hi") for i in axes])
-        met = undecided.join(a, ["cell", "left"]).join(b, ["other", "right"])
+        met = _met(_met(undecided, a, ["cell", "left"]), b, ["other", "right"])
         apart = [F.greatest(F.lit(0.0), F.col(f"a_lo{i}") - F.col(f"b_hi{i}"), F.col(f"b_lo{i}") - F.col(f"a_hi{i}")) for i in axes]
         widest = [F.greatest(F.col(f"a_hi{i}") - F.col(f"b_lo{i}"), F.col(f"b_hi{i}") - F.col(f"a_lo{i}")) for i in axes]
         nil = [F.lit(0.0)] * dims
@@ -123,7 +129,7 @@ def _linked_cells(core: DataFrame, cells: DataFrame, offsets: Sequence[tuple[int
         sure = judged.filter("must").select("a", "b").distinct()
         found, _ = staged(sure if links is None else links.union(sure).distinct(), "cell-links")
         links = found
-        open_ = judged.filter("may and not must").join(links, ["a", "b"], "left_anti")
+        open_ = _met(judged.filter("may and not must"), links, ["a", "b"], "left_anti")
         open_, _ = staged(open_, "open-pairs")
         if open_.isEmpty():
             return links
@@ -131,7 +137,7 @@ def _linked_cells(core: DataFrame, cells: DataFrame, offsets: Sequence[tuple[int
         # Each box is cut at the middle of its bounds; a box of one point stays as it is.
         middle = bounds.select("cell", "box", *[((F.col(f"lo{i}") + F.col(f"hi{i}")) / 2).alias(f"m{i}") for i in axes])
         side = sum((F.when(F.col(f"x{i}") > F.col(f"m{i}"), 1 << i).otherwise(0) for i in axes), F.lit(0)).cast("int")
-        cut = held.join(busy, "cell", "left_semi").join(middle, ["cell", "box"]).select("cell", F.array_append("box", side).alias("box"), *[f"x{i}" for i in axes])
+        cut = _met(_met(held, busy, "cell", "left_semi"), middle, ["cell", "box"]).select("cell", F.array_append("box", side).alias("box"), *[f"x{i}" for i in axes])
         held, _ = staged(cut, "boxes")
         forget(spark, path)
         sides = F.array(*[F.lit(s) for s in range(1 << dims)])
