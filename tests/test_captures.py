@@ -92,3 +92,16 @@ def test_written_captures_come_back(spark, tmp_path):
     (tmp_path / "none").mkdir()
     (tmp_path / "none/empty.pcap").write_bytes(head())
     assert captures.read_pcap(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("few", [100, 0])
+def test_ends_that_do_not_fit_come_back(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(captures, "FEW_NAMES", few)
+    ends = [("10.0.0.1499", 41499), ("10.0.0.7", 70007), ("10.0.0.1499", 141499), ("240.0.0.0", 80), ("010.0.0.1", 1), ("host", 65535), ("1.2.3", 0), ("10.0.0.7", -5), (None, 9), ("10.0.0.7", 443)]
+    rows = [(1.7e9 + i, *a, *ends[i * 7 % 10]) for i, a in enumerate(ends * 2)]
+    p = spark.createDataFrame(rows, "ts double, src string, sport int, dst string, dport int").selectExpr("ts", "src", "dst", "6 AS proto", "60 AS length", "sport", "dport", "'SA' AS flags")
+    path = str(tmp_path / "out")
+    assert sum(r["n"] for r in captures.write_pcap(p.repartition(3), path).collect()) == 20
+    assert len(list((tmp_path / "out").iterdir())) == 3
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert key(captures.read_pcap(spark, path, split_bytes=300)) == key(p)

@@ -7,6 +7,10 @@ counts once its begin is where the range before it left; others are followed ane
 table of ranges is that of a reader that began at the front of the file, whatever the packets hold.
 
 Files are opened through ``pyarrow.fs``, so they may lie on any store that it knows.
+
+A capture holds four bytes of an address and two of a port. An end that does not fit, by its name or by a larger
+port, is written under an address of the reserved block 240.0.0.0/4 with the low bits of its port; the table of
+these names lies beside the captures, as a hosts file does, and readers put the names back.
 """
 
 from __future__ import annotations
@@ -20,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.explore import numbered
 from tidemark.schemas import PACKET
 from tidemark.staging import staged
 
@@ -32,6 +37,11 @@ _FLAGS = ((1, "F"), (2, "S"), (4, "R"), (8, "P"), (16, "A"), (32, "U"), (64, "E"
 MAX_FRAME = 262_144
 
 HEAD, RECORD, ETHERNET = 24, 16, 1
+#: Tables of at most so many names are broadcast.
+FEW_NAMES = 200_000
+_RESERVED, _OCTET = 240 << 24, r"\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_PLAIN = r"\A(?:2[0-3]\d|1\d\d|[1-9]?\d)(?:" + _OCTET + r"){3}\z"
+_ENDS = (("src", "sport"), ("dst", "dport"))
 _FLAG_NAMES = pa.array(["".join(name for bit, name in _FLAGS if value & bit) for value in range(256)])
 _READ = 8 << 20
 
@@ -225,8 +235,16 @@ def read_ranges(ranges: DataFrame, batch_rows: int = 20_000) -> DataFrame:
 
 
 def read_pcap(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
-    """Packets of the captures at ``path``, ranges of ``split_bytes`` read side by side; ``length`` is that of the captured frame."""
-    return read_ranges(capture_ranges(spark, path, split_bytes))
+    """Packets of the captures at ``path``, ranges of ``split_bytes`` read side by side; ``length`` is that of the captured frame.
+
+    Ends that a table beside the captures names have their names.
+    """
+    packets = read_ranges(capture_ranges(spark, path, split_bytes))
+    store, place = fs.FileSystem.from_uri(_names_path(path).replace("file:///", "/").replace("file:/", "/"))
+    if store.get_file_info(place).type == fs.FileType.NotFound:
+        return packets
+    names = spark.read.schema("address string, name string, high int").parquet(_names_path(path))
+    return under_names(packets, names, names.count() <= FEW_NAMES)
 
 
 def encode(rows: list[tuple]) -> bytes:
@@ -246,11 +264,62 @@ def encode(rows: list[tuple]) -> bytes:
     return b"".join(out)
 
 
+def _unfit(address: Column, port: Column) -> Column:
+    """The port's bits above the low sixteen where a capture cannot hold an end as it is, else null; addresses of the reserved block are names too."""
+    fits = F.coalesce(address.rlike(_PLAIN), F.lit(False)) & F.coalesce(port.between(0, 65_535), F.lit(True))
+    return F.when(~fits, F.floor(F.coalesce(port, F.lit(0)) / 65_536).cast("int"))
+
+
+def _names_path(path: str) -> str:
+    return path.rstrip("/") + ".names"
+
+
+def end_names(packets: DataFrame) -> DataFrame:
+    """``address, name, high``: an address of the reserved block for each name and high part of a port that do not fit."""
+    ends = [packets.select(F.col(a).alias("name"), _unfit(F.col(a), F.col(p)).alias("high")).filter("high is not null") for a, p in _ENDS]
+    placed = numbered(ends[0].union(ends[1]).distinct(), ["name", "high"], "place")
+    number = F.lit(_RESERVED).cast("long") + F.col("place")
+    return placed.select(F.concat_ws(".", *[F.shiftright(number, s).bitwiseAND(255) for s in (24, 16, 8, 0)]).alias("address"), "name", "high")
+
+
+def _at_ends(packets: DataFrame, names: DataFrame, few: bool, on, made) -> DataFrame:
+    """``packets`` with either end joined to its name and replaced by ``made``; few names are broadcast."""
+    known = names.select(F.col("address").alias("_address"), F.col("name").alias("_name"), F.col("high").alias("_high"))
+    for a, p in _ENDS:
+        met = packets.join(F.broadcast(known) if few else known.hint("merge"), on(F.col(a), F.col(p)), "left")
+        found = F.col("_address").isNotNull()
+        packets = met.withColumns({c: F.when(found, v).otherwise(F.col(c)) for c, v in zip((a, p), made(F.col(p)))}).drop("_address", "_name", "_high")
+    return packets
+
+
+def under_addresses(packets: DataFrame, names: DataFrame, few: bool) -> DataFrame:
+    """``packets`` with ends as a capture holds them."""
+    same = lambda a, p: a.eqNullSafe(F.col("_name")) & (_unfit(a, p) == F.col("_high"))
+    return _at_ends(packets, names, few, same, lambda p: (F.col("_address"), F.pmod(p, F.lit(65_536)).cast("int")))
+
+
+def under_names(packets: DataFrame, names: DataFrame, few: bool) -> DataFrame:
+    """Packets of captures with the names of their ends put back."""
+    return _at_ends(packets, names, few, lambda a, p: a == F.col("_address"), lambda p: (F.col("_name"), (p + F.col("_high") * 65_536).cast("int")))
+
+
 def write_pcap(packets: DataFrame, path: str) -> DataFrame:
     """Write packets as captures, one per partition, in the order of time within it; returns ``path, n`` of the files.
 
-    A file is written under another name and moved, so a repeated task leaves one file.
+    A file is written under another name and moved, so a repeated task leaves one file. Names of ends that do not fit a
+    capture are a table beside it, ``path`` and ``.names``.
     """
+    odd = end_names(packets)
+    if n_odd := odd.count():
+        if n_odd > 1 << 28:
+            raise ValueError("more names than the reserved block has addresses")
+        odd.write.mode("overwrite").parquet(_names_path(path))
+        odd = packets.sparkSession.read.schema(odd.schema).parquet(_names_path(path))
+        few = n_odd <= FEW_NAMES
+        parts = packets if few else packets.withColumn("_part", F.spark_partition_id())
+        packets = under_addresses(parts, odd, few)
+        if not few:
+            packets = packets.repartitionById(parts.rdd.getNumPartitions(), "_part")
     names = [c.split()[0] for c in PACKET.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
