@@ -274,3 +274,15 @@ def test_candidate_is_weighted(spark):
     assert {r["scope"]: r["fp"] + r["tn"] for r in evaluations.collect()} == {"capture": 100, "scenario": 100, "aggregate": 100}
     with pytest.raises(ValueError):
         commands.train_candidate(rows, chosen.limit(0), ["a"], "id")
+
+
+def test_byte_sums_are_exact_in_any_order(spark):
+    from decimal import Decimal
+
+    rng = np.random.default_rng(8)
+    lengths = {f"10.0.0.{i}": [float(v) / 100 for v in rng.integers(1, 9000, 12)] for i in range(40)} | {"10.0.0.90": [100.1, 0.1, 0.2, 199.6], "10.0.0.91": [1e19, 2e18], "10.0.0.92": [None, 1.5]}
+    rows = [(float(k * 1500 + i), ip, v) for ip, all_ in lengths.items() for i, v in enumerate(all_) for k in [i]]
+    p = spark.createDataFrame(rows, "ts double, src string, length double").selectExpr("ts", "src", "'9.9.9.9' AS dst", "6 AS proto", "length", "1 AS sport", "2 AS dport", "'A' AS flags")
+    got = {r["src"]: r["n_bytes"] for r in flows.flow_features(p).collect()}
+    assert got == {ip: float(sum(Decimal(str(v)) for v in all_ if v is not None)) for ip, all_ in lengths.items()}
+    assert got["10.0.0.90"] == 300.0

@@ -11,6 +11,11 @@ def finite(c: Column) -> Column:
     return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(c)
 
 
+def exact(c: Column) -> Column:
+    """A number as a decimal of ten digits after the point, so that its sums depend on no order; null from 10 ** 18 on and for what is no number."""
+    return c.try_cast("decimal(28,10)")
+
+
 def flag_count(flags: Column, letter: str) -> Column:
     """How often a TCP flag letter occurs; 0 for null."""
     return F.coalesce(F.length(flags) - F.length(F.translate(flags, letter, "")), F.lit(0))

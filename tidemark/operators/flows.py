@@ -3,7 +3,8 @@
 A flow's packets may be a third of the input, so they are ordered within time slices of
 ``slice_seconds``; slices give partial counts, sums and squared deviations, and only these meet per
 flow, where the gaps between neighbouring slices are added. Inter-arrival figures are those of
-sorted time. Null ports compare below all others.
+sorted time. Null ports compare below all others. Lengths are summed as decimals, so no order of
+rows or slices moves a sum across a threshold or parts equal ones.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import flag_count, floor_one_ratio, guarded_rate
+from tidemark.functions.scalars import exact, flag_count, floor_one_ratio, guarded_rate
 from tidemark.operators.chains import chain_starts, in_links
 
 KEY = ("src", "dst", "portA", "portB", "proto")
@@ -41,8 +42,8 @@ def flow_features(packets: DataFrame, extra_keys: tuple[str, ...] = (), slice_se
     near = Window.partitionBy(*key, "_slice").orderBy("ts")
     gaps = rows.withColumn("_gap", F.col("ts") - F.lag("ts").over(near))
     parts = gaps.groupBy(*key, "_slice").agg(
-        F.count("*").alias("n"), F.sum("length").alias("bytes"), F.min("ts").alias("first"), F.max("ts").alias("last"),
-        (F.var_pop("length") * F.count("length")).alias("len_m2"), F.min("length").alias("lo"), F.max("length").alias("hi"),
+        F.count("*").alias("n"), F.sum("length").alias("bytes"), F.sum(exact(F.col("length"))).alias("exact"), F.count_if(F.col("length").isNotNull() & exact(F.col("length")).isNull()).alias("rough"),
+        F.min("ts").alias("first"), F.max("ts").alias("last"), (F.var_pop("length") * F.count("length")).alias("len_m2"), F.min("length").alias("lo"), F.max("length").alias("hi"),
         F.count("_gap").alias("gaps"), F.coalesce(F.avg("_gap"), F.lit(0.0)).alias("gap_mean"),
         F.coalesce(F.var_pop("_gap") * F.count("_gap"), F.lit(0.0)).alias("gap_m2"), *[F.sum(f"_{k}").alias(k) for k in _FLAGS],
     )
@@ -54,7 +55,7 @@ def flow_features(packets: DataFrame, extra_keys: tuple[str, ...] = (), slice_se
         "all_gap": (F.max("last").over(flow) - F.min("first").over(flow)) / F.greatest(total - 1, F.lit(1)),
     })
     summed = joined.groupBy(*key).agg(
-        F.min("first").alias("t0"), F.sum("n").alias("n_packets"), F.sum("bytes").alias("n_bytes"), (F.max("last") - F.min("first")).alias("duration"),
+        F.min("first").alias("t0"), F.sum("n").alias("n_packets"), F.when(F.sum("rough") > 0, F.sum("bytes")).otherwise(F.sum("exact").cast("double")).alias("n_bytes"), (F.max("last") - F.min("first")).alias("duration"),
         F.min("lo").alias("min_len"), F.max("hi").alias("max_len"), _pooled(F.col("n"), F.col("bytes") / F.col("n"), F.col("len_m2"), F.col("all_mean")).alias("len_m2"),
         (_pooled(F.col("gaps"), F.col("gap_mean"), F.col("gap_m2"), F.col("all_gap")) + F.coalesce(F.sum((F.col("step") - F.col("all_gap")) * (F.col("step") - F.col("all_gap"))), F.lit(0.0))).alias("gap_m2"),
         *[F.sum(k).alias(k) for k in _FLAGS],
