@@ -286,3 +286,36 @@ def test_byte_sums_are_exact_in_any_order(spark):
     got = {r["src"]: r["n_bytes"] for r in flows.flow_features(p).collect()}
     assert got == {ip: float(sum(Decimal(str(v)) for v in all_ if v is not None)) for ip, all_ in lengths.items()}
     assert got["10.0.0.90"] == 300.0
+
+
+def test_fits_read_their_rows_once(spark):
+    """However many models are fitted and judged, a row of the input is made once for each half or table that is written."""
+    from tidemark.operators import models as m
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(120).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS a", "CAST(id AS DOUBLE) AS b", "CAST(id % 2 AS INT) AS y").repartition(2)
+    df = rows.mapInArrow(seen, rows.schema)
+    m.surrogate_fidelity(df, ["a", "b"], "id", "y").collect()
+    assert made.value == 120
+    m.feature_sweep(df.filter("id < 80"), df.filter("id >= 80"), ["a", "b"], "y", [1, 2]).collect()
+    assert made.value == 360
+
+
+def test_nearest_neighbours_of_copies(spark):
+    from tidemark.operators import models as m
+
+    rows = [(i, float(i % 5), float(i % 3), int(i // 15 % 2)) for i in range(150)] + [(200, -0.0, 0.0, 1)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    train, test = df.filter("id % 3 <> 1"), df.filter("id % 3 = 1")
+    scaler = m.moments(train, ["a", "b"])
+    at = {r[0]: [(v - scaler[c][0]) / scaler[c][1] for c, v in zip("ab", r[1:3])] for r in rows}
+    for r in m.knn(train, test, ["a", "b"], "y", "id", 4).collect():
+        near = sorted((math.dist(at[r["id"]], at[o[0]]), o[0], o[3]) for o in rows if o[0] % 3 != 1)[:4]
+        ones = sum(n[2] for n in near)
+        assert r["prediction"] == int(ones > 2), r
