@@ -2,27 +2,29 @@
 
 The covariance matrix comes from mergeable aggregates in one pass; only that matrix, columns squared, reaches the
 driver. Kernels are used through features of rows: random Fourier features for the Gaussian kernel, monomials for
-the polynomial one. A ridge on them solves normal equations gathered in one pass, so no pair of rows is ever met.
+the polynomial one, made for blocks of rows at once. A ridge on them solves normal equations gathered in one pass, so
+no pair of rows is ever met.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations_with_replacement
 from math import factorial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import finite
 from tidemark.operators.models import project
 
+BLOCK = 2048  # rows whose features are made at once
+
 
 def moment_matrix(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """Number of rows, means and population covariances of ``cols``, by one aggregate; nulls and non-finite values are 0."""
@@ -97,20 +99,37 @@ class Features:
     waves: tuple[tuple[tuple[float, ...], float], ...] = ()
     terms: tuple[tuple[tuple[int, ...], float], ...] = ()
 
-    def array(self) -> Column:
-        """One array expression per row."""
-        x = [(finite(F.col(c).cast("double")) - m) / s for c, m, s in zip(self.cols, self.means, self.spreads)]
+    def inputs(self) -> list[Column]:
+        """The columns as doubles; nulls and non-finite values are 0."""
+        return [finite(F.col(c).cast("double")) for c in self.cols]
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """Features of the rows of ``x``, whose columns are ``inputs``."""
+        z = (x - np.array(self.means)) / np.array(self.spreads)
         if self.waves:
-            table = F.array(*[F.struct(F.array(*map(F.lit, w)).alias("w"), F.lit(p).alias("p")) for w, p in self.waves])
-            inner = lambda t: sum((t["w"][i] * x[i] for i in range(len(x))), t["p"])
-            return F.transform(table, lambda t: F.cos(inner(t)) * float(np.sqrt(2 / len(self.waves))))
-        out = []
-        for columns, factor in self.terms:
-            value = F.lit(factor)
-            for i in columns:
-                value = value * x[i]
-            out.append(value)
-        return F.array(*out)
+            weights, phases = np.array([w for w, _ in self.waves]), np.array([p for _, p in self.waves])
+            return np.cos(z @ weights.T + phases) * np.sqrt(2 / len(self.waves))
+        out = np.empty((len(z), len(self.terms)))
+        for i, (columns, factor) in enumerate(self.terms):
+            out[:, i] = factor * z[:, list(columns)].prod(axis=1)
+        return out
+
+    def array(self) -> Column:
+        """One array per row."""
+
+        @F.arrow_udf("array<double>")
+        def made(*x: pa.Array) -> pa.Array:
+            out = np.concatenate([self.of(part) for part in _blocks(x)])
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
+
+        return made(*self.inputs())
+
+
+def _blocks(columns: Sequence[pa.Array]) -> Iterator[np.ndarray]:
+    """Columns of doubles as matrices of at most ``BLOCK`` rows; an empty one where there is no row."""
+    arrays = [c.to_numpy(zero_copy_only=False) for c in columns]
+    for at in range(0, max(1, len(arrays[0])), BLOCK):
+        yield np.column_stack([a[at : at + BLOCK] for a in arrays])
 
 
 def _scales(df: DataFrame, cols: Sequence[str]) -> tuple[tuple[float, ...], tuple[float, ...]]:
@@ -149,8 +168,12 @@ class KernelModel:
     intercept: float = 0.0
 
     def value(self) -> Column:
-        weighed = F.zip_with(self.features.array(), F.array(*map(F.lit, self.weights)), lambda z, w: z * w)
-        return F.aggregate(weighed, F.lit(float(self.intercept)), lambda a, b: a + b)
+        @F.arrow_udf("double")
+        def made(*x: pa.Array) -> pa.Array:
+            weights = np.array(self.weights)
+            return pa.array(np.concatenate([self.features.of(part) @ weights + self.intercept for part in _blocks(x)]))
+
+        return made(*self.features.inputs())
 
 
 def _rows(df: DataFrame, features: Features, label: str) -> DataFrame:
@@ -160,13 +183,26 @@ def _rows(df: DataFrame, features: Features, label: str) -> DataFrame:
 def kernel_ridge(df: DataFrame, features: Features, label: str, alpha: float = 1.0) -> KernelModel:
     """Least squares with ``alpha`` times the squared weights, without intercept.
 
-    The products of all features and of the label are summed in one pass over the rows, in a tree; the driver
-    solves the normal equations.
+    Every task sums the products of all features and of the label over its rows, block by block; these sums are added
+    place by place, and the driver solves the normal equations.
     """
-    known = df.filter(F.col(label).isNotNull())
-    rows = known.select(array_to_vector(F.array_append(features.array(), F.col(label).cast("double"))).alias("v"))
-    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "v")).computeGramianMatrix().toArray()
-    weights = np.linalg.solve(gram[:-1, :-1] + alpha * np.eye(len(gram) - 1), gram[:-1, -1])
+    known = df.filter(F.col(label).isNotNull()).select(*[c.alias(f"c{i}") for i, c in enumerate(features.inputs())], F.col(label).cast("double").alias("y"))
+    size = len(features.waves or features.terms) + 1
+    above = np.triu_indices(size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, size))
+        for batch in batches:
+            for part in _blocks(batch.columns):
+                v = np.column_stack([features.of(part[:, :-1]), part[:, -1]])
+                total += v.T @ v
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(above[0]), dtype=np.int32)), pa.array(total[above])], names=["at", "total"])
+
+    summed = known.mapInArrow(run, "at int, total double").groupBy("at").agg(F.sum("total").alias("total")).toArrow()
+    gram = np.zeros((size, size))
+    places = summed["at"].to_numpy()
+    gram[above[0][places], above[1][places]] = gram[above[1][places], above[0][places]] = summed["total"].to_numpy()
+    weights = np.linalg.solve(gram[:-1, :-1] + alpha * np.eye(size - 1), gram[:-1, -1])
     return KernelModel(features, tuple(weights.tolist()))
 
 
