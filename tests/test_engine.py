@@ -319,3 +319,30 @@ def test_nearest_neighbours_of_copies(spark):
         near = sorted((math.dist(at[r["id"]], at[o[0]]), o[0], o[3]) for o in rows if o[0] % 3 != 1)[:4]
         ones = sum(n[2] for n in near)
         assert r["prediction"] == int(ones > 2), r
+
+
+def test_nearest_writes_each_side_once(spark):
+    """Bytes on disk grow with the sum of both sides, not with their product; finds are those of brute force, ties included."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(2500, 8)), rng.integers(0, 3, (1300, 8)).astype(float), np.zeros((200, 8))])
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vec array<double>").repartition(4)
+    disk = lambda: sum(f.length() for f in _scala(spark, spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    before = disk()
+    got = explore.nearest(e, e, 4, query_group=100, base_group=100, block=37).orderBy("id", "rank").collect()
+    assert disk() - before < 12 * x.nbytes
+    want = []
+    for i, v in enumerate(x):
+        far = np.sqrt(((x - v) ** 2).sum(1))
+        far[i] = np.inf
+        want += [(i, int(j), float(far[j]), r + 1) for r, j in enumerate(np.lexsort((np.arange(len(x)), far))[:4])]
+    assert [tuple(r) for r in got] == want
+
+
+def _scala(spark, found):
+    return spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(found)
+
+
+def test_nearest_of_nothing_and_of_few(spark):
+    e = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [4.0, 1.0])], "vec_id long, vec array<double>")
+    assert explore.nearest(e, e.limit(0), 2).count() == 0 and explore.nearest(e.limit(0), e, 2).count() == 0
+    assert sorted((r["id"], r["neighbour"]) for r in explore.nearest(e, e, 9).collect()) == [(1, 2), (1, 3), (2, 1), (2, 3), (3, 1), (3, 2)]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from tidemark.operators.neighbours import nearest  # noqa: F401
 from tidemark.operators.stats import exact_quantiles
 from tidemark.staging import staged
 
@@ -149,56 +150,3 @@ def stratified_folds(df: DataFrame, label: str, id_col: str, k: int = 5) -> Data
     inside = F.row_number().over(Window.partitionBy(label, "_bin").orderBy("_h", id_col)) - 1
     placed = rows.withColumn("_r", inside).join(before, F.col(label).eqNullSafe(F.col("_y")) & (F.col("_bin") == F.col("_b")))
     return placed.withColumn("fold", F.pmod(F.col("_before") + F.col("_r"), F.lit(k))).drop("_h", "_bin", "_y", "_b", "_before", "_r")
-
-
-def nearest(
-    queries: DataFrame, base: DataFrame, k: int = 5, vector: str = "vec", id_col: str = "vec_id", block: int = 4096,
-    query_group: int = 2048, base_group: int = 32_768,
-) -> DataFrame:
-    """``id, neighbour, distance, rank``: exact k nearest rows of ``base`` for each query, smaller ids first where distances are equal.
-
-    Queries and base are dealt by hash into groups of about ``query_group`` and ``base_group`` rows, and each
-    pair of groups is one cell, so a task holds one cell whatever the size of either side. Inside a cell
-    both sides are cut into blocks; a block of the base keeps k candidates per query.
-    """
-    import numpy as np
-    import pandas as pd
-
-    n_queries = max(1, -(-queries.count() // query_group))
-    n_base = max(1, -(-base.count() // base_group))
-
-    def dealt(df: DataFrame, own: str, groups: int, other: str, others: int) -> DataFrame:
-        rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-        dealt_ = rows.withColumn(own, F.pmod(F.xxhash64("id", "v"), F.lit(groups)).cast("int"))
-        return dealt_.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-
-    def cell(left, right):
-        found = [pd.DataFrame({"id": [], "neighbour": [], "distance": []}).astype({"id": "int64", "neighbour": "int64", "distance": "float64"})]
-        for qa in range(0, len(left) if len(right) else 0, 512):
-            ids = left["id"].to_numpy()[qa : qa + 512]
-            q = np.stack(left["v"].to_numpy()[qa : qa + 512])
-            for at in range(0, len(right), block):
-                others = right["id"].to_numpy()[at : at + block]
-                x = np.stack(right["v"].to_numpy()[at : at + block])
-                norms = (q**2).sum(1)[:, None] + (x**2).sum(1)[None]
-                apart = norms - 2 * q @ x.T
-                # More than the products lose by rounding, so that nothing at the k-th distance is missed.
-                slack = 1e-9 * norms.max(axis=1)
-                apart[ids[:, None] == others[None]] = np.inf
-                last = min(k, apart.shape[1]) - 1
-                limit = np.partition(apart, last, axis=1)[:, last] + slack
-                row, col = np.nonzero((apart <= limit[:, None]) & np.isfinite(apart))
-                exact = np.empty(len(row))
-                for s in range(0, len(row), 65_536):
-                    exact[s : s + 65_536] = np.sqrt(((q[row[s : s + 65_536]] - x[col[s : s + 65_536]]) ** 2).sum(1))
-                order = np.lexsort((others[col], exact, row))
-                row, col, exact = row[order], col[order], exact[order]
-                first = np.arange(len(row)) - np.searchsorted(row, row) < k
-                found.append(pd.DataFrame({"id": ids[row[first]], "neighbour": others[col[first]], "distance": exact[first]}))
-        return pd.concat(found)
-
-    left = dealt(queries, "_q", n_queries, "_b", n_base).groupBy("_q", "_b")
-    right = dealt(base, "_b", n_base, "_q", n_queries).groupBy("_q", "_b")
-    near = left.cogroup(right).applyInPandas(cell, "id long, neighbour long, distance double")
-    order = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

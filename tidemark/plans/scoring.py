@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import flows, models, stats
 from tidemark.plans.inputs import Registry, duck, flows_duck, r4, rounded, view
+from tidemark.staging import staged
 
 R = Registry()
 KEY = ("src", "dst", "portA", "portB")
@@ -169,4 +170,6 @@ def kmeans_fit(spark, sf_dir):
 @R.add()
 def classifier_bake_off(spark, sf_dir):
     f = _flows_with_id(spark, sf_dir).withColumns({"label": (F.col("n_bytes") > 400).cast("int"), "fold": F.pmod(F.xxhash64("id"), F.lit(10)), "number": F.xxhash64("id")})
+    # Both halves read the flows, which are made, and their packets dealt, once.
+    f, _ = staged(f.select(*D_COLS, "label", "fold", "number"), "flows")
     return models.bake_off(f.filter("fold < 7"), f.filter("fold >= 7"), D_COLS, "label", "number")

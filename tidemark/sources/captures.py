@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.explore import numbered
 from tidemark.schemas import PACKET
-from tidemark.staging import staged
+from tidemark.staging import opened, staged
 
 # Magic numbers with byte order and ticks a second, TCP flags by bit, the largest frame that capture tools write.
 _MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 10**6), b"\xa1\xb2\xc3\xd4": (">", 10**6), b"\x4d\x3c\xb2\xa1": ("<", 10**9), b"\xa1\xb2\x3c\x4d": (">", 10**9)}
@@ -46,11 +46,6 @@ _FLAG_NAMES = pa.array(["".join(name for bit, name in _FLAGS if value & bit) for
 _READ = 8 << 20
 
 
-def opened(path: str) -> pa.NativeFile:
-    store, place = fs.FileSystem.from_uri(path.replace("file:///", "/").replace("file:/", "/"))
-    return store.open_input_file(place)
-
-
 @dataclass(frozen=True)
 class Kind:
     """What the head of a capture says, with the time of its first record."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -35,3 +37,9 @@ def forget(spark: SparkSession, path: str) -> None:
     """Delete a staged table that no later step reads."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def opened(path: str) -> pa.NativeFile:
+    """A file of any store that Arrow knows, to be read by a task."""
+    store, place = fs.FileSystem.from_uri(path.replace("file:///", "/").replace("file:/", "/"))
+    return store.open_input_file(place)
