@@ -346,3 +346,20 @@ def test_nearest_of_nothing_and_of_few(spark):
     e = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [4.0, 1.0])], "vec_id long, vec array<double>")
     assert explore.nearest(e, e.limit(0), 2).count() == 0 and explore.nearest(e.limit(0), e, 2).count() == 0
     assert sorted((r["id"], r["neighbour"]) for r in explore.nearest(e, e, 9).collect()) == [(1, 2), (1, 3), (2, 1), (2, 3), (3, 1), (3, 2)]
+
+
+def test_sums_near_a_cut_follow_time(spark):
+    """A flow whose doubles, added in time, pass a cut that their exact sum meets lies beyond it; one that is far keeps its exact sum."""
+    lengths = {"10.0.0.1": [100.1, 0.1, 0.2, 199.6], "10.0.0.2": [5.95, 83.78, 86.68, 39.05, 17.49, 67.05], "10.0.0.3": [0.1, 0.2, 0.3], "10.0.0.4": [26.57, 71.23, 46.21, 15.99], "10.0.0.5": [None, 300.0]}
+    rows = [(float(i * 4000), i, ip, v) for ip, all_ in lengths.items() for i, v in enumerate(all_)]
+    p = spark.createDataFrame(rows, "ts double, event_id long, src string, length double").repartition(3).selectExpr("ts", "event_id", "src", "'9.9.9.9' AS dst", "6 AS proto", "length", "1 AS sport", "CAST(NULL AS INT) AS dport", "'A' AS flags")
+    f = flows.flow_features(p)
+    got = {r["src"]: (r["n_bytes"], r["mean_len"]) for r in flows.summed_in_time(f, p, {"n_bytes": {300.0}, "mean_len": {40.0}}, ("ts", "event_id")).collect()}
+    added = {ip: 0.0 for ip in lengths}
+    for ip, all_ in lengths.items():
+        for v in all_:
+            added[ip] += v or 0.0
+    assert len(got) == 5
+    exact = {r["src"]: r["n_bytes"] for r in f.collect()}
+    assert got == {ip: (s, s / len(lengths[ip])) for ip, s in (added | {"10.0.0.3": exact["10.0.0.3"]}).items()}
+    assert exact["10.0.0.2"] == 300.0 < got["10.0.0.2"][0] and exact["10.0.0.4"] == 160.0 and got["10.0.0.4"][1] > 40.0

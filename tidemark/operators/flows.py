@@ -9,11 +9,15 @@ rows or slices moves a sum across a threshold or parts equal ones.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import exact, flag_count, floor_one_ratio, guarded_rate
 from tidemark.operators.chains import chain_starts, in_links
+from tidemark.staging import staged
 
 KEY = ("src", "dst", "portA", "portB", "proto")
 _FLAGS = {"syn": "S", "ack": "A", "fin": "F", "rst": "R", "psh": "P"}
@@ -69,6 +73,31 @@ def flow_features(packets: DataFrame, extra_keys: tuple[str, ...] = (), slice_se
     )
 
 
+def summed_in_time(flows: DataFrame, packets: DataFrame, cuts: dict[str, set[float]], order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """``flows`` as whoever compares ``n_bytes`` and ``mean_len`` with ``cuts`` would have them from doubles added one by one in ``order``.
+
+    Only flows whose exact sum is so near a cut that the rounding of doubles may cross it are added anew, a running sum each;
+    on which side all others lie hangs on no order.
+    """
+    flows, _ = staged(flows, "flows")
+    n = F.col("n_packets")
+    # Far more than n additions lose by rounding.
+    slack = 4 * n * n * F.greatest(F.abs("min_len"), F.abs("max_len")) * 2.0**-52
+    near = F.lit(False)
+    for name, whole in (("n_bytes", F.lit(1)), ("mean_len", n)):
+        for cut in sorted(cuts.get(name, ())):
+            near = near | (F.abs(F.col("n_bytes") - cut * whole) <= slack)
+    same = lambda a, b: reduce(and_, [a[k].eqNullSafe(b[f"_{k}"]) for k in KEY])
+    close = flows.filter(near).select(*[F.col(k).alias(f"_{k}") for k in KEY])
+    rows = keyed(packets, tuple(c for c in order if c != "ts"))
+    rows = rows.join(close, same(rows, close), "left_semi")
+    run = F.sum("length").over(Window.partitionBy(*KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    added = rows.withColumn("_run", run).groupBy(*[F.col(k).alias(f"_{k}") for k in KEY]).agg(F.max_by("_run", F.struct(*order)).alias("_bytes"))
+    joined = flows.join(added, same(flows, added), "left")
+    changed = {"n_bytes": F.coalesce("_bytes", "n_bytes"), "mean_len": F.coalesce(F.col("_bytes") / n, "mean_len")}
+    return joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in flows.columns])
+
+
 def flow_onepass(packets: DataFrame) -> DataFrame:
     """Flow rows by one grouping of the packets as they come, without a sort: what needs no order of packets.
 

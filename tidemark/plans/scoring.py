@@ -82,6 +82,15 @@ def average_precision(spark, sf_dir):
     return rounded(stats.average_precision(view(spark, sf_dir, "judged"), "score", "label"))
 
 
+def _cut_flows(spark, sf_dir, tests):
+    """Flows for comparisons ``(column, cut)``: their SQL adds doubles, which a single thread does in the order of time."""
+    cuts: dict[str, set[float]] = {}
+    for name, cut in tests:
+        cuts.setdefault(name, set()).add(cut)
+    packets = view(spark, sf_dir, "packets")
+    return flows.summed_in_time(flows.flow_features(packets), packets, cuts, ("ts", "event_id"))
+
+
 F_COLS = ["n_bytes", "n_packets", "mean_len"]
 #: Two small frozen trees: (tree, node, feature, split, left, right, size, depth).
 TREES = [
@@ -120,7 +129,8 @@ RULES = ("n_bytes", 300.0, ("syn_ratio", 0.25, 0, ("n_packets", 3.5, 0, ("mean_l
   WHEN mean_len <= 40 THEN 'syn_ratio>0.2 & n_packets>3.5 & mean_len<=40.0' ELSE 'syn_ratio>0.2 & n_packets>3.5 & mean_len>40.0' END
   WHEN rst_ratio <= 0.1 THEN 'n_bytes>300.0 & rst_ratio<=0.1' ELSE 'n_bytes>300.0 & rst_ratio>0.1' END AS rule FROM flows"""))
 def explain_rule(spark, sf_dir):
-    return flows.flow_features(view(spark, sf_dir, "packets")).select(*KEY, models.explain(RULES).alias("rule"))
+    f = _cut_flows(spark, sf_dir, [(name, cut) for path, _ in models.tree_rules(RULES) for name, _, cut in path])
+    return f.select(*KEY, models.explain(RULES).alias("rule"))
 
 
 D_COLS = ["n_packets", "n_bytes", "duration", "mean_len", "std_len", "mean_iat", "syn_ratio", "ack_ratio", "rst_ratio"]
