@@ -103,7 +103,7 @@ _C = models.path_constant
 @R.add(flows_duck(then=f"""SELECT src, dst, portA, portB, round(pow(2, -((CASE WHEN n_bytes <= 300 THEN 1 + {_C(5)!r} WHEN n_packets <= 6 THEN 2 + {_C(2)!r} ELSE 2 END)
   + (CASE WHEN mean_len <= 40 THEN 1 + {_C(3)!r} ELSE 1 + {_C(5)!r} END)) / 2 / {_C(8)!r}) + 1e-7, 4) AS score FROM flows"""))
 def iforest_score_frozen(spark, sf_dir):
-    f = flows.flow_features(view(spark, sf_dir, "packets"))
+    f = _cut_flows(spark, sf_dir, [(F_COLS[t[2]], t[3]) for t in TREES if t[2] >= 0])
     return rounded(models.score_forest(f, models.forest_from_rows(F_COLS, 8, TREES)).select(*KEY, "score"))
 
 
